@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.base import cut, table
 
-from . import packing, splits, subset
+from . import abuse, packing, splits, subset
 
 TOKENIZERS = os.environ.get("RANKLOOM_TOKENIZERS", "/opt/tokenizers")
 
@@ -21,6 +21,33 @@ def _params(spark: SparkSession, d: str, purpose: str) -> list[tuple[str, float]
     return [(r["param_name"], r["param_value"]) for r in rows.collect()]
 
 
+# 2
+
+
+def _comment_scores(spark: SparkSession, d: str, offsets: bool = False) -> DataFrame:
+    """Scores of all stored rows."""
+    comments = table(spark, d, "comments").filter(F.col("comment_id").isNotNull())
+    model = abuse.train(abuse.rated_sample(comments, table(spark, d, "moderation_labels")))
+    return abuse.scored(comments, model, "comment_text", ["comment_id", "source"], offsets)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _comment_scores(spark, d).filter(F.col("score") >= abuse.REVIEW).select("comment_id").distinct()
+
+
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Of each comment the score of its worst stored row, with that row's offending stretches."""
+    worst = _comment_scores(spark, d, offsets=True).groupBy("comment_id").agg(F.max(F.struct("score", "spans")).alias("w"))
+    action = F.when(F.col("w.score") >= abuse.EXCLUDE, "exclude").when(F.col("w.score") >= abuse.REVIEW, "review").otherwise("keep")
+    return worst.select("comment_id", F.col("w.score").alias("score"), F.col("w.spans").alias("spans"), action.alias("action"))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Of each source the distinct comments and the share of them that are to be reviewed."""
+    per = _comment_scores(spark, d).groupBy("source", "comment_id").agg(F.max("score").alias("s"))
+    return per.groupBy("source").agg(F.count(F.lit(1)).alias("comments"), F.avg((F.col("s") >= abuse.REVIEW).cast("double")).alias("rate"), F.avg("s").alias("mean_score"))
+
+
 # 3
 
 
@@ -81,6 +108,9 @@ def p6_tiered(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_scores": p2_scores,
+    "p2_rates": p2_rates,
     "p3_subset": p3_subset,
     "p4_found": p4_found,
     "p4_split": p4_split,
