@@ -21,7 +21,7 @@ BROADCAST_KEYS = 1_000_000
 _word_hash = WordHashes()
 
 
-def bands_of(size: int, contained: float, wanted: float = 0.999) -> int:
+def bands_of(size: int, contained: float, wanted: float = 0.97) -> int:
     """Number of one-row bands so that a segment of which `contained` is in a window of `size` words is met with chance `wanted`.
 
     Containment c of a set of q in one of u shingles means a Jaccard similarity of at least c / (u / q + 1 - c).
@@ -131,15 +131,6 @@ def coverage(item: list[np.ndarray], common: set[int], document: set[int], gap:
     return float(hit.sum()) / n
 
 
-def standing_instructions(questions: list[str], least: int = 5) -> list[list[str]]:
-    """Openings (whole sentences) that at least `least` questions share."""
-    import re
-    from collections import Counter
-
-    first = Counter(m[0].strip() for q in questions if q and (m := re.match(r".+?[.!:](?=\s)", q, re.S)))
-    return [words(s) for s, n in first.items() if n >= least]
-
-
 def without_instruction(w: list[str], standing: list[list[str]]) -> list[str]:
     for s in standing:
         if w[: len(s)] == s and len(w) > len(s):
@@ -174,15 +165,14 @@ def leaks(
     index = cut(_keyed(both, item_key, "t", item_keys, contained).distinct())
     common = _shared(cleaned, item_key)
     docs = documents.filter(F.col(doc_key).isNotNull() & (F.length(doc_text) > 0)).select(doc_key, doc_text)
-    if index.count() <= BROADCAST_KEYS:
+    small = index.count() <= BROADCAST_KEYS
+    if small:
         index = F.broadcast(index)
     met = _keyed(docs, doc_key, doc_text, document_keys, contained).join(index, "k").select(doc_key, item_key).distinct()
     met = cut(met.groupBy(doc_key).agg(F.collect_set(item_key).alias("items")))  # at most one entry for each item
     held = cut(docs.join(met, doc_key))
-    pairs = held.select(doc_key, doc_text, F.explode("items").alias(item_key)) if index.count() > BROADCAST_KEYS else None
     shared = documents.sparkSession.sparkContext.broadcast(common)
-
-    if pairs is None:
+    if small:
         known = documents.sparkSession.sparkContext.broadcast({r[0]: (r[1].split(), r[2].split()) for r in cleaned.collect()})
 
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,6 +201,7 @@ def leaks(
                     keep.append(any(coverage((h, shingles(h, SHINGLE)), shared.value, document) >= least for h, least in ((_word_hash(q.split()), whole), (_word_hash(p.split()), part))))
                 yield b.loc[keep, [doc_key, item_key]]
 
+        pairs = held.select(doc_key, doc_text, F.explode("items").alias(item_key))
         found = pairs.join(cleaned, item_key).mapInPandas(verify_pairs, f"`{doc_key}` {dkind}, `{item_key}` {ikind}")
     return found.distinct()
 

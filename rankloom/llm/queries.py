@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.base import cut, table
 
-from . import abuse, packing, splits, subset
+from . import abuse, leakage, packing, splits, subset
 
 TOKENIZERS = os.environ.get("RANKLOOM_TOKENIZERS", "/opt/tokenizers")
 
@@ -107,6 +107,13 @@ def p6_tiered(spark: SparkSession, d: str) -> DataFrame:
     return packing.tiered(_lengths(spark, d), "doc_id", "n_tokens", [int(v) for _, v in _params(spark, d, "packing")])
 
 
+# 7
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "question", "passage")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_scores": p2_scores,
@@ -116,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_split": p4_split,
     "p6_pack": p6_pack,
     "p6_tiered": p6_tiered,
+    "p7_found": p7_found,
 }
 
 #: The driver's SQL. Splits, subsets and windows are defined by hashes and flows that SQL does not have.
