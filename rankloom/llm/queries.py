@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.base import cut, table
 
-from . import abuse, leakage, packing, splits, subset
+from . import abuse, leakage, packing, spam, splits, subset
 
 TOKENIZERS = os.environ.get("RANKLOOM_TOKENIZERS", "/opt/tokenizers")
 
@@ -114,6 +114,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "question", "passage")
 
 
+# 8
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_scores": p2_scores,
@@ -124,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_pack": p6_pack,
     "p6_tiered": p6_tiered,
     "p7_found": p7_found,
+    "p8_found": p8_found,
 }
 
 #: The driver's SQL. Splits, subsets and windows are defined by hashes and flows that SQL does not have.
