@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.base import cut, table
 
-from . import abuse, leakage, packing, spam, splits, subset
+from . import abuse, leakage, packing, residue, spam, splits, subset
 
 TOKENIZERS = os.environ.get("RANKLOOM_TOKENIZERS", "/opt/tokenizers")
 
@@ -92,6 +92,29 @@ def p4_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.grouped_split(_query_groups(spark, d), shares).select(F.col("id").alias("query_id"), F.col("group").alias("first_query_id"), "split")
 
 
+# 5
+
+
+def _judged_replies(spark: SparkSession, d: str) -> DataFrame:
+    """One row per stored reply with its spans of residue."""
+    rows = table(spark, d, "reply_references").select("query_id", F.explode("replies").alias("r"))
+    replies = rows.select("query_id", F.col("r.reply_id").alias("reply_id"), F.col("r.text").alias("text"))
+    return residue.residue(replies, residue.fitted(replies, "text"), "text", ["query_id", "reply_id"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged_replies(spark, d).filter(F.col("excluded") & F.col("reply_id").isNotNull()).select("query_id", "reply_id").distinct()
+
+
+def p5_references(spark: SparkSession, d: str) -> DataFrame:
+    """The references (each stored row once) without the excluded replies; all have their row, if with an empty array."""
+    out = p5_found(spark, d).groupBy("query_id").agg(F.collect_set("reply_id").alias("gone"))
+    rows = table(spark, d, "reply_references").distinct()
+    gone = F.coalesce("gone", F.array().cast("array<string>"))
+    kept = F.filter("replies", lambda r: r["reply_id"].isNull() | ~F.array_contains(gone, r["reply_id"]))
+    return rows.join(out, "query_id", "left").select("query_id", kept.alias("replies"), "fetched_at", F.size(gone).alias("n_excluded"))
+
+
 # 6
 
 
@@ -128,6 +151,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_subset": p3_subset,
     "p4_found": p4_found,
     "p4_split": p4_split,
+    "p5_found": p5_found,
+    "p5_references": p5_references,
     "p6_pack": p6_pack,
     "p6_tiered": p6_tiered,
     "p7_found": p7_found,
