@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.base import cut, table
 
-from . import abuse, leakage, packing, residue, spam, splits, subset
+from . import abuse, leakage, packing, pii, residue, spam, splits, subset
 
 TOKENIZERS = os.environ.get("RANKLOOM_TOKENIZERS", "/opt/tokenizers")
 
@@ -21,6 +21,27 @@ def _params(spark: SparkSession, d: str, purpose: str) -> list[tuple[str, float]
     return [(r["param_name"], r["param_value"]) for r in rows.collect()]
 
 
+# 1
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [
+        pii.found_types(table(spark, d, name), key, text).select(F.lit(name).alias("table_name"), "row_key", "pii_type")
+        for name, key, text in (("comments", "comment_id", "comment_text"), ("queries", "query_id", "query_text"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_comments(spark: SparkSession, d: str) -> DataFrame:
+    """All stored comments with placeholders."""
+    return pii.redacted(table(spark, d, "comments"), "comment_text")
+
+
+def p1_queries(spark: SparkSession, d: str) -> DataFrame:
+    """All stored queries with placeholders."""
+    return pii.redacted(table(spark, d, "queries"), "query_text")
+
+
 # 2
 
 
@@ -145,6 +166,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_comments": p1_comments,
+    "p1_queries": p1_queries,
     "p2_found": p2_found,
     "p2_scores": p2_scores,
     "p2_rates": p2_rates,
