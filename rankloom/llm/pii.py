@@ -10,6 +10,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import pii_words as V
 from .normal import ENTITY, UNSEEN
@@ -363,7 +364,7 @@ def found_types(rows: DataFrame, key: str, text: str) -> DataFrame:
 def redacted(rows: DataFrame, text: str) -> DataFrame:
     """The same rows with placeholders like [PHONE] in `text` and the number of replacements in n_replaced; texts without
     a span stay as they are, null and empty ones too."""
-    schema = rows.drop("n_replaced").schema.add("n_replaced", "int")
+    schema = T.StructType([*rows.drop("n_replaced").schema.fields, T.StructField("n_replaced", T.IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
