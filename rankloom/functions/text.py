@@ -149,9 +149,12 @@ def tfidf(corpus: DataFrame, item: str, text: str, weights: DataFrame) -> DataFr
 # normalisation and placeholders that no expression has
 
 
-@F.pandas_udf("string")
-def ascii_normal(s: pd.Series) -> pd.Series:
+def ascii_normal(text: Column) -> Column:
     """Typographic signs as plain ones, compatibility forms taken apart, all else that is not ASCII dropped."""
+    return F.pandas_udf(_ascii_normal, "string")(text)
+
+
+def _ascii_normal(s: pd.Series) -> pd.Series:
     signs = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "...", " ": " "})
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t.translate(signs)).encode("ascii", "ignore").decode())
 
