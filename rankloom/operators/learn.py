@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom.base import cut
+
 
 def query_weights(df: DataFrame, query: str = "query_id") -> DataFrame:
     """weight = 1 / (number of queries * rows of the query), rescaled to a mean of 1."""
@@ -67,7 +69,8 @@ POINTWISE: dict[str, Callable] = {
 def fit_pointwise(train: DataFrame, rows: DataFrame, features: list[str], utility: str, family: str) -> DataFrame:
     """The rows' keys with score: a regression of utility, fitted on the judged training rows and cut to 1 to 7."""
     judged = train.filter(F.col(utility).isNotNull() & ~F.isnan(F.col(utility).cast("double")))
-    model = POINTWISE[family]().fit(query_weights(assembled(standardized(judged, judged, features), features).withColumn("label", F.col(utility).cast("double"))))
+    data = cut(query_weights(standardized(judged, judged, features).withColumn("label", F.col(utility).cast("double"))))
+    model = POINTWISE[family]().fit(assembled(data, features))
     scored = model.transform(assembled(standardized(judged, rows, features), features))
     return scored.select("query_id", "comment_id", F.greatest(F.lit(1.0), F.least(F.lit(7.0), F.col("prediction"))).alias("score"))
 
@@ -75,8 +78,8 @@ def fit_pointwise(train: DataFrame, rows: DataFrame, features: list[str], utilit
 def fit_pairwise(train: DataFrame, rows: DataFrame, features: list[str], utility: str, family: str = "logistic", margin: float = 1.0, most: int = 400) -> DataFrame:
     """The rows' keys with score: a linear order fitted on differences of pairs, without intercept."""
     judged = train.filter(F.col(utility).isNotNull() & ~F.isnan(F.col(utility).cast("double")))
-    pairs = assembled(pair_differences(standardized(judged, judged, features), features, utility, margin, most), features)
-    kind = LogisticRegression(fitIntercept=False, weightCol="weight", regParam=0.01) if family == "logistic" else LinearSVC(fitIntercept=False, weightCol="weight", regParam=0.01)
+    pairs = assembled(cut(pair_differences(standardized(judged, judged, features), features, utility, margin, most)), features)
+    kind = LogisticRegression(fitIntercept=False, weightCol="weight", regParam=0.01, maxIter=30) if family == "logistic" else LinearSVC(fitIntercept=False, weightCol="weight", regParam=0.01, maxIter=30)
     weights = kind.fit(pairs).coefficients.toArray().tolist()
     score = sum((F.col(c) * w for c, w in zip(features, weights)), F.lit(0.0))
     return standardized(judged, rows, features).select("query_id", "comment_id", score.alias("score"))
@@ -87,8 +90,8 @@ def useful_probability(train: DataFrame, rows: DataFrame, features: list[str], u
     from pyspark.ml.functions import vector_to_array
 
     judged = train.filter(F.col(utility).isNotNull() & ~F.isnan(F.col(utility).cast("double")))
-    data = query_weights(assembled(standardized(judged, judged, features), features).withColumn("label", (F.col(utility) >= least).cast("double")))
-    model = LogisticRegression(weightCol="weight", regParam=0.01).fit(data)
+    data = cut(query_weights(standardized(judged, judged, features).withColumn("label", (F.col(utility) >= least).cast("double"))))
+    model = LogisticRegression(weightCol="weight", regParam=0.01, maxIter=30).fit(assembled(data, features))
     scored = model.transform(assembled(standardized(judged, rows, features), features))
     return scored.select("query_id", "comment_id", (1 + 6 * vector_to_array("probability")[1]).alias("score"))
 
@@ -102,7 +105,7 @@ def calibrated(train: DataFrame, rows: DataFrame, utility: str) -> DataFrame:
 
 def out_of_fold(rows: DataFrame, folds: DataFrame, n: int, fit: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """(query_id, comment_id, score): each query scored by the fits that did not see it, means over repeats."""
-    placed = rows.join(folds, "query_id")
+    placed = cut(rows.join(folds, "query_id"))
     parts = None
     for repeat in [r[0] for r in folds.select("repeat").distinct().orderBy("repeat").collect()]:
         for fold in range(n):

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "e4_rrf_fuse"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from . import measure_queries, ranking_queries, record_queries
+
+FLAGSHIP = "o30_held_out_arms"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ranking_queries.QUERIES, **measure_queries.QUERIES, **record_queries.QUERIES}
+ORACLE: dict[str, str] = {**ranking_queries.ORACLE, **measure_queries.ORACLE, **record_queries.ORACLE}
