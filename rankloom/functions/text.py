@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.base import cut
+
 #: English stop words of the lexical features.
 STOP_WORDS = (
     "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself yourselves"
@@ -113,29 +117,68 @@ def lexical_features(pairs: DataFrame, query_text: str, item_text: str, weights:
     return t.select(*keys, "shared", F.when(F.col("all") > 0, F.col("got") / F.col("all")).otherwise(F.lit(0.0)).alias("overlap"), F.size(F.filter("__ws", lambda w: w >= F.col("cut"))).alias("rare"))
 
 
+#: Numbers of the query-term matrix that goes to all tasks at once; more queries are asked in blocks of that size.
+MATRIX = 4 << 20
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, item: str, text: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, item, score, rank): the k best items by BM25 (Robertson's idf, not below 0).
 
-    Only terms of queries are kept from the corpus, so postings are in proportion to what the queries ask for; scores are
-    summed per task before the shuffle. Queries are a stated set; term counts of texts are joined on the term, with a
-    term of a third of all items spread over salts.
+    Queries are a stated set. Document frequencies of their terms are counted over the whole corpus with partial sums.
+    Then the weights of a block of queries, a matrix of bounded size, meet the corpus in one pass that shuffles nothing:
+    each task multiplies batches of term weights with it and keeps k per query. Texts without a term of a query do not
+    appear under it; null texts have no terms; ties go to the smaller id.
     """
     from rankloom.operators.ranking import top_k
 
-    q = queries.select("query_id", F.explode(token_set(F.col(query_text))).alias("term"))
+    q = queries.filter(F.col("query_id").isNotNull()).select("query_id", F.explode(token_set(F.col(query_text))).alias("term")).distinct()
     wanted = q.select("term").distinct()
-    docs = corpus.filter(F.col(item).isNotNull()).select(item, tokens(F.col(text)).alias("__t")).withColumn("len", F.size("__t"))
-    stats = docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("mean"))
-    postings = docs.select(item, "len", F.explode("__t").alias("term")).join(wanted, "term", "left_semi").groupBy(item, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
-    terms = q.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("w", weight).filter("w > 0")
-    salts = 16
-    spread = terms.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    met = postings.withColumn("__s", F.pmod(F.xxhash64(item), F.lit(salts)).cast("int")).join(spread, ["term", "__s"])
-    scores = met.groupBy("query_id", item).agg(F.sum(F.col("w") * part).alias("score"))
-    return top_k(scores, ["query_id"], [F.desc(F.round("score", 9)), item], k)
+    docs = corpus.filter(F.col(item).isNotNull()).select(item, tokens(F.col(text)).alias("__t"))
+    n, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("__t"))).first()
+    df = docs.select(F.explode(F.array_distinct("__t")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
+    terms = cut(q.join(df, "term").withColumn("w", weight).filter("w > 0"))
+    size = terms.agg(F.count_distinct("query_id"), F.count_distinct("term")).first()
+    blocks = max(1, -(-size[0] * size[1] // MATRIX))
+    kind, qkind = dict(corpus.dtypes)[item], dict(queries.dtypes)["query_id"]
+    schema = f"query_id {qkind}, `{item}` {kind}, score double"
+    found = corpus.sparkSession.createDataFrame([], schema)
+    for i in range(blocks):
+        rows = terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id", "term").collect()
+        names = list(dict.fromkeys(r["query_id"] for r in rows))
+        vocabulary = {t: j for j, t in enumerate(dict.fromkeys(r["term"] for r in rows))}
+        if not rows:
+            continue
+        matrix, place = np.zeros((len(vocabulary), len(names)), dtype=np.float64), {x: j for j, x in enumerate(names)}
+        for r in rows:
+            matrix[vocabulary[r["term"]], place[r["query_id"]]] = r["w"]
+        shared = corpus.sparkSession.sparkContext.broadcast((names, vocabulary, matrix))
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            asked, known, weights = shared.value
+            for batch in batches:
+                for at in range(0, len(batch), 1024):
+                    part = batch.iloc[at : at + 1024]
+                    ids = part[item].to_numpy()
+                    tf = np.zeros((len(part), len(known)))
+                    length = np.empty(len(part))
+                    for row, words in enumerate(part["__t"]):
+                        length[row] = len(words)
+                        for w in words:
+                            if (j := known.get(w)) is not None:
+                                tf[row, j] += 1
+                    scores = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / max(mean, 1e-12))[:, None])) @ weights
+                    for j, name in enumerate(asked):
+                        s = scores[:, j]
+                        hit = np.flatnonzero(s > 0)
+                        if len(hit) > k:
+                            low = np.partition(s[hit], len(hit) - k)[len(hit) - k]
+                            hit = hit[s[hit] >= low - 1e-9]
+                        if len(hit):
+                            yield pd.DataFrame({"query_id": [name] * len(hit), item: ids[hit], "score": s[hit]})
+
+        found = found.unionByName(docs.mapInPandas(score, schema))
+    return top_k(found, ["query_id"], [F.desc(F.round("score", 9)), item], k)
 
 
 def tfidf(corpus: DataFrame, item: str, text: str, weights: DataFrame) -> DataFrame:
