@@ -123,7 +123,7 @@ def normal_token(t: str) -> str:
 def features(t: str) -> list[str]:
     """Of a token, without its offset."""
     n = normal_token(t)
-    out = ["w:" + n]
+    out = ["any", "w:" + n]
     kind = lexicon().get(n)
     if kind:
         out += ["c:" + k for k in kind.split("+")]
@@ -264,7 +264,7 @@ def fit(texts: list[list[str]], tags: list[np.ndarray], rounds: int = 60, ridge:
                 feature.append(index.setdefault(f, len(index)))
     token, feature = np.array(token), np.array(feature)
     codes = np.array([0] + [code_of(x) for x in numbers if x], dtype=np.int64)
-    weights, pairs, chain = np.zeros((len(OFFSETS), len(index))), np.zeros((2, PAIRS)), np.array([-1.5, -1.5, 1.0])
+    weights, pairs, chain = np.zeros((len(OFFSETS), len(index))), np.zeros((2, PAIRS)), np.array([-1.5, -1.5, 0.0])
     if start:
         weights[:, : start.weights.shape[1]], pairs, chain = start.weights, start.pairs.copy(), start.chain.copy()
     slot, inside = batch.pair_slots(codes[batch.ids])
@@ -295,7 +295,8 @@ def fit(texts: list[list[str]], tags: list[np.ndarray], rounds: int = 60, ridge:
         w01, w10, w11 = np.exp(np.clip(chain[0] + z, -60, 60)), np.exp(np.clip(chain[1] + x, -60, 60)), np.exp(np.clip(chain[2] + x + z, -60, 60))
         total = 1 + w01 + w10 + w11
         y0, y1 = y[:-1], y[1:]
-        grad_c = np.array([(((1 - y0) * y1 - w01 / total) * follows).sum(), ((y0 * (1 - y1) - w10 / total) * follows).sum(), ((y0 * y1 - w11 / total) * follows).sum()])
+        # staying has weight 0 in both tags: how likely a tag is without any sign is for the emissions to say
+        grad_c = np.array([(((1 - y0) * y1 - w01 / total) * follows).sum(), ((y0 * (1 - y1) - w10 / total) * follows).sum(), 0.0])
         grad_c[0] += (y - p)[batch.starts[batch.lengths > 0]].sum()
         for k, (param, grad) in enumerate(zip(params, (grad_w, grad_p, grad_c))):
             grad = grad - ridge * param * 10
@@ -329,6 +330,10 @@ def _seed_examples() -> tuple[list[list[str]], list[np.ndarray]]:
         joined = s + ["."] + clean[(5 * n + 2) % len(clean)]
         texts += [s, joined]
         tags += [np.zeros(len(s)), np.zeros(len(joined))]
+    for n in range(0, len(clean), 2):  # longer ones, as most text is clean
+        joined = sum((clean[(n + 7 * k) % len(clean)] + ["."] for k in range(8)), [])
+        texts.append(joined)
+        tags.append(np.zeros(len(joined)))
     return texts, tags
 
 

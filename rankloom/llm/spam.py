@@ -18,6 +18,9 @@ from .normal import plain
 #: Characters of a block; blocks end at line ends or blanks.
 BLOCK = 600
 
+#: Usual ratio of prose by length class and its usual spread, which stand for so many blocks where a class has few.
+USUAL, USUAL_SPREAD, PRIOR = (0.80, 0.68, 0.62, 0.58, 0.565, 0.555), 0.02, 20
+
 URL = re.compile(r"\[[^\]\n]{0,200}\]\((?:https?://|www\.)[^)\s]*\)|<a\s[^>]*>.*?</a>|(?:https?://|www\.)\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|info|biz|shop|example|test|invalid)(?:/\S*)?", re.I | re.S)
 HASHTAG = re.compile(r"#\w+")
 GLUED = re.compile(r"\w+_\w+|\w{15,}")
@@ -109,8 +112,8 @@ def spam_pages(documents: DataFrame, key: str, text: str, least: float = 0.4) ->
     (less than half, as a block in which an honest opening meets the list counts as honest).
 
     The baseline of a block's compression ratio is the median, and its spread the way to the 90th percentile, over all
-    blocks of all documents of its language and length class (across languages where none is recognised): a table of
-    fixed size, which is broadcast. Rows of one key count together; null keys, null and empty texts give nothing.
+    blocks of all documents of its language and length class (across languages where none is recognised), pulled to
+    usual values where a class has few blocks: a table of fixed size, which is broadcast. Rows of one key count together; null keys, null and empty texts give nothing.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,8 +125,11 @@ def spam_pages(documents: DataFrame, key: str, text: str, least: float = 0.4) ->
     schema = f"`{key}` {kind}, lang string, bucket int, chars bigint, ratio double, stops double, repeat double, prose double"
     parts = cut(documents.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(key, text).mapInPandas(run, schema))
     classes = parts.filter("lang <> 'xx'").withColumn("lang", F.explode(F.array("lang", F.lit("xx"))))
-    spread = F.greatest((F.percentile_approx("ratio", 0.9, 1000) - F.percentile_approx("ratio", 0.5, 1000)) / 1.2816, F.lit(0.01))
-    baseline = classes.groupBy("lang", "bucket").agg(F.percentile_approx("ratio", 0.5, 1000).alias("median"), spread.alias("spread"))
+    middle, high, n = F.percentile_approx("ratio", 0.5, 1000), F.percentile_approx("ratio", 0.9, 1000), F.count(F.lit(1))
+    usual = F.element_at(F.array(*[F.lit(x) for x in USUAL]), F.col("bucket") + 1)
+    baseline = classes.groupBy("lang", "bucket").agg(n.alias("n"), middle.alias("m"), F.greatest((high - middle) / 1.2816, F.lit(0.01)).alias("s"))
+    pulled = lambda c, to: (F.col("n") * F.col(c) + PRIOR * to) / (F.col("n") + PRIOR)
+    baseline = baseline.select("lang", "bucket", pulled("m", usual).alias("median"), pulled("s", F.lit(USUAL_SPREAD)).alias("spread"))
     z = (F.col("median") - F.col("ratio")) / F.col("spread")
     judged = parts.join(F.broadcast(baseline), ["lang", "bucket"], "left").withColumn("spam", is_spam(F.coalesce(z, F.lit(0.0)), F.col("stops"), F.col("repeat"), F.col("prose")))
     share = F.sum(F.when(F.col("spam"), F.col("chars")).otherwise(0)) / F.sum("chars")
