@@ -97,7 +97,7 @@ def read_sqlite(spark: SparkSession, path: str, query: str, schema: str, batch:
 def write_table(df: DataFrame, folder: str, stem: str, preview: int = 50) -> None:
     """Parquet and a CSV preview."""
     df.write.mode("overwrite").parquet(f"{folder}/{stem}.parquet")
-    flat(df).limit(preview).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{stem}_preview.csv")
+    flat(df).limit(preview).coalesce(1).write.mode("overwrite").option("header", True).option("escape", "\"").csv(f"{folder}/{stem}_preview.csv")
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def write_jsonl(df: DataFrame, path: str, create_only: bool = False) -> None:
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str] | None = None) -> None:
-    flat(df.select(*fields) if fields else df).write.mode("overwrite").option("header", True).csv(path)
+    flat(df.select(*fields) if fields else df).write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
 
 
 def write_manifest(path: str, value: dict) -> None:
