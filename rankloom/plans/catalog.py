@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import measure_queries, ranking_queries, record_queries
+from . import measure_queries, ranking_queries, record_queries, study_queries
 
 FLAGSHIP = "o30_held_out_arms"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ranking_queries.QUERIES, **measure_queries.QUERIES, **record_queries.QUERIES}
-ORACLE: dict[str, str] = {**ranking_queries.ORACLE, **measure_queries.ORACLE, **record_queries.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ranking_queries.QUERIES, **measure_queries.QUERIES, **record_queries.QUERIES, **study_queries.QUERIES}
+ORACLE: dict[str, str] = {**ranking_queries.ORACLE, **measure_queries.ORACLE, **record_queries.ORACLE, **study_queries.ORACLE}
