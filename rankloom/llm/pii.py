@@ -204,7 +204,7 @@ def spelled(text: str) -> list[Span]:
 # addresses
 
 _AFTER, _BEFORE, _END = (r"(?:" + "|".join(re.escape(w) for w in sorted(x.split(), key=len, reverse=True)) + ")" for x in (V.STREET_AFTER, V.STREET_BEFORE, V.STREET_END))
-_NAME = r"(?:[^\W\d_][\w'’\-]*\.?)"
+_NAME = r"(?:[^\W\d_]{1,2}\.|[^\W\d_][\w'’\-]*)"
 ADDRESS = [
     re.compile(r"(?<![\w#])\d{1,5}\s?[a-h]?(?:/\d+)?,? (?:(?:n|s|e|w|north|south|east|west)\.? )?" + _NAME + r"(?: " + _NAME + r"){0,2} " + _AFTER + r"\b\.?", re.I),
     re.compile(r"(?<!\w)" + _NAME + r" " + _AFTER + r"\b\.?,? (?:apt|apartment|flat|unit|suite|no|nr|#)\.? ?\d+\w?", re.I),
@@ -218,6 +218,7 @@ _ADDRESS_WORDS = frozenset(f"{V.STREET_AFTER} {V.STREET_BEFORE} {V.HOUSES} box p
 _ENDING = re.compile(r"(?:e|g|z|ng|mm|r|d|\.) ?\d")  # of a glued street word before its number
 _GLUED = re.compile(_END + r" ?\d", re.I)
 WORK_BEFORE = re.compile(r"\b(?:" + V.WORKS.replace(" ", "|") + r")\s+(?:on\s+|no\.?\s*|#)?(?:level\s+)?$", re.I)
+PLACE_BEFORE = re.compile(r"\b(?:at|to|in|address|place|live|lives|moved|letter|wohne|habite|vivo|au|en)\b\W{0,3}(?:\w+\W+)?$", re.I)
 TAIL = re.compile(r"^,? (?:[A-Z][a-z]+ )?[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}\b|^,? \d{5}(?: [A-Z][a-zß-ü]+)?|^, [A-Z][a-z]+(?: [A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}| \d{5})?\b")
 #: Phrases in which a number and a street word are no address.
 NO_STREET = re.compile(r"^\d+\s?\w? (?:of|to|in|on|at|for|and|or|a|the|minutes?|hours?|days?|weeks?|months?|years?|times?|mg|people|percent|am|pm|x|st|nd|rd|th|steps?|miles?|km|more|other|different)\b", re.I)
@@ -228,7 +229,10 @@ def addresses(text: str, low: str, tokens: set[str]) -> list[Span]:
     if not tokens.isdisjoint(_ADDRESS_WORDS) or _ENDING.search(low) and _GLUED.search(low):
         for pattern in ADDRESS:
             for m in pattern.finditer(text):
-                if NO_STREET.match(m[0]) or WORK_BEFORE.search(text[max(0, m.start() - 24) : m.start()]):
+                before = text[max(0, m.start() - 32) : m.start()]
+                if NO_STREET.match(m[0]) or WORK_BEFORE.search(before):
+                    continue
+                if m[0] == m[0].lower() and low != text and not PLACE_BEFORE.search(before):
                     continue
                 end = m.end()
                 tail = TAIL.match(text[end : end + 60])
@@ -257,7 +261,7 @@ def family(word: str, cased: bool) -> bool:
     """Whether a word can be a family name. cased: the text writes names with capitals."""
     w = word.lower().strip("'’.")
     w = w[:-2] if w.endswith(("'s", "’s")) else w
-    return len(w) >= 3 and w not in V.COMMON and w not in V.GIVEN and w not in _STREETS and w not in _TITLES and (word[0].isupper() or not cased)
+    return len(w) >= 3 and w not in V.COMMON and w not in V.FIGURATIVE and w not in V.GIVEN and w not in _STREETS and w not in _TITLES and (word[0].isupper() or not cased)
 
 
 def names(text: str, low: str, tokens: set[str]) -> list[Span]:

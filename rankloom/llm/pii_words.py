@@ -17,6 +17,8 @@ COMMON = frozenset(
     "und oder aber der die das ist war hat habe ich du er sie es wir ihr mein meine mit von für auf im am et ou mais le la les est était il elle nous vous mon ma avec pour dans sur y o pero el los las es era yo mi su con por para en que "
     "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december english german french spanish".split()
 )
+#: What stands after a title in figures of speech.
+FIGURATIVE = frozenset("internet google web wikipedia youtube reddit tiktok facebook chatgpt bing search ai bot brain adhd perfect right wrong nobody nice grumpy happy lazy smart clever know-it-all procrastination chaos time nature strange who house evil bean t robot potato money fix-it anxiety executive moderator mod admin president minister chairman speaker".split())
 #: Street words after a name, before one, and at the end of one.
 STREET_AFTER = "street str st road rd lane ln avenue ave av drive dr way close court ct crescent cres row place pl square sq terrace boulevard blvd gardens gdns hill grove mews parade walk rise parkway highway hwy alley view"
 STREET_BEFORE = "rue avenue boulevard chemin impasse allée quai place calle avenida avda paseo plaza carrer via viale piazza"
