@@ -144,3 +144,36 @@ def alignment(candidates: DataFrame, replies: DataFrame, threshold: float) -> Da
     by_r = pairs.groupBy("query_id", "r").agg(F.max("s").alias("m")).groupBy("query_id").agg(F.avg("m").alias("rcc"), F.avg((F.col("m") >= threshold).cast("double")).alias("coverage"))
     f1 = F.when(F.col("cra") + F.col("rcc") > 0, 2 * F.col("cra") * F.col("rcc") / (F.col("cra") + F.col("rcc"))).otherwise(F.lit(0.0))
     return by_c.join(by_r, "query_id").withColumn("f1", f1)
+
+
+def cluster_balanced_coverage(candidates: DataFrame, replies: DataFrame, distance: float = 0.6, most: int = 50) -> DataFrame:
+    """(query_id, clusters, rcc): mean over clusters of replies of the mean, over a cluster's replies, of the largest
+    similarity to a candidate, so that many replies that say the same count as one view.
+
+    Clusters join while their mean cosine distance is at most `distance` (average linkage). Merging needs a query's
+    replies at once, so each query takes part with its first `most` replies by id, as capped references do.
+    candidates: (query_id, comment_id, vec), replies: (query_id, reply_id, vec), unit vectors.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from rankloom.functions.vectors import cosine
+
+    capped = top_k(replies.filter(F.col("vec").isNotNull()), ["query_id"], ["reply_id"], most, "__p")
+    c = candidates.select("query_id", F.col("vec").alias("cv"))
+    near = capped.join(c, "query_id").groupBy("query_id", "reply_id").agg(F.max(cosine(F.col("vec"), F.col("cv"))).alias("m"), F.first("vec").alias("vec"))
+
+    def merge(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("reply_id")
+        v = np.array([np.asarray(x, dtype=float) for x in g["vec"]])
+        gap = 1 - v @ v.T
+        groups = [[i] for i in range(len(g))]
+        while len(groups) > 1:
+            best = min(((gap[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups[:i])), key=lambda x: (round(x[0], 12), x[2], x[1]))
+            if best[0] > distance:
+                break
+            groups[best[2]] += groups.pop(best[1])
+        m = g["m"].to_numpy()
+        return pd.DataFrame({"query_id": [g["query_id"].iloc[0]], "clusters": [len(groups)], "rcc": [float(np.mean([m[x].mean() for x in groups]))]})
+
+    return near.groupBy("query_id").applyInPandas(merge, f"query_id {dict(near.dtypes)['query_id']}, clusters int, rcc double")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -270,3 +275,46 @@ def o10(spark: SparkSession, d: str) -> DataFrame:
 def f27(spark: SparkSession, d: str) -> DataFrame:
     rows = t.pool(spark, d).join(t.judged(spark, d).select(*PAIR, "utility"), PAIR, "left")
     return rounded(rows.groupBy("source_pool").agg(F.count(F.lit(1)).alias("size"), F.count("utility").alias("judged"), F.avg("utility").alias("mean_utility"), F.percentile("utility", 0.5).alias("median_utility"), F.avg((F.col("utility") >= 4.5).cast("double")).alias("useful")))
+
+
+def _hashed_vectors(rows: DataFrame, keys: list[str], text: str, size: int = 128) -> DataFrame:
+    """(keys, vec): unit vectors of texts' token counts by hash; they stand in for an encoder, of which there is none
+    here. Texts without tokens have the zero vector."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for words in b["__t"]:
+                v = np.bincount([zlib.crc32(w.encode()) % size for w in words], minlength=size).astype(float)
+                out.append(v / max(float(np.linalg.norm(v)), 1e-12))
+            yield b[keys].assign(vec=out)
+
+    tokens = rows.select(*keys, tx.tokens(F.col(text)).alias("__t"))
+    return tokens.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", vec array<double>")
+
+
+def _alignment_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Of each query with reference replies: the eight comments of its candidate pool or, without one, of its own post's
+    thread with the largest scores; and its valid replies."""
+    own = t.texts(spark, d).select("query_id", F.concat(F.lit("t3_"), F.lower(F.trim(F.regexp_replace("post_id", "(?i)^t[13]_", "")))).alias("link_id"))
+    c = t.comments(spark, d).filter("length(comment_text) >= 20").select("comment_id", "link_id", "comment_text", "score")
+    thread = ranking.top_k(own.join(c, "link_id").select(*PAIR, "score"), ["query_id"], [F.desc_nulls_last("score"), "comment_id"], 8).select(*PAIR, F.lit(1).alias("source"), "rank")
+    pool = t.routes(spark, d).filter("route = 'sbert' AND rank <= 8").select(*PAIR, F.lit(0).alias("source"), "rank")
+    both = thread.unionByName(pool)
+    first = both.groupBy("query_id").agg(F.min("source").alias("source"))
+    chosen = both.join(first, ["query_id", "source"]).select(*PAIR).join(c.select("comment_id", "comment_text"), "comment_id")
+    r = table(spark, d, "reply_references").select("query_id", F.explode("replies").alias("r")).select("query_id", "r.reply_id", "r.text").filter("length(text) >= 20").dropDuplicates(["query_id", "reply_id"])
+    return _hashed_vectors(chosen, PAIR, "comment_text"), _hashed_vectors(r, ["query_id", "reply_id"], "text")
+
+
+@query("g35_alignment")
+def g35(spark: SparkSession, d: str) -> DataFrame:
+    c, r = _alignment_inputs(spark, d)
+    return rounded(metrics.alignment(c, r, 0.5))
+
+
+@query("g37_cluster_balanced_coverage")
+def g37(spark: SparkSession, d: str) -> DataFrame:
+    c, r = _alignment_inputs(spark, d)
+    return rounded(metrics.cluster_balanced_coverage(c, r))

@@ -301,3 +301,11 @@ def test_one_standard_error_is_conservative(spark):
     rows = [(b, q, v + (0.01 if b == 2 and q == "q1" else 0.0)) for b, q, v in rows]
     df = spark.createDataFrame(rows, "budget int, query_id string, value double")
     assert learn.one_standard_error(df, "budget", "value", "query_id").first().budget == 1
+
+
+def test_clusters_count_once(spark):
+    c = spark.createDataFrame([("q", "a", [1.0, 0.0])], "query_id string, comment_id string, vec array<double>")
+    rows = [("q", f"r{i}", [1.0, 0.0]) for i in range(9)] + [("q", "z", [0.0, 1.0]), ("q", "n", None)]
+    x = metrics.cluster_balanced_coverage(c, spark.createDataFrame(rows, "query_id string, reply_id string, vec array<double>"), 0.3).first()
+    assert (x.clusters, x.rcc) == (2, 0.5)
+    assert metrics.cluster_balanced_coverage(c.limit(0), spark.createDataFrame(rows, "query_id string, reply_id string, vec array<double>")).count() == 0
