@@ -19,18 +19,18 @@ def linear(weights: dict[str, float] = WEIGHTS) -> Column:
 def utility(weights: dict[str, float] = WEIGHTS) -> Column:
     """The weighted sum, no more than CAP where safety is at most UNSAFE."""
     value = linear(weights)
-    return F.when(F.col("label_safety") <= UNSAFE, F.least(value, F.lit(CAP))).otherwise(value)
+    return F.when(value.isNotNull() & (F.col("label_safety") <= UNSAFE), F.least(value, F.lit(CAP))).otherwise(value)
 
 
 def clamp_score(c: Column) -> Column:
     """Rounded half to even and cut to 1 to 7; 1 where it is no number."""
     d = c.cast("string").try_cast("double")
-    return F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(7.0), F.rint(F.when(~F.isnan(d), d)))), F.lit(1.0)).cast("int")
+    return F.when(d.isNull() | F.isnan(d), 1).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(7.0), F.rint(d))).cast("int"))
 
 
 def grade(c: Column) -> Column:
-    """A utility as a grade of 0 to 6."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(6.0), F.rint(c) - 1)).cast("int")
+    """A utility as a grade of 0 to 6; null for null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(6.0), F.rint(c) - 1)).cast("int"))
 
 
 def graded(c: Column, scale: float = 1.0) -> Column:

@@ -22,4 +22,5 @@ def l2_normalized(a: Column, floor: float = 1e-12) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Of unit vectors, cut to [-1, 1]."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b)))
+    d = dot(a, b)
+    return F.when(d > 1, F.lit(1.0)).when(d < -1, F.lit(-1.0)).otherwise(d)

@@ -16,8 +16,8 @@ LIST = ["route", "query_id"]
 
 
 def gain(utility: Column) -> Column:
-    """2^u - 1, of negative utilities 0."""
-    return F.pow(F.lit(2.0), F.greatest(utility, F.lit(0.0))) - 1
+    """2^u - 1, of negative utilities 0; null for null."""
+    return F.when(utility.isNotNull(), F.pow(F.lit(2.0), F.greatest(utility, F.lit(0.0))) - 1)
 
 
 def discount(rank: Column) -> Column:

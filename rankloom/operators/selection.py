@@ -89,8 +89,8 @@ def downside_weighted(reward: Column, kappa: float) -> Column:
 
 
 def candidate_quality(score: Column) -> Column:
-    """A utility of 1 to 7 as 0 to 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score - 1) / 6))
+    """A utility of 1 to 7 as 0 to 1; null for null."""
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score - 1) / 6)))
 
 
 def mmr(pool: DataFrame, lam: float, k: int = 8, budget: int | None = None) -> DataFrame:

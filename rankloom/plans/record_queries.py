@@ -80,7 +80,7 @@ def b13(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LINEAR = " + ".join(f"CAST({c} AS DOUBLE) * {w}" for c, w in ut.WEIGHTS.items())
-_UTILITY = f"CASE WHEN label_safety <= 2 THEN least({_LINEAR}, 2.0) ELSE {_LINEAR} END"
+_UTILITY = f"CASE WHEN label_safety <= 2 AND ({_LINEAR}) IS NOT NULL THEN least({_LINEAR}, 2.0) ELSE {_LINEAR} END"
 
 
 @query("b28_utility_audit", sql(f"SELECT count(*) AS n, count(*) FILTER (abs(utility - u) > 0.001) AS off, round(max(abs(utility - u)), 4) AS largest FROM (SELECT utility, {_UTILITY} AS u FROM judged) WHERE utility IS NOT NULL AND u IS NOT NULL", "judged"))
@@ -235,7 +235,7 @@ def g1(spark: SparkSession, d: str) -> DataFrame:
     return t.judged(spark, d).select(*PAIR, r6(ut.utility(), "utility"), r6(ut.linear(), "linear"))
 
 
-@query("g2_clamped_scores", sql("SELECT query_id, comment_id, CAST(coalesce(greatest(1.0, least(7.0, round_even(utility, 0))), 1) AS BIGINT) AS score, CASE WHEN utility IS NOT NULL THEN CAST(greatest(0, least(6, round_even(utility, 0) - 1)) AS BIGINT) END AS grade FROM judged", "judged"))
+@query("g2_clamped_scores", sql("SELECT query_id, comment_id, CASE WHEN utility IS NULL THEN 1 ELSE CAST(greatest(1.0, least(7.0, round_even(utility, 0))) AS BIGINT) END AS score, CASE WHEN utility IS NOT NULL THEN CAST(greatest(0, least(6, round_even(utility, 0) - 1)) AS BIGINT) END AS grade FROM judged", "judged"))
 def g2(spark: SparkSession, d: str) -> DataFrame:
     return t.judged(spark, d).select(*PAIR, ut.clamp_score(F.col("utility")).cast("bigint").alias("score"), F.when(F.col("utility").isNotNull(), ut.grade(F.col("utility"))).cast("bigint").alias("grade"))
 

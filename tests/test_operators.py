@@ -191,6 +191,16 @@ def test_unsafe_items_are_capped(spark):
     assert [r[0] for r in df.select(F.round(ut.utility(), 6)).collect()] == [2.0, 7.0, None]
 
 
+def test_nulls_stay_null_under_greatest_and_least(spark):
+    from rankloom.functions.vectors import cosine
+
+    df = spark.createDataFrame([(None, None, [1.0])], "u double, a array<double>, b array<double>")
+    out = df.select(ut.grade(F.col("u")), metrics.gain(F.col("u")), selection.candidate_quality(F.col("u")), cosine(F.col("a"), F.col("b"))).first()
+    assert list(out) == [None] * 4
+    labels = spark.createDataFrame([(None, 7, 7, 7, 7, 1)], ", ".join(f"{c} int" for c in ut.WEIGHTS))
+    assert labels.select(ut.utility()).first()[0] is None
+
+
 def test_parse_judgment_forms(spark):
     rows = [('{"relevance": 3, "safety": 7}',), ('Sure!\n```json\n{"relevance": 4, "safety": 6}\n```',), ('relevance: 5, "safety": 2',), ("no idea",), (None,)]
     out = [r[0] and r[0].relevance for r in spark.createDataFrame(rows, "t string").select(ut.parse_judgment(F.col("t"), ["relevance", "safety"])).collect()]
@@ -298,7 +308,8 @@ def test_pairwise_scorer_learns_the_order(spark):
 
 def test_one_standard_error_is_conservative(spark):
     rows = [(b, f"q{i}", v + 0.01 * (i % 3)) for b, v in ((0, 1.0), (1, 2.0), (2, 2.0005)) for i in range(9)]
-    rows = [(b, q, v + (0.01 if b == 2 and q == "q1" else 0.0)) for b, q, v in rows]
+    # the best setting's lead of 0.0005 is within the error of its differences
+    rows = [(b, q, v + {"q1": 0.02, "q2": -0.02}.get(q, 0.0) * (b == 2)) for b, q, v in rows]
     df = spark.createDataFrame(rows, "budget int, query_id string, value double")
     assert learn.one_standard_error(df, "budget", "value", "query_id").first().budget == 1
 
