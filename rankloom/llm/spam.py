@@ -22,6 +22,7 @@ BLOCK = 600
 USUAL, USUAL_SPREAD, PRIOR = (0.80, 0.68, 0.62, 0.58, 0.565, 0.555), 0.02, 20
 
 URL = re.compile(r"\[[^\]\n]{0,200}\]\((?:https?://|www\.)[^)\s]*\)|<a\s[^>]*>.*?</a>|(?:https?://|www\.)\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|info|biz|shop|example|test|invalid)(?:/\S*)?", re.I | re.S)
+DOMAIN = re.compile(r"\.(?:com|net|org|info|biz|shop|example|test|invalid)")
 HASHTAG = re.compile(r"#\w+")
 GLUED = re.compile(r"\w+_\w+|\w{15,}")
 APART = re.compile(r"(?:(?<=\s)|^)(?:\w (?=\w )){4,}\w(?=\s|$)", re.M)
@@ -37,6 +38,7 @@ STOPS = {
     "es": "el la los las un una unos y o pero es son era yo tú él ella nosotros mi mis tu su sus me te se no de del al a en con por para como que quien cuando si lo le más muy todo ya hay ha he esta este esto",
 }
 _STOPS = {k: frozenset(v.split()) for k, v in STOPS.items()}
+_LANGUAGES = {w: tuple(k for k, v in _STOPS.items() if w in v) for v in _STOPS.values() for w in v}
 _ANY = frozenset().union(*_STOPS.values())
 
 MEASURES = ["lang", "bucket", "chars", "ratio", "stops", "repeat", "prose"]
@@ -66,16 +68,26 @@ def blocks(text: str, size: int = BLOCK) -> list[str]:
 
 def reduced(text: str) -> str:
     """Links, tags, glued words and numbers as one sign each, so that lists of them compress to next to nothing."""
-    text = APART.sub(lambda m: m[0].replace(" ", ""), text)
-    text = URL.sub(" ¤ ", text)
-    text = HASHTAG.sub("¤", text)
-    text = GLUED.sub("¤", text)
+    parts = text.split()
+    if sum(len(p) == 1 for p in parts) > 4:
+        text = APART.sub(lambda m: m[0].replace(" ", ""), text)
+        parts = text.split()
+    low = text.lower()
+    if "://" in low or "www." in low or "](" in low or "<a" in low or DOMAIN.search(low):
+        text = URL.sub(" ¤ ", text)
+    if "#" in text:
+        text = HASHTAG.sub("¤", text)
+    if "_" in text or max(map(len, parts), default=0) > 14:
+        text = GLUED.sub("¤", text)
     return DIGITS.sub("0", text).lower()
 
 
 def language(words: list[str]) -> str:
     """By frequent words; "xx" where there are hardly any."""
-    counts = {k: sum(w in s for w in words) for k, s in _STOPS.items()}
+    counts = dict.fromkeys(_STOPS, 0)
+    for w in words:
+        for k in _LANGUAGES.get(w, ()):
+            counts[k] += 1
     best = max(counts, key=lambda k: counts[k])
     return best if counts[best] * 20 >= len(words) and counts[best] else "xx"
 
