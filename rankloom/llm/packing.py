@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import base64
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,51 +42,66 @@ def token_counts(documents: DataFrame, key: str, text: str, vocabulary: str) ->
     return rows.groupBy(key).agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def pack_histogram(counts: dict[int, int], capacity: int, tiers: list[int]) -> list[tuple[int, int, int, int, int, int]]:
-    """Packs counts[n] items of n <= capacity tokens; rows (n, first rank, items, items a window, first window, offset).
+def pack_tiers(counts: dict[int, dict[int, int]]) -> list[tuple[int, int, int, int, int, int, int, int]]:
+    """Packs counts[tier][n] items of n <= tier tokens into windows of the tiers' sizes, from the longest tier to the
+    shortest; rows (tier, n, first rank, items, items a window, window size, first window, offset).
 
-    Items of the longest tier go first, each tier from long to short, into the fullest windows that still hold them
-    (best fit), so the gaps of long windows are filled from the shorter tiers. Windows that are filled alike are one
-    class with a count; a class is split only where it runs out of items. A class holds consecutive window numbers.
+    Items of a tier, from long to short, first fill the gaps of longer tiers' windows; only what fits in none of them goes
+    into windows of its own tier. Both times the fullest windows that still hold an item take it (best fit). Windows that
+    are filled alike are one class with a count; a class is split only where it runs out of items. A class holds
+    consecutive window numbers, which count from 0 in each size.
     """
-    open_by_room: dict[int, list[tuple[int, int]]] = {}  # room -> (first window, windows)
-    rooms: list[int] = []
-    plan, windows = [], 0
+    plan, rooms, open_by_room = [], [], {}  # room -> (window size, first window, windows)
 
-    def put(room: int, first: int, many: int) -> None:
+    def put(room: int, size: int, first: int, many: int) -> None:
         if many and room:
             if room not in open_by_room:
                 open_by_room[room] = []
                 insort(rooms, room)
-            open_by_room[room].append((first, many))
-
-    bounds = sorted({t for t in tiers if t < capacity} | {capacity}, reverse=True)
-    tier_of = lambda n: min(t for t in bounds if t >= n)
-    for n in sorted((n for n in counts if 0 < n <= capacity), key=lambda n: (-tier_of(n), -n)):
-        left, rank = counts[n], 0
-        while left:
-            at = bisect_left(rooms, n)
-            if at == len(rooms):
-                each = min(capacity // n, left)
-                many = left // each
-                plan.append((n, rank, many * each, each, windows, 0))
-                put(capacity - each * n, windows, many)
-                windows, rank, left = windows + many, rank + many * each, left - many * each
-                continue
+            open_by_room[room].append((size, first, many))
+
+    def fill(tier: int, n: int, rank: int, left: int) -> tuple[int, int]:
+        while left and (at := bisect_left(rooms, n)) < len(rooms):
             room = rooms[at]
-            first, have = open_by_room[room].pop()
+            size, first, have = open_by_room[room].pop()
             if not open_by_room[room]:
                 del open_by_room[room]
                 rooms.pop(at)
             each = min(room // n, left)
             many = min(have, left // each)
-            plan.append((n, rank, many * each, each, first, capacity - room))
-            put(room - each * n, first, many)
-            put(room, first + many, have - many)
+            plan.append((tier, n, rank, many * each, each, size, first, size - room))
+            put(room - each * n, size, first, many)
+            put(room, size, first + many, have - many)
             rank, left = rank + many * each, left - many * each
+        return rank, left
+
+    for tier in sorted(counts, reverse=True):
+        rest = [(n, *fill(tier, n, 0, counts[tier][n])) for n in sorted((n for n in counts[tier] if 0 < n <= tier), reverse=True)]
+        longer, windows = (rooms, open_by_room), 0
+        rooms, open_by_room = [], {}
+        for n, rank, left in rest:
+            while left:
+                rank, left = fill(tier, n, rank, left)
+                if left:
+                    each = min(tier // n, left)
+                    many = left // each
+                    plan.append((tier, n, rank, many * each, each, tier, windows, 0))
+                    put(tier - each * n, tier, windows, many)
+                    windows, rank, left = windows + many, rank + many * each, left - many * each
+        for room in longer[0]:
+            for size, first, many in longer[1][room]:
+                put(room, size, first, many)
     return plan
 
 
+def pack_histogram(counts: dict[int, int], capacity: int, tiers: list[int]) -> list[tuple[int, int, int, int, int, int]]:
+    """`pack_tiers` with one size of windows; rows (n, first rank, items, items a window, first window, offset).
+
+    That is best-fit decreasing. `tiers` change nothing, as lengths in decreasing order go from tier to tier anyway.
+    """
+    return [(n, rank, items, each, first, at) for _, n, rank, items, each, _, first, at in pack_tiers({capacity: counts})]
+
+
 def pack(lengths: DataFrame, key: str, size: str, capacities: list[int], step_windows: int = 64, bucket_rows: int = 200_000) -> DataFrame:
     """(capacity_tokens, key, piece, n_tokens, window_id, start, step_group) for each capacity over all documents.
 
@@ -98,13 +113,32 @@ def pack(lengths: DataFrame, key: str, size: str, capacities: list[int], step_wi
     fill, forwards and backwards in turn, so that all groups hold about the same number of tokens.
     """
     capacities = sorted({int(c) for c in capacities if c and c > 0})
+    every = F.explode(F.array(*[F.lit(c) for c in capacities])) if capacities else F.lit(None).cast("int")
+    return _placed(lengths, key, size, every, lambda histogram: {c: _plan({c: histogram.get(c, {})}, step_windows) for c in capacities}, bucket_rows)
+
+
+def tiered(lengths: DataFrame, key: str, size: str, tiers: list[int], step_windows: int = 64, bucket_rows: int = 200_000) -> DataFrame:
+    """Each document once: routed to the shortest tier that holds it (the longest for longer ones), and packed from the
+    longest tier to the shortest, gaps of longer tiers' windows first (`pack_tiers`).
+
+    Same columns and cases as `pack`; capacity_tokens is the size of the window, which may be longer than the document's
+    tier. Windows of all tiers are dealt to the same step groups.
+    """
+    tiers = sorted({int(t) for t in tiers if t and t > 0})
+    routed = F.coalesce(*[F.when(F.col("__n") <= t, F.lit(t)) for t in tiers], F.lit(tiers[-1] if tiers else None).cast("int"))
+    return _placed(lengths, key, size, routed, lambda histogram: dict.fromkeys(tiers, _plan({t: histogram.get(t, {}) for t in tiers}, step_windows)), bucket_rows)
+
+
+def _placed(lengths: DataFrame, key: str, size: str, capacity: Column, plan: Callable[[dict], dict], bucket_rows: int) -> DataFrame:
+    """The rows of `pack`. capacity: the tiers of a document of `__n` tokens; plan: from the lengths' counts by tier, each
+    tier's `_plan`."""
     spark = lengths.sparkSession
     total = lengths.count()
     buckets = max(1, total // bucket_rows)
     pieces = (
         lengths.filter(F.col(key).isNotNull())
         .select(key, F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("__n"), F.pmod(F.xxhash64(key), F.lit(buckets)).alias("__b"))
-        .withColumn("capacity_tokens", F.explode(F.array(*[F.lit(c) for c in capacities])) if capacities else F.lit(None).cast("int"))
+        .withColumn("capacity_tokens", capacity)
         .withColumn("__whole", F.floor(F.col("__n") / F.col("capacity_tokens")).cast("bigint"))
     )
     # the rest of each document, and apart from it the whole windows that only one document fills
@@ -119,66 +153,56 @@ def pack(lengths: DataFrame, key: str, size: str, capacities: list[int], step_wi
     ranked = items.withColumn("__r", F.row_number().over(within) - 1).join(cells, ["capacity_tokens", "n_tokens", "__b"])
     ranked = ranked.select("capacity_tokens", key, "piece", "n_tokens", (F.col("__r") + F.col("__before")).alias("__rank"))
 
-    histogram: dict[int, dict[int, int]] = {c: {} for c in capacities}
+    histogram: dict[int, dict[int, int]] = {}
     for r in items.groupBy("capacity_tokens", "n_tokens").agg(F.count(F.lit(1)).alias("c")).collect():
-        histogram[r["capacity_tokens"]][r["n_tokens"]] = r["c"]
-    plans = {c: _plan(histogram[c], c, capacities, step_windows) for c in capacities}
-    shared = spark.sparkContext.broadcast(plans)
+        histogram.setdefault(r["capacity_tokens"], {})[r["n_tokens"]] = r["c"]
+    shared = spark.sparkContext.broadcast(plan(histogram))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            tier = b["capacity_tokens"]
             b = b.assign(window_id=0, start=0, step_group=0)
-            for c, part in b.groupby("capacity_tokens", sort=False):
+            for c, part in b.groupby(tier, sort=False):
                 p = shared.value[c]
+                rows = p["rows"][c]
                 n, rank = part["n_tokens"].to_numpy(), part["__rank"].to_numpy()
                 ok = n > 0
-                at = np.searchsorted(p["order"], n[ok] * p["stride"] + rank[ok], side="right") - 1
-                inside = rank[ok] - p["rank"][at]
-                window = p["window"][at] + inside // p["each"][at]
-                w, s, g = (np.zeros(len(n), dtype=np.int64) for _ in range(3))
-                w[ok], s[ok] = window, p["start"][at] + inside % p["each"][at] * n[ok]
+                at = np.searchsorted(rows["order"], n[ok] * p["stride"] + rank[ok], side="right") - 1
+                inside = rank[ok] - rows["rank"][at]
+                window = rows["window"][at] + inside // rows["each"][at]
+                w, s, g, size_of = *(np.zeros(len(n), dtype=np.int64) for _ in range(3)), np.full(len(n), c, dtype=np.int32)
+                w[ok], s[ok], size_of[ok] = window - rows["base"][at], rows["start"][at] + inside % rows["each"][at] * n[ok], rows["size"][at]
                 cls = np.searchsorted(p["class_first"], window, side="right") - 1
                 fill_rank = p["class_rank"][cls] + window - p["class_first"][cls]
                 groups = p["groups"]
                 lap, place_in = fill_rank // groups, fill_rank % groups
                 g[ok] = np.where(lap % 2 == 0, place_in, groups - 1 - place_in)
-                b.loc[part.index, "window_id"], b.loc[part.index, "start"], b.loc[part.index, "step_group"] = w, s, g
+                b.loc[part.index, "window_id"], b.loc[part.index, "start"], b.loc[part.index, "step_group"], b.loc[part.index, "capacity_tokens"] = w, s, g, size_of
             yield b[["capacity_tokens", key, "piece", "n_tokens", "window_id", "start", "step_group"]]
 
     kind = dict(items.dtypes)[key]
     return ranked.mapInPandas(place, f"capacity_tokens int, `{key}` {kind}, piece bigint, n_tokens bigint, window_id bigint, start bigint, step_group bigint")
 
 
-def _plan(counts: dict[int, int], capacity: int, tiers: list[int], step_windows: int) -> dict:
-    rows = sorted(pack_histogram(counts, capacity, tiers))
-    a = np.array(rows, dtype=np.int64).reshape(-1, 6)
-    stride = int(max([1, *counts.values()])) + 1
-    edges = np.unique(np.concatenate([a[:, 4], a[:, 4] + a[:, 2] // a[:, 3]]) if len(a) else np.zeros(1, dtype=np.int64))
+def _plan(counts: dict[int, dict[int, int]], step_windows: int) -> dict:
+    """Where the items of each tier lie, and the order of all windows by fill; windows of all sizes are numbered in one row."""
+    a = np.array(sorted(pack_tiers(counts)), dtype=np.int64).reshape(-1, 8)
+    tier, n, rank, items, each, size, first, start = a.T
+    stride = int(max([1, *(c for t in counts.values() for c in t.values())])) + 1
+    base, windows = np.zeros(len(a), dtype=np.int64), 0
+    for t in sorted(counts):
+        base[size == t] = windows
+        windows += int(max((first + items // each)[size == t], default=0))
+    window = base + first
+    edges = np.unique(np.concatenate([window, window + items // each]) if len(a) else np.zeros(1, dtype=np.int64))
     # tokens of the windows between two edges, which are all filled alike
     change = np.zeros(len(edges) + 1, dtype=np.int64)
-    np.add.at(change, np.searchsorted(edges, a[:, 4]), a[:, 0] * a[:, 3])
-    np.add.at(change, np.searchsorted(edges, a[:, 4] + a[:, 2] // a[:, 3]), -a[:, 0] * a[:, 3])
+    np.add.at(change, np.searchsorted(edges, window), n * each)
+    np.add.at(change, np.searchsorted(edges, window + items // each), -n * each)
     fill, width = np.cumsum(change)[: len(edges)], np.diff(np.append(edges, edges[-1]))
     order = np.argsort(-fill, kind="stable")
-    rank = np.zeros(len(edges), dtype=np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum(width[order])[:-1]])
-    windows = int(edges[-1])
-    return {"order": a[:, 0] * stride + a[:, 1], "stride": stride, "rank": a[:, 1], "each": a[:, 3], "window": a[:, 4], "start": a[:, 5],
-            "class_first": edges, "class_rank": rank, "groups": max(1, windows // step_windows)}
-
-
-def tiered(lengths: DataFrame, key: str, size: str, tiers: list[int], step_windows: int = 64) -> DataFrame:
-    """Each document once: routed to the shortest tier that holds it (the longest for longer ones), then packed in its tier.
-
-    Same columns and cases as `pack`.
-    """
-    tiers = sorted({int(t) for t in tiers if t and t > 0})
-    parts = []
-    for low, high in zip([-1, *tiers], tiers):
-        top = high == tiers[-1]
-        mine = lengths.filter((F.coalesce(F.col(size), F.lit(0)) > low) & (F.lit(top) | (F.coalesce(F.col(size), F.lit(0)) <= high)))
-        parts.append(pack(mine, key, size, [high], step_windows))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    fill_rank = np.zeros(len(edges), dtype=np.int64)
+    fill_rank[order] = np.concatenate([[0], np.cumsum(width[order])[:-1]])
+    rows = {t: {"order": n[tier == t] * stride + rank[tier == t], "rank": rank[tier == t], "each": each[tier == t], "window": window[tier == t], "start": start[tier == t],
+                "size": size[tier == t], "base": base[tier == t]} for t in counts}
+    return {"rows": rows, "stride": stride, "class_first": edges, "class_rank": fill_rank, "groups": max(1, windows // step_windows)}

@@ -146,6 +146,18 @@ def test_packing_of_nothing_and_of_hashed_buckets(spark):
     assert packing.pack(df.limit(0), "doc_id", "n", [64]).count() == 0 and packing.pack(df, "doc_id", "n", []).count() == 0
 
 
+def test_gaps_of_long_windows_are_filled_from_shorter_tiers(spark):
+    df = spark.createDataFrame([(i, 70) for i in range(40)] + [(100 + i, 50) for i in range(50)] + [(200 + i, 8) for i in range(40)] + [(300, 300)], "doc_id long, n long")
+    out = packing.tiered(df, "doc_id", "n", [64, 128], step_windows=5).toPandas()
+    windows = out.groupby(["capacity_tokens", "window_id"]).agg(tokens=("n_tokens", "sum"), groups=("step_group", "nunique"), group=("step_group", "first"))
+    assert (windows.tokens <= windows.index.get_level_values(0)).all() and (windows.groups == 1).all()
+    # two whole windows of the long document, 39 of 70 + 50 + 8, one of 70, the rest of the long one and 8; then 11 of 50
+    assert out.n_tokens.sum() == 40 * 70 + 50 * 50 + 40 * 8 + 300 and (windows.tokens == 128).sum() == 41
+    assert len(windows.loc[128]) == 42 and len(windows.loc[64]) == 11
+    tokens = windows.groupby("group").tokens.sum()
+    assert len(tokens) == len(windows) // 5 and tokens.max() - tokens.min() <= 128
+
+
 @pytest.mark.skipif(not VOCABULARY.exists(), reason="no tokenizer files")
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (1, "hello world again"), (2, None), (3, ""), (None, "x"), (4, "word " * 50_000)], "doc_id long, text string")
