@@ -456,7 +456,7 @@ def l17(spark: SparkSession, d: str) -> DataFrame:
 @query("g43_seed_distances")
 def g43(spark: SparkSession, d: str) -> DataFrame:
     e, s = _thread_graph(spark, d)
-    return rounded(graph.seed_distances(e, s.filter("weight > 0.7"), 2))
+    return rounded(graph.seed_distances(e, s))
 
 
 # scorers

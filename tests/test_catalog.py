@@ -53,3 +53,24 @@ def test_entry(spark):
 
     assert catalog.FLAGSHIP in e.queries() and set(e.oracle_sql()) <= set(e.queries())
     assert catalog.QUERIES[catalog.FLAGSHIP](spark, DATA).count() > 0
+
+
+def test_seed_distances_walk_three_hops_from_every_seed(spark):
+    from rankloom.plans import tables as t
+
+    near = {}
+    for r in t.comments(spark, DATA).filter("parent_id IS NOT NULL").select("comment_id", "parent_id").collect():
+        near.setdefault(f"t1_{r.comment_id}", set()).add(r.parent_id)
+        near.setdefault(r.parent_id, set()).add(f"t1_{r.comment_id}")
+    expected = {}
+    for p in t.pool(spark, DATA).collect():
+        distance = front = {f"t1_{p.comment_id}": 0}
+        for hop in range(1, 4):
+            front = {b: hop for a in front for b in near.get(a, ()) if b not in distance}
+            distance = distance | front
+        for node, n in distance.items():
+            seeds, least, weighted = expected.get((p.query_id, node), (0, 9, 0.0))
+            expected[p.query_id, node] = seeds + 1, min(least, n), weighted + max(p.sbert or 0.0, 0.0) / (1 + n)
+    found = {(r.query_id, r.node): (r.seeds, r.distance, r.weighted) for r in catalog.QUERIES["g43_seed_distances"](spark, DATA).collect()}
+    assert found.keys() == expected.keys() and max(r[1] for r in found.values()) == 3
+    assert all(found[k][:2] == v[:2] and math.isclose(found[k][2], v[2], abs_tol=1e-5) for k, v in expected.items())
