@@ -295,11 +295,19 @@ def g7(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g49_redaction", sql("SELECT comment_id, sha256(r) AS digest FROM (SELECT comment_id, regexp_replace(regexp_replace(comment_text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), 'https?://[^\\s)\\]>]+', '[URL]', 'g') AS r FROM notes WHERE comment_text IS NOT NULL AND comment_text NOT LIKE '%u/%' AND comment_text NOT LIKE '%U/%' AND comment_text NOT LIKE '%r/%' AND comment_text NOT LIKE '%R/%' AND NOT regexp_matches(comment_text, '\\d.{0,3}\\d.{0,3}\\d.{0,3}\\d'))", "notes"))
 def g49(spark: SparkSession, d: str) -> DataFrame:
-    """Digests of redacted comments without names and long numbers, whose patterns SQL does not have."""
+    """Digests of redacted comments without names and long numbers, whose patterns SQL does not have: the part of
+    `g49_redaction_all` that can be held against SQL."""
     c = t.comments(spark, d).filter(~F.lower("comment_text").contains("u/") & ~F.lower("comment_text").contains("r/") & ~F.col("comment_text").rlike(r"\d.{0,3}\d.{0,3}\d.{0,3}\d"))
     return c.select("comment_id", F.sha2(tx.redacted(F.col("comment_text")), 256).alias("digest"))
 
 
+@query("g49_redaction_all")
+def g49_all(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of all redacted comments with text. There is no SQL, as DuckDB's patterns have no lookbehinds."""
+    c = t.comments(spark, d).filter("comment_text IS NOT NULL")
+    return c.select("comment_id", F.sha2(tx.redacted(F.col("comment_text")), 256).alias("digest"))
+
+
 @query("g48_link_kinds", sql("SELECT kind, count(*) AS links FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(u), '{p}') THEN '{k}'" for k, p in tx.LINK_KINDS) + " ELSE 'other' END AS kind FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), 'https?://[^\\s)\\]>]+')) AS u FROM documents)) GROUP BY 1"))
 def g48(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "documents").select(F.explode(tx.links(F.col("text"))).alias("u"))

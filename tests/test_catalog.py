@@ -74,3 +74,27 @@ def test_seed_distances_walk_three_hops_from_every_seed(spark):
     found = {(r.query_id, r.node): (r.seeds, r.distance, r.weighted) for r in catalog.QUERIES["g43_seed_distances"](spark, DATA).collect()}
     assert found.keys() == expected.keys() and max(r[1] for r in found.values()) == 3
     assert all(found[k][:2] == v[:2] and math.isclose(found[k][2], v[2], abs_tol=1e-5) for k, v in expected.items())
+
+
+def test_redaction_covers_all_comments(spark, tmp_path):
+    import hashlib
+    import re
+
+    steps = [(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"), (r"https?://[^\s)\]>]+", "[URL]"), (r"(?i)(?<![\w/])/?u/[A-Za-z0-9_-]+", "[USER]"), (r"(?i)(?<![\w/])/?r/[A-Za-z0-9_]+", "[COMMUNITY]"), (r"(?<!\d)\+?\d(?:[ ().-]{0,2}\d){6,14}(?!\d)", "[NUMBER]")]
+    texts = ["thanks u/some-one", "see /R/adhd and and/r/x", "call +49 (30) 123-4567 now", "in 2024 and 12 3", "a@b.org u/a r/b https://x.org/r/y 555 123 4567", "", "plain"]
+    stored = spark.read.parquet(f"{DATA}/comments.parquet")
+    names = [r[0] for r in stored.select("comment_id").distinct().orderBy("comment_id").limit(len(texts)).collect()]
+    made = spark.createDataFrame(list(zip(names, texts)), "comment_id string, new string")
+    one = stored.filter(stored.comment_id.isin(names)).dropDuplicates(["comment_id"]).join(made, "comment_id")
+    one.withColumn("comment_text", one.new).select(*stored.columns).write.parquet(f"{tmp_path}/comments.parquet")
+    for d in (str(tmp_path), DATA):
+        from rankloom.plans import tables as t
+
+        expected = {}
+        for r in t.comments(spark, d).filter("comment_text IS NOT NULL").collect():
+            x = r.comment_text
+            for pattern, placeholder in steps:
+                x = re.sub(pattern, placeholder, x, flags=re.A)
+            expected[r.comment_id] = hashlib.sha256(x.encode()).hexdigest()
+        assert {r.comment_id: r.digest for r in catalog.QUERIES["g49_redaction_all"](spark, d).collect()} == expected
+        assert d == DATA or len(expected) == len(texts)
