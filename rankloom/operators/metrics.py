@@ -6,6 +6,7 @@ judged(query_id, comment_id, utility). Every metric is one aggregation per list
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,34 +147,70 @@ def alignment(candidates: DataFrame, replies: DataFrame, threshold: float) -> Da
     return by_c.join(by_r, "query_id").withColumn("f1", f1)
 
 
-def cluster_balanced_coverage(candidates: DataFrame, replies: DataFrame, distance: float = 0.6, most: int = 50) -> DataFrame:
+def average_linkage(v: np.ndarray, weight: np.ndarray, distance: float) -> list[list[int]]:
+    """Clusters of the rows of v, which count `weight` times: the two of the least mean cosine distance join while it is at
+    most `distance`; of equal ones those of the first rows.
+
+    The mean distance of two clusters follows from the sums of their vectors, so only these are kept, and of each cluster
+    the nearest later one.
+    """
+    sums, n = v * weight[:, None], weight.astype(float)
+    groups, alive = [[i] for i in range(len(v))], np.ones(len(v), dtype=bool)
+    least, to = np.full(len(v), np.inf), np.zeros(len(v), dtype=int)
+
+    def gaps(i: int) -> np.ndarray:
+        return np.where(alive, np.round(1 - (sums @ sums[i]) / (n * n[i]), 12), np.inf)
+
+    def look(i: int, gap: np.ndarray) -> None:
+        if i + 1 < len(v):
+            to[i] = i + 1 + int(gap[i + 1 :].argmin())
+            least[i] = gap[to[i]]
+
+    for i in range(len(v)):
+        look(i, gaps(i))
+    while len(v) and least[i := int(least.argmin())] <= distance:
+        j = int(to[i])
+        groups[i] += groups[j]
+        sums[i], n[i] = sums[i] + sums[j], n[i] + n[j]
+        alive[j], least[j] = False, np.inf
+        gap = gaps(i)
+        least[i] = np.inf
+        look(i, gap)
+        for k in np.flatnonzero(alive[:j]):
+            if k != i and to[k] in (i, j):
+                look(k, gaps(k))
+            elif k < i and (gap[k], i) < (least[k], to[k]):
+                least[k], to[k] = gap[k], i
+    return [g for g, a in zip(groups, alive) if a]
+
+
+def cluster_balanced_coverage(candidates: DataFrame, replies: DataFrame, distance: float = 0.6, most: int | None = None) -> DataFrame:
     """(query_id, clusters, rcc): mean over clusters of replies of the mean, over a cluster's replies, of the largest
     similarity to a candidate, so that many replies that say the same count as one view.
 
     Clusters join while their mean cosine distance is at most `distance` (average linkage). Merging needs a query's
-    replies at once, so each query takes part with its first `most` replies by id, as capped references do.
+    replies at once; equal vectors are merged before and count by their number. `most`: only the first replies by id, for
+    capped references; all by default.
     candidates: (query_id, comment_id, vec), replies: (query_id, reply_id, vec), unit vectors.
     """
-    import numpy as np
     import pandas as pd
 
     from rankloom.functions.vectors import cosine
 
-    capped = top_k(replies.filter(F.col("vec").isNotNull()), ["query_id"], ["reply_id"], most, "__p")
+    known = replies.filter(F.col("vec").isNotNull())
+    if most is not None:
+        known = top_k(known, ["query_id"], ["reply_id"], most, "__p")
     c = candidates.select("query_id", F.col("vec").alias("cv"))
-    near = capped.join(c, "query_id").groupBy("query_id", "reply_id").agg(F.max(cosine(F.col("vec"), F.col("cv"))).alias("m"), F.first("vec").alias("vec"))
+    known = known.groupBy("query_id", "reply_id").agg(F.min("vec").alias("vec")).groupBy("query_id", "vec").agg(F.min("reply_id").alias("reply_id"), F.count(F.lit(1)).alias("n"))
+    near = known.join(c, "query_id").groupBy("query_id", "reply_id").agg(F.max(cosine(F.col("vec"), F.col("cv"))).alias("m"), F.first("vec").alias("vec"), F.first("n").alias("n"))
 
     def merge(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("reply_id")
-        v = np.array([np.asarray(x, dtype=float) for x in g["vec"]])
-        gap = 1 - v @ v.T
-        groups = [[i] for i in range(len(g))]
-        while len(groups) > 1:
-            best = min(((gap[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups[:i])), key=lambda x: (round(x[0], 12), x[2], x[1]))
-            if best[0] > distance:
-                break
-            groups[best[2]] += groups.pop(best[1])
-        m = g["m"].to_numpy()
-        return pd.DataFrame({"query_id": [g["query_id"].iloc[0]], "clusters": [len(groups)], "rcc": [float(np.mean([m[x].mean() for x in groups]))]})
+        v, n, m = np.array([np.asarray(x, dtype=float) for x in g["vec"]]), g["n"].to_numpy(), g["m"].to_numpy()
+        apart = 1 - (v * v).sum(axis=1) > min(distance, 1e-6)  # no unit vectors, which are not near themselves
+        times = np.where(apart, n, 1)
+        v, m, n = np.repeat(v, times, axis=0), np.repeat(m, times), np.repeat(np.where(apart, 1, n), times)
+        groups = average_linkage(v, n, distance)
+        return pd.DataFrame({"query_id": [g["query_id"].iloc[0]], "clusters": [len(groups)], "rcc": [float(np.mean([np.average(m[x], weights=n[x]) for x in groups]))]})
 
     return near.groupBy("query_id").applyInPandas(merge, f"query_id {dict(near.dtypes)['query_id']}, clusters int, rcc double")

@@ -320,3 +320,32 @@ def test_clusters_count_once(spark):
     x = metrics.cluster_balanced_coverage(c, spark.createDataFrame(rows, "query_id string, reply_id string, vec array<double>"), 0.3).first()
     assert (x.clusters, x.rcc) == (2, 0.5)
     assert metrics.cluster_balanced_coverage(c.limit(0), spark.createDataFrame(rows, "query_id string, reply_id string, vec array<double>")).count() == 0
+
+
+def test_all_replies_of_a_query_are_clustered(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(70, 5))
+    vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[60:] = vectors[:10]
+    vectors[30] = 0
+    c = spark.createDataFrame([("q", "a", [1.0, 0.0, 0.0, 0.0, 0.0]), ("q", "b", [0.0, 0.0, 1.0, 0.0, 0.0])], "query_id string, comment_id string, vec array<double>")
+    r = spark.createDataFrame([("q", f"r{i:02}", v.tolist()) for i, v in enumerate(vectors)], "query_id string, reply_id string, vec array<double>")
+
+    def brute(v, distance):
+        gap, groups = 1 - v @ v.T, [[i] for i in range(len(v))]
+        while len(groups) > 1:
+            best, j, i = min((round(gap[np.ix_(a, b)].mean(), 12), j, i) for i, a in enumerate(groups) for j, b in enumerate(groups[:i]))
+            if best > distance:
+                break
+            groups[j] += groups.pop(i)
+        m = np.maximum(v[:, 0], v[:, 2])
+        return len(groups), np.mean([m[g].mean() for g in groups])
+
+    for distance in (0.2, 0.6):
+        for most in (None, 20):
+            x = metrics.cluster_balanced_coverage(c, r, distance, most).first()
+            clusters, rcc = brute(vectors[:most], distance)
+            assert x.clusters == clusters and math.isclose(x.rcc, rcc, abs_tol=1e-9)
+    assert metrics.cluster_balanced_coverage(c, r, 0.2).first().clusters > brute(vectors[:50], 0.2)[0]
