@@ -266,9 +266,8 @@ def family(word: str, cased: bool) -> bool:
 
 def names(text: str, low: str, tokens: set[str]) -> list[Span]:
     out: list[Span] = []
-    letters = [c for c in text[:400] if c.isalpha()]
-    upper = sum(c.isupper() for c in letters)
-    cased = 0 < upper < 0.6 * len(letters) and any(c.isupper() for c in text)
+    upper = sum(map(str.isupper, text))
+    cased = 0 < upper < 0.6 * sum(map(str.isalpha, text))
     if not tokens.isdisjoint(_TITLES):
         for m in TITLED.finditer(text):
             word = m[1].split(".")[-1].strip()

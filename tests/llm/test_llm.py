@@ -288,6 +288,14 @@ def test_checksums():
     assert pii.mod11("9434765919") and not pii.mod11("9434765918") and pii.mod23("12345678Z") and not pii.mod23("12345678A") and pii.iso7064("86095742719")
 
 
+def test_capitals_of_the_whole_text_count(spark):
+    for start in ("and then we walked on for a while. " * 15, "AND THEN WE WALKED ON FOR A WHILE. " * 15):
+        rest = "Later the weather turned and everybody went home again to have some tea together. " * 12 + "My name is Zebulon Quartermaine and I live here."
+        assert [(start + rest)[s.start : s.end] for s in pii.spans(start + rest)] == ["Zebulon Quartermaine"]
+        assert [s.kind for s in pii.spans(start + "My name is Zebulon Quartermaine. " + rest)] == ["person_name"] * 2
+    assert pii.spans("and then we walked on for a while. " * 15 + "Doctor Quartermaine came. " + "All was well again. " * 9)[0].kind == "person_name"
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [("a", FOUND[0][0], 1), ("a", FOUND[0][0], 1), ("b", None, None), ("c", "", 2), ("d", "nothing here & now", 3), (None, FOUND[5][0], 4), ("e", "x " * 30_000 + FOUND[6][0], 5)]
     df = spark.createDataFrame(rows, "comment_id string, t string, n_replaced int")
