@@ -112,10 +112,10 @@ def measures(block: str) -> tuple:
 def is_spam(z, stops, repeat, prose):
     """Whether a block's redundancy (z: deviations under its baseline) is extreme and its sentences are missing or empty.
 
-    Takes numbers or columns. Lists end few sentences and hold few frequent words, and none of the latter if they are
-    short and varied. Sentences that only repeat a phrase are far more redundant than refrains among others.
+    Takes numbers or columns. Redundancy is needed in every case; few sentence ends and frequent words only confirm it.
+    Sentences that only repeat a phrase are far more redundant than refrains among others.
     """
-    listed = (prose < 0.03) & (stops < 0.15) & ((z > 1.0) | (stops < 0.06))
+    listed = (z > 3.0) & (prose < 0.03) & (stops < 0.15)
     return listed | ((z > 8.0) & (repeat > 0.45) & (stops < 0.38))
 
 

@@ -247,6 +247,16 @@ def test_spam_pages(spark):
     assert spam.spam_pages(spark.createDataFrame(rows[:0], "doc_id long, text string, ratio double"), "doc_id", "text").count() == 0
 
 
+def test_varied_lists_without_sentences_are_no_spam(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiouy") for _ in range(rng.randrange(1, 5)))
+    glossary = "\n".join(f"{word()} {word()}: {word()} {word()} {word()}" for _ in range(60))
+    foreign = "。".join(" ".join(word() for _ in range(9)) for _ in range(40)) + "。"
+    stuffed = " ".join(rng.choice("cheap buy planner timer focus deal".split()) for _ in range(300))
+    rows = [(1, glossary), (2, foreign), (3, "."), (4, stuffed)]
+    assert {r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()} == {4}
+
+
 def test_blocks_keep_the_whole_text():
     rng = random.Random(1)
     for n in (0, 5, 700, 5000):
