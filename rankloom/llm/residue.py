@@ -10,17 +10,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.base import unit_hash
-
 from . import residue_seeds as seeds
 from .normal import plain
 
 ORDER, SLOTS = 5, 1 << 18
 CLASSES = ("template", "filler", "error", "script")
-#: Bound on the texts from which the model of prose is fitted, besides the written ones.
-SAMPLE = 4_000
-#: Least mean log ratio of a sentence of filler, error or script notice.
-UNIT_LEAST = 0.45
+#: Least mean log ratio of a sentence, and of a window in a longer one, of filler, error or script notice.
+UNIT_LEAST, SLIDE_LEAST = 0.45, 0.9
+#: Characters that the data's prose counts for at most, so that the examples keep their weight against it in data of any
+#: size: all texts are counted, and counts above that are scaled down.
+MASS = 300_000
+#: Characters of a window that slides over longer sentences, and slots of a block of counts on their way to the driver.
+SLIDE, CHUNK = 48, 1 << 12
 #: Characters of a window that may hold part of a field, the least log ratio of its shape, and the least mean log ratio
 #: of the words within so many characters around it.
 WINDOW, MARK_LEAST, AROUND, AROUND_LEAST = 5, 3.0, 12, -1.0
@@ -113,20 +114,37 @@ class Model:
             if name != "prose":  # what is said in the others' words is less telling
                 self.grams[name].add(codes_of([reduced(t).upper().lower().strip(".") for t in texts])[0], 0.5)
 
-    def fit_prose(self, texts: list[str]) -> Model:
-        """Adds prose from a sample of the data, without sentences that the written examples alone find to be residue."""
+    def prose_of(self, texts: list[str]) -> list[str]:
+        """The reduced texts without stretches that the written examples alone find to be residue."""
         keep: list[str] = []
-        for t, found in zip(texts, self.units(texts, sure=True)):
+        for t, found in zip(texts, self.units(texts)):
             r = reduced(t)
             at = 0
             for a, b, kind in found:
                 keep.append(r[at:a])
                 at = b
             keep.append(r[at:])
-        keep = [k for k in keep if k.strip()] or [" "]
-        codes, _ = codes_of(keep)
-        self.grams["prose"].add(codes, 1.0)
-        self.grams["plain"].add(skeleton(codes), 1.0)
+        return [k for k in keep if k.strip()]
+
+    def prose_counts(self, texts: list[str]) -> np.ndarray:
+        """Counts of n-grams and contexts by (model, order, gram or context, slot), which add up over any division of
+        texts: each stretch counts with the line ends after it, not with those of the batch's beginning."""
+        out = np.zeros((2, ORDER, 2, SLOTS), dtype=np.int64)
+        if keep := self.prose_of(texts):
+            codes = np.concatenate([codes_of(keep)[0], np.full(ORDER, ord("\n"), dtype=np.uint32)])
+            for k, c in enumerate((codes, skeleton(codes))):
+                for n, both in enumerate(hashes(c)):
+                    for side, slots in enumerate(both):
+                        out[k, n, side] = np.bincount(slots[ORDER:], minlength=SLOTS)
+        return out
+
+    def fit_prose(self, counts: np.ndarray) -> Model:
+        """Adds the counts of the data's prose."""
+        counts = counts * min(1.0, MASS / max(1, counts[0, 0, 0].sum()))
+        for k, name in enumerate(("prose", "plain")):
+            for n in range(ORDER):
+                self.grams[name].counts[n] += counts[k, n, 0].astype(np.float32)
+                self.grams[name].contexts[n] += counts[k, n, 1].astype(np.float32)
         return self
 
     def ratios(self, codes: np.ndarray) -> dict[str, np.ndarray]:
@@ -138,16 +156,14 @@ class Model:
         pairs = hashes(codes)
         return np.log(self.grams["field"].chances(pairs)) - np.log(self.grams["plain"].chances(pairs))
 
-    def units(self, texts: list[str], sure: bool = False) -> list[list[tuple[int, int, str]]]:
-        """(start, end, class) of the stretches of residue in each text; with `sure` only clear ones."""
+    def units(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        """(start, end, class) of the stretches of residue in each text."""
         ready = [reduced(t) for t in texts]
         codes, starts = codes_of(ready)
         ratio = self.ratios(codes)
         sums = {k: np.concatenate([[0.0], np.cumsum(v)]) for k, v in ratio.items()}
         shape = np.concatenate([[0.0], np.cumsum(self.field_ratios(skeleton(codes)))])
         marks = shape[WINDOW:] - shape[:-WINDOW] >= MARK_LEAST
-        if sure:
-            marks = shape[WINDOW:] - shape[:-WINDOW] >= 2 * MARK_LEAST
         out = []
         for t, s in zip(ready, starts):
             found: list[tuple[int, int, str]] = []
@@ -158,8 +174,10 @@ class Model:
                 if n >= 3:
                     total = {k: v[s + end] - v[s + at] for k, v in sums.items()}
                     kind = max(("filler", "error", "script"), key=lambda k: total[k])
-                    if total[kind] >= max(UNIT_LEAST * n, 6) * (2 if sure else 1):
+                    if total[kind] >= max(UNIT_LEAST * n, 6):
                         found.append((at, end, kind))
+                    elif inside := slides({k: sums[k][s + at : s + end + 1] for k in ("filler", "error", "script")}, SLIDE_LEAST):
+                        found += [(at + a, at + b, kind) for a, b, kind in inside]
                     else:
                         # a field is local: its shape, and words around it that templates have
                         for i in np.flatnonzero(marks[s + at - 1 : s + max(at, end - WINDOW + 1)]) + at - 1:
@@ -172,6 +190,19 @@ class Model:
         return out
 
 
+def slides(sums: dict[str, np.ndarray], least: float) -> list[tuple[int, int, str]]:
+    """(start, end, class) of the joined windows of SLIDE characters whose mean log ratio is at least `least`, from the
+    running sums of a sentence; none in one that is not longer than a window."""
+    kinds = list(sums)
+    total = np.array([sums[k][SLIDE:] - sums[k][:-SLIDE] for k in kinds])
+    if total.shape[1] < 2:
+        return []
+    best = total.max(axis=0)
+    hits = np.flatnonzero(best >= least * SLIDE)
+    runs = np.split(hits, np.flatnonzero(np.diff(hits) >= SLIDE) + 1) if len(hits) else []
+    return [(int(r[0]), int(r[-1]) + SLIDE, kinds[int(total[:, r[best[r].argmax()]].argmax())]) for r in runs]
+
+
 def pseudo_latin(lines: int = 60) -> list[str]:
     """Made-up words of the usual filler's syllables, in a fixed order."""
     syllables = "lo rem ip sum do lor sit am et con sec te tur ad ip is cing el it sed ei us mod tem por in ci di dunt ut la bo re mag na al iq ua en im mi nim ve ni am qu is nos trud ul la mco vol up tat fu gi at nul pa ri atur mol lit an cul pa fer ne cum do por vi na ti que pul mit ver".split(" ")
@@ -196,10 +227,34 @@ def excluded(found: list[tuple[int, int, str]]) -> bool:
     return any(cover[k] >= COVER[k] for k in CLASSES)
 
 
-def fitted(replies: DataFrame, text: str, most: int = SAMPLE) -> Model:
-    """The model with prose from at most `most` distinct texts, chosen by hash."""
-    rows = replies.filter(F.length(text) > 0).select(text).distinct().orderBy(unit_hash(text, F.lit("prose")), text).limit(most).collect()
-    return Model().fit_prose([r[0] for r in rows])
+def fitted(replies: DataFrame, text: str) -> Model:
+    """The model with prose from all distinct texts. Each task counts in fixed slots, blocks of slots are summed in Spark,
+    and the sums, whose size does not depend on the data, reach the driver."""
+    model = Model()
+    shared = replies.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, ORDER, 2, SLOTS), dtype=np.int64)
+        for b in batches:
+            total += shared.value.prose_counts(list(b[text]))
+        blocks = total.reshape(-1, CHUNK)
+        some = np.flatnonzero(blocks.any(axis=1))
+        for part in np.array_split(some, max(1, len(some) // 64)):
+            yield pd.DataFrame({"block": part, "counts": [blocks[i].tobytes() for i in part]})
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(CHUNK, dtype=np.int64)
+        for x in g["counts"]:
+            total += np.frombuffer(x, dtype=np.int64)
+        return pd.DataFrame({"block": [g["block"].iloc[0]], "counts": [total.tobytes()]})
+
+    schema = "block long, counts binary"
+    rows = replies.filter(F.length(text) > 0).select(text).distinct().mapInPandas(count, schema).groupBy("block").applyInPandas(add, schema)
+    counts = np.zeros((4 * ORDER * SLOTS // CHUNK, CHUNK), dtype=np.int64)
+    for r in rows.toLocalIterator():
+        counts[r["block"]] = np.frombuffer(r["counts"], dtype=np.int64)
+    shared.destroy()  # the examples' model is not needed on the executors again
+    return model.fit_prose(counts.reshape(2, ORDER, 2, SLOTS))
 
 
 def residue(replies: DataFrame, model: Model, text: str, carry: list[str]) -> DataFrame:

@@ -388,6 +388,18 @@ def test_residue(spark):
     assert residue.residue(empty, residue.fitted(empty, "text"), "text", ["query_id"]).count() == 0
 
 
+def test_prose_is_counted_over_all_texts_and_windows_slide_in_long_sentences(spark):
+    texts = [f"I took note {i} to my sister and it helped for {i % 9} days" for i in range(4_200)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    whole, parts = residue.Model().prose_counts(texts), [residue.Model().prose_counts(texts[i::3]) for i in range(3)]
+    assert (whole == sum(parts)).all() and whole[0, 0, 0].sum() >= sum(map(len, texts))
+    a, b = residue.fitted(df, "text"), residue.Model().fit_prose(whole)
+    assert all((x == y).all() for x, y in zip(a.grams["prose"].counts, b.grams["prose"].counts))
+    walk = "so we went on and on along the river and through the wood until nobody knew the way home any more "
+    long = [walk * 3 + "an unexpected error occurred while loading comments please try again later " + walk * 3, walk * 6]
+    assert [residue.excluded(f) for f in b.units(long)] == [True, False]
+
+
 # queries
 
 
