@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +19,19 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder, so that lost executors cost no long recomputation.
 
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one
-    is made.
+    The folder is the cluster's spark.checkpoint.dir; only where that is unset and Spark runs on one machine (tests) a
+    temporary one is made, which goes with the process. On a cluster without the setting this raises, as a machine's own
+    folder would lose data.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rankloom-checkpoint-"))
+        if not configured:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="rankloom-checkpoint-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        sc.setCheckpointDir(configured)
     return df.checkpoint(eager=True)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.base import cut
+from rankloom.base import cut, lookup_skewed
 
 #: English stop words of the lexical features.
 STOP_WORDS = (
@@ -22,9 +23,21 @@ LINK_ONLY = r"^\s*https?://\S+\s*$"
 TOMBSTONES = ["", "[deleted]", "[removed]"]
 
 
+#: What lower-case letters fold to in comparisons without case, where it is not one letter of its own.
+FOLDS = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ŉ": "ʼn", "ſ": "s", "ς": "σ"}
+
+
+def casefolded(text: Column) -> Column:
+    """For comparing without case. (The upper case of sharp s is ss, but Catalyst drops upper inside lower.)"""
+    out = F.lower(text)
+    for letter, folded in FOLDS.items():
+        out = F.replace(out, F.lit(letter), F.lit(folded))
+    return out
+
+
 def canonical(text: Column) -> Column:
-    """No blanks around, runs of white space as one blank, lower case."""
-    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), r"\s+", " "))
+    """No white space around, runs of it (of any script) as one blank, case folded."""
+    return casefolded(F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
 
 
 def text_digest(text: Column) -> Column:
@@ -46,10 +59,11 @@ def words3(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z]{3,})"), F.lit(1))
 
 
-def tokens(text: Column) -> Column:
-    """Words of two or more characters, lower case, without stop words; repeats stay."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9_]{2,})"), F.lit(1))
-    return F.filter(found, lambda w: ~w.isin(STOP_WORDS))
+def tokens(text: Column, stop: list[str] = STOP_WORDS) -> Column:
+    """Words of two or more letters, digits and underscores of any script, lower case, without the stop words; repeats
+    stay. `stop` may be another list, such as a longer one or one of another language."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
+    return F.filter(found, lambda w: ~w.isin(stop)) if stop else found
 
 
 def token_set(text: Column) -> Column:
@@ -107,27 +121,36 @@ def idf(corpus: DataFrame, item: str, text: str) -> DataFrame:
     return document_frequencies(corpus, item, text).crossJoin(F.broadcast(n)).select("term", "df", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf"))
 
 
-def lexical_features(pairs: DataFrame, query_text: str, item_text: str, weights: DataFrame) -> DataFrame:
-    """The pairs' keys with shared (terms), overlap (share of the query's idf that the item covers) and rare (shared
-    terms of idf at or above the third quartile of the query's). Terms without a weight count 0."""
-    keys = [c for c in pairs.columns if c not in (query_text, item_text)]
-    q = pairs.select(*keys, token_set(F.col(item_text)).alias("__i"), F.explode_outer(token_set(F.col(query_text))).alias("term"))
-    q = q.join(weights.select("term", "idf"), "term", "left").withColumn("__w", F.coalesce("idf", F.lit(0.0))).withColumn("__in", F.coalesce(F.array_contains("__i", F.col("term")), F.lit(False)))
-    t = q.groupBy(*keys).agg(F.count_if("__in").alias("shared"), F.sum(F.when(F.col("__in"), F.col("__w")).otherwise(0.0)).alias("got"), F.sum("__w").alias("all"), F.percentile("__w", 0.75).alias("cut"), F.collect_list(F.when(F.col("__in"), F.col("__w"))).alias("__ws"))
-    return t.select(*keys, "shared", F.when(F.col("all") > 0, F.col("got") / F.col("all")).otherwise(F.lit(0.0)).alias("overlap"), F.size(F.filter("__ws", lambda w: w >= F.col("cut"))).alias("rare"))
+def lexical_features(pairs: DataFrame, queries: DataFrame, item_text: str, query_text: str, weights: DataFrame) -> DataFrame:
+    """The pairs without item_text, with shared (terms), overlap (share of the query's idf that the item covers) and rare
+    (shared terms of idf at or above the third quartile of the query's). Terms without a weight count 0.
+
+    pairs has a query_id, queries are unique in it. A query's terms become one map from term to idf, which meets its pairs
+    once; item texts aren't copied by term. Queries without terms, unknown ones and null texts share nothing.
+    """
+    terms = queries.filter("query_id IS NOT NULL").select("query_id", F.explode(token_set(F.col(query_text))).alias("term"))
+    known = terms.groupBy("term").agg(F.count(F.lit(1)).alias("__c")).join(weights.select("term", "idf"), "term", "left")
+    weighed = lookup_skewed(terms, known, "term", "__c").select("query_id", "term", F.coalesce("idf", F.lit(0.0)).alias("w"))
+    maps = weighed.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("__q"), F.percentile("w", 0.75).alias("__cut"), F.sum("w").alias("__all"))
+    wanted = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("__n")).join(maps, "query_id", "left")
+    both = lookup_skewed(pairs.select(*[c for c in pairs.columns if c != item_text], token_set(F.col(item_text)).alias("__i")), wanted, "query_id", "__n", "left")
+    hits = F.coalesce(F.transform(F.array_intersect(F.map_keys("__q"), F.col("__i")), lambda t: F.col("__q")[t]), F.array().cast("array<double>"))
+    out = both.withColumn("__w", hits)
+    got = F.aggregate("__w", F.lit(0.0), lambda s, w: s + w)
+    return out.select(*[c for c in pairs.columns if c != item_text], F.size("__w").alias("shared"), F.when(F.col("__all") > 0, got / F.col("__all")).otherwise(F.lit(0.0)).alias("overlap"), F.size(F.filter("__w", lambda w: w >= F.col("__cut"))).alias("rare"))
 
 
-#: Numbers of the query-term matrix that goes to all tasks at once; more queries are asked in blocks of that size.
-MATRIX = 4 << 20
+#: Queries that go to all tasks at once with their terms' weights; more are asked in blocks of that number.
+ASKED = 4096
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, item: str, text: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, item, score, rank): the k best items by BM25 (Robertson's idf, not below 0).
 
     Queries are a stated set. Document frequencies of their terms are counted over the whole corpus with partial sums.
-    Then the weights of a block of queries, a matrix of bounded size, meet the corpus in one pass that shuffles nothing:
-    each task multiplies batches of term weights with it and keeps k per query. Texts without a term of a query do not
-    appear under it; null texts have no terms; ties go to the smaller id.
+    Then the weighted terms of a block of ASKED queries meet the corpus in one pass that shuffles nothing: each task adds
+    up weights term by term and keeps k per query and batch. The corpus is tokenised once where there are several blocks.
+    Texts without a term of a query do not appear under it; null texts have no terms; ties go to the smaller id.
     """
     from rankloom.operators.ranking import top_k
 
@@ -138,44 +161,46 @@ def bm25(corpus: DataFrame, queries: DataFrame, item: str, text: str, query_text
     df = docs.select(F.explode(F.array_distinct("__t")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
     terms = cut(q.join(df, "term").withColumn("w", weight).filter("w > 0"))
-    size = terms.agg(F.count_distinct("query_id"), F.count_distinct("term")).first()
-    blocks = max(1, -(-size[0] * size[1] // MATRIX))
+    blocks = max(1, -(-terms.agg(F.count_distinct("query_id")).first()[0] // ASKED))
+    if blocks > 1:
+        docs = cut(docs)
     kind, qkind = dict(corpus.dtypes)[item], dict(queries.dtypes)["query_id"]
     schema = f"query_id {qkind}, `{item}` {kind}, score double"
     found = corpus.sparkSession.createDataFrame([], schema)
     for i in range(blocks):
-        rows = terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id", "term").collect()
-        names = list(dict.fromkeys(r["query_id"] for r in rows))
-        vocabulary = {t: j for j, t in enumerate(dict.fromkeys(r["term"] for r in rows))}
+        rows = terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("term", "query_id").collect()
         if not rows:
             continue
-        matrix, place = np.zeros((len(vocabulary), len(names)), dtype=np.float64), {x: j for j, x in enumerate(names)}
-        for r in rows:
-            matrix[vocabulary[r["term"]], place[r["query_id"]]] = r["w"]
-        shared = corpus.sparkSession.sparkContext.broadcast((names, vocabulary, matrix))
+        names = sorted({r["query_id"] for r in rows})
+        place = {x: j for j, x in enumerate(names)}
+        vocabulary = {t: j for j, t in enumerate(dict.fromkeys(r["term"] for r in rows))}
+        first = np.searchsorted(np.array([vocabulary[r["term"]] for r in rows]), np.arange(len(vocabulary) + 1))
+        shared = corpus.sparkSession.sparkContext.broadcast((names, vocabulary, first, np.array([place[r["query_id"]] for r in rows]), np.array([r["w"] for r in rows])))
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            asked, known, weights = shared.value
+            asked, known, start, whose, weights = shared.value
+            asked = np.array(asked, dtype=object)
             for batch in batches:
-                for at in range(0, len(batch), 1024):
-                    part = batch.iloc[at : at + 1024]
-                    ids = part[item].to_numpy()
-                    tf = np.zeros((len(part), len(known)))
-                    length = np.empty(len(part))
-                    for row, words in enumerate(part["__t"]):
-                        length[row] = len(words)
-                        for w in words:
-                            if (j := known.get(w)) is not None:
-                                tf[row, j] += 1
-                    scores = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / max(mean, 1e-12))[:, None])) @ weights
-                    for j, name in enumerate(asked):
-                        s = scores[:, j]
-                        hit = np.flatnonzero(s > 0)
-                        if len(hit) > k:
-                            low = np.partition(s[hit], len(hit) - k)[len(hit) - k]
-                            hit = hit[s[hit] >= low - 1e-9]
-                        if len(hit):
-                            yield pd.DataFrame({"query_id": [name] * len(hit), item: ids[hit], "score": s[hit]})
+                ids = batch[item].to_numpy()
+                length, row, term, tf = np.array([len(t) for t in batch["__t"]], dtype=float), [], [], []
+                for r, words in enumerate(batch["__t"]):
+                    counts = Counter(j for w in words if (j := known.get(w)) is not None)
+                    row += [r] * len(counts)
+                    term += counts
+                    tf += counts.values()
+                if not row:
+                    continue
+                row, term, tf = np.array(row), np.array(term), np.array(tf, dtype=float)
+                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / max(mean, 1e-12)))
+                many = start[term + 1] - start[term]
+                at = np.repeat(start[term], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                pair, inside = np.unique(np.repeat(row, many) * len(asked) + whose[at], return_inverse=True)
+                total = np.round(np.bincount(inside, weights=np.repeat(part, many) * weights[at]), 12)
+                doc, query = pair // len(asked), pair % len(asked)
+                order = np.lexsort((ids[doc], -np.round(total, 9), query))
+                doc, query, total = doc[order], query[order], total[order]
+                keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+                yield pd.DataFrame({"query_id": asked[query[keep]], item: ids[doc[keep]], "score": total[keep]})
 
         found = found.unionByName(docs.mapInPandas(score, schema))
     return top_k(found, ["query_id"], [F.desc(F.round("score", 9)), item], k)

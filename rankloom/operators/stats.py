@@ -1,69 +1,71 @@
 """Paired comparisons, correlations, bootstrap intervals and agreement.
 
-Resampling never needs the rows: a table is first summed per hash bucket of its sampling unit (at most BUCKETS of them;
-with fewer units each is its own bucket, which is then the plain bootstrap), and only those sums reach the driver.
+Resampling gives every unit its own weight in every draw, from a digest of unit, seed and draw: the same at every size, on
+any partitions, and without gathering units anywhere. Only sums by draw are kept.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranking import average_rank
 
-BUCKETS = 4096
+#: 65536 times the chance that a Poisson count of mean 1 is at most 0, 1, ... 8.
+POISSON = (24109, 48219, 60274, 64292, 65296, 65497, 65531, 65535, 65536)
 
 
-def bucket_sums(df: DataFrame, unit: str, columns: list[str], by: list[str]) -> list[dict]:
-    """For each group and bucket of units the number of rows and the sums of the columns; in a fixed order."""
-    rows = df.filter(F.col(columns[0]).isNotNull())
-    units = rows.select(*by, unit).distinct().groupBy(*by).count() if by else rows.select(unit).distinct().groupBy().count()
-    few = (units.agg(F.max("count")).first()[0] or 0) <= BUCKETS
-    bucket = F.col(unit).cast("string") if few else F.pmod(F.xxhash64(unit), F.lit(BUCKETS)).cast("string")
-    sums = rows.groupBy(*by, bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(c) for c in columns])
-    return [r.asDict() for r in sums.orderBy(*by, "__b").collect()]
+def _drawn(units: DataFrame, unit: str, draws: int, seed: int, digits: int) -> DataFrame:
+    """A row of each unit for each draw from 1 in `__draw`, with the `digits` hex digits of that draw in `__x`; and one of
+    draw 0 without any, which stands for the sample itself. A digest of 64 hex digits serves 64 / digits draws."""
+    many = 64 // digits
+    digest = F.sha2(F.concat_ws("#", F.col(unit).cast("string"), F.lit(str(seed)), F.col("__block").cast("string")), 256)
+    rows = units.withColumn("__block", F.explode(F.sequence(F.lit(-1), F.lit(-(-draws // many) - 1)))).withColumn("__h", digest)
+    rows = rows.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).withColumn("__draw", F.col("__block") * many + F.col("__j") + 1)
+    return rows.filter(F.col("__draw").between(0, draws)).withColumn("__x", F.when(F.col("__draw") > 0, F.substring("__h", F.col("__j") * digits + 1, F.lit(digits)))).drop("__block", "__h", "__j")
 
 
 def bootstrap_mean(df: DataFrame, unit: str, value: str, by: list[str], draws: int = 2000, seed: int = 7, interval: str = "linear", share: float = 0.95) -> DataFrame:
     """(by, n, mean, low, high): percentile interval of the mean over resampled units, nulls left out.
 
+    A unit counts a Poisson number of times of mean 1 in each draw; draws in which no unit counts are left out.
     interval: "linear" interpolates quantiles, "index" takes the sorted means at int(a * draws). The same seed, units and
-    values give the same interval, whatever the partitions.
+    values give the same interval, whatever the partitions; means are rounded to 12 digits, as sums depend on their order.
     """
-    groups: dict[tuple, list[dict]] = {}
-    for r in bucket_sums(df, unit, [value], by):
-        groups.setdefault(tuple(r[b] for b in by), []).append(r)
-    out = []
-    for key, rows in groups.items():
-        n, s = np.array([r["__n"] for r in rows], dtype=float), np.array([float(r[value]) for r in rows])
-        rng = np.random.Generator(np.random.PCG64(seed))
-        means = np.empty(draws)
-        for i in range(0, draws, 500):
-            w = rng.multinomial(len(rows), np.full(len(rows), 1 / len(rows)), size=min(500, draws - i))
-            means[i : i + 500] = (w @ s) / (w @ n)
-        a = (1 - share) / 2
-        if interval == "index":
-            means.sort()
-            low, high = means[int(a * draws)], means[min(draws - 1, int((1 - a) * draws))]
-        else:
-            low, high = np.quantile(means, [a, 1 - a])
-        out.append((*key, int(n.sum()), float(s.sum() / n.sum()), float(low), float(high)))
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"`{b}` {kinds[b]}" for b in by), "n bigint, mean double, low double, high double"])
-    return df.sparkSession.createDataFrame(out, schema)
+    units = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(unit).alias("__u")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(value).cast("double")).alias("__s"))
+    number = F.conv("__x", 16, 10).cast("int")
+    times = F.lit(len(POISSON))
+    for k, top in reversed(list(enumerate(POISSON))):
+        times = F.when(number < top, F.lit(k)).otherwise(times)
+    drawn = _drawn(units, "__u", draws, seed, 4).withColumn("__w", F.when(F.col("__draw") == 0, 1).otherwise(times)).filter("__w > 0")
+    sums = drawn.groupBy(*by, "__draw").agg(F.sum(F.col("__w") * F.col("__n")).alias("__n"), F.round(F.sum(F.col("__w") * F.col("__s")) / F.sum(F.col("__w") * F.col("__n")), 12).alias("__m"))
+    a, sampled, own = (1 - share) / 2, F.when(F.col("__draw") > 0, F.col("__m")), lambda c: F.max(F.when(F.col("__draw") == 0, F.col(c)))
+    if interval == "index":
+        means = F.array_sort(F.collect_list(sampled))
+        low, high = F.get(means, F.lit(int(a * draws))), F.get(means, F.least(F.lit(int((1 - a) * draws)), F.size(means) - 1))
+    else:
+        low, high = F.percentile(sampled, a), F.percentile(sampled, 1 - a)
+    return sums.groupBy(*by).agg(own("__n").alias("n"), own("__m").alias("mean"), low.alias("low"), high.alias("high")).filter("n IS NOT NULL")
+
+
+def sign_flip(df: DataFrame, unit: str, value: str, by: list[str] | None = None, draws: int = 10_000, seed: int = 7) -> DataFrame:
+    """(by, n, mean, p): two-sided randomisation p of a mean difference of 0, signs of units flipped at random; no rows
+    without values. The observed sum counts as one of the draws."""
+    by = by or []
+    units = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(unit).alias("__u")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(value).cast("double")).alias("__s"))
+    sign = F.when(F.col("__draw") == 0, 1).when(F.col("__x") >= "8", 1).otherwise(-1)
+    sums = _drawn(units, "__u", draws, seed, 1).groupBy(*by, "__draw").agg(F.sum("__n").alias("__n"), F.sum(sign * F.col("__s")).alias("__t"))
+    total = F.max(F.when(F.col("__draw") == 0, F.col("__t")))
+    sums = sums.groupBy(*by).agg(F.max("__n").alias("n"), total.alias("__seen"), F.collect_list(F.when(F.col("__draw") > 0, F.col("__t"))).alias("__all")).filter("n IS NOT NULL")
+    beyond = F.size(F.filter("__all", lambda t: F.abs(t) >= F.abs(F.col("__seen")) - 1e-9))
+    return sums.select(*by, "n", (F.col("__seen") / F.col("n")).alias("mean"), ((beyond + 1) / F.lit(draws + 1.0)).alias("p"))
 
 
 def sign_flip_p(df: DataFrame, unit: str, value: str, draws: int = 10_000, seed: int = 7) -> float | None:
-    """Two-sided randomisation p of a mean difference of 0: signs of units flipped at random; null without rows."""
-    rows = bucket_sums(df, unit, [value], [])
-    if not rows:
-        return None
-    s = np.array([float(r[value]) for r in rows])
-    rng = np.random.Generator(np.random.PCG64(seed))
-    extreme = sum(int((np.abs(rng.choice([-1.0, 1.0], size=(min(500, draws - i), len(s))) @ s) >= abs(s.sum()) - 1e-12).sum()) for i in range(0, draws, 500))
-    return (extreme + 1) / (draws + 1)
+    """The p of `sign_flip`; null without rows."""
+    row = sign_flip(df, unit, value, None, draws, seed).first()
+    return row["p"] if row else None
 
 
 def paired(df: DataFrame, system: str, left: str, right: str, value: str, unit: str = "query_id", by: list[str] | None = None) -> DataFrame:

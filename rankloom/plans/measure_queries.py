@@ -164,16 +164,30 @@ def i34(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.win_tie_loss(_deltas(spark, d), []))
 
 
-@query("i1_bootstrap_mean")
+def drawn(units: str, seed: int, draws: int, digits: int) -> str:
+    """SQL for the rows of `units` (with a column u) in every draw: draw 0 is the sample, x the digits of the others."""
+    many = 64 // digits
+    return f"SELECT * EXCLUDE (h, block), CASE WHEN draw > 0 THEN substr(h, (draw - 1) % {many} * {digits} + 1, {digits}) END AS x FROM (SELECT *, CASE WHEN draw > 0 THEN sha256(u || '#{seed}#' || CAST(block AS VARCHAR)) END AS h FROM (SELECT *, (draw - 1) // {many} AS block FROM ({units}), (SELECT unnest(range({draws} + 1)) AS draw)))"
+
+
+def bootstrapped(per: str, unit: str, value: str, by: str, draws: int = 2000, seed: int = 7) -> str:
+    """SELECT of (by, n, mean, low, high) over the rows of `per`."""
+    times = "CASE WHEN draw = 0 THEN 1 " + " ".join(f"WHEN CAST('0x' || x AS BIGINT) < {top} THEN {k}" for k, top in enumerate(stats.POISSON)) + " END"
+    units = f"SELECT {by}, {unit} AS u, count(*) AS n, sum({value}) AS s FROM {per} WHERE {value} IS NOT NULL GROUP BY ALL"
+    means = f"SELECT {by}, draw, CAST(sum(w * n) AS BIGINT) AS n, round(sum(w * s) / sum(w * n), 12) AS m FROM (SELECT *, {times} AS w FROM ({drawn(units, seed, draws, 4)})) WHERE w > 0 GROUP BY ALL"
+    return f"SELECT {by}, max(n) FILTER (draw = 0) AS n, round(max(m) FILTER (draw = 0), 6) AS mean, round(quantile_cont(m, 0.025) FILTER (draw > 0), 6) AS low, round(quantile_cont(m, 0.975) FILTER (draw > 0), 6) AS high FROM ({means}) GROUP BY ALL"
+
+
+@query("i1_bootstrap_mean", sql("SELECT *, CASE WHEN low > 0.5 THEN 'better' WHEN high < 0.5 THEN 'worse' ELSE 'open' END AS verdict FROM (" + bootstrapped("per", "query_id", "ndcg", "route") + ")", "routes", "judged", ideal=_IDEAL, per=_PER))
 def i1(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the mean nDCG of each route, and how it compares with 0.5."""
-    ci = stats.bootstrap_mean(metrics.graded_ndcg(t.routes(spark, d), t.judged(spark, d), 8), "query_id", "ndcg", ["route"])
+    ci = rounded(stats.bootstrap_mean(metrics.graded_ndcg(t.routes(spark, d), t.judged(spark, d), 8), "query_id", "ndcg", ["route"]))
     return ci.withColumn("verdict", stats.verdict(F.col("low") - 0.5, F.col("high") - 0.5))
 
 
-@query("i29_sign_flip")
+@query("i29_sign_flip", sql("SELECT n, round(seen / n, 6) AS mean, round((count(*) FILTER (draw > 0 AND abs(t) >= abs(seen) - 1e-9) + 1) / 10001.0, 6) AS p FROM (SELECT *, max(t) FILTER (draw = 0) OVER () AS seen, CAST(max(c) OVER () AS BIGINT) AS n FROM (SELECT draw, sum(n) AS c, sum(CASE WHEN draw = 0 OR x >= '8' THEN s ELSE -s END) AS t FROM (" + drawn("SELECT query_id AS u, count(*) AS n, sum(delta) AS s FROM dl GROUP BY 1", 7, 10_000, 1) + ") GROUP BY 1)) GROUP BY ALL", "routes", "judged", ideal=_IDEAL, per=_PER, dl=_DELTA))
 def i29(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(stats.sign_flip_p(_deltas(spark, d), "query_id", "delta"),)], "p double")
+    return rounded(stats.sign_flip(_deltas(spark, d), "query_id", "delta"))
 
 
 def _moments(rank: bool) -> str:

@@ -147,7 +147,11 @@ def c8(spark: SparkSession, d: str) -> DataFrame:
     return t.run(spark, d).groupBy(*PAIR).agg(F.concat_ws(",", F.transform(each, lambda x: F.concat_ws("=", x["route"], x["rank"].cast("string")))).alias("ranks"))
 
 
-_CANON = "lower(trim(regexp_replace(trim({c}), '\\s+', ' ', 'g')))"
+#: White space as the library's patterns know it, and text compared without case: the characters that fold to several.
+_SPACE = "[\\s\\v\\x{{85}}\\p{{Z}}]"
+_CANON = "lower(regexp_replace(regexp_replace({c}, '^" + _SPACE + "+|" + _SPACE + "+$', '', 'g'), '" + _SPACE + "+', ' ', 'g'))"
+for _letter, _folded in tx.FOLDS.items():
+    _CANON = "replace(" + _CANON + f", '{_letter}', '{_folded}')"
 
 
 @query("c14_reference_leaks", sql(f"SELECT DISTINCT query_id, reply_id, comment_id FROM (SELECT query_id, unnest(replies, recursive := true) FROM reply_references) r JOIN (SELECT comment_id, sha256({_CANON.format(c='comment_text')}) AS h FROM comments WHERE length(comment_text) >= 40) c ON sha256({_CANON.format(c='text')}) = c.h WHERE length(text) >= 40"))
@@ -240,7 +244,7 @@ def g2(spark: SparkSession, d: str) -> DataFrame:
     return t.judged(spark, d).select(*PAIR, ut.clamp_score(F.col("utility")).cast("bigint").alias("score"), F.when(F.col("utility").isNotNull(), ut.grade(F.col("utility"))).cast("bigint").alias("grade"))
 
 
-_TOK = "list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9_]{{2,}}'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "], w))"
+_TOK = "list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "], w))"
 
 
 @query("g10_token_counts", sql("SELECT comment_id, CAST(len(regexp_extract_all(lower(coalesce(comment_text, '')), '[a-z]{3,}')) AS BIGINT) AS words, CAST(len(" + _TOK.format(c="comment_text") + ") AS BIGINT) AS tokens FROM notes", "notes"))
@@ -274,7 +278,9 @@ def pair_texts(spark: SparkSession, d: str) -> DataFrame:
 )
 def g16(spark: SparkSession, d: str) -> DataFrame:
     weights = tx.idf(t.comments(spark, d), "comment_id", "comment_text")
-    f = tx.lexical_features(pair_texts(spark, d).filter(F.size(tx.token_set(F.col("query_text"))) > 0), "query_text", "comment_text", weights)
+    asked = t.texts(spark, d).select("query_id", "query_text").filter(F.size(tx.token_set(F.col("query_text"))) > 0)
+    pairs = t.pool(spark, d).select(*PAIR).join(asked.select("query_id"), "query_id", "left_semi").join(t.comments(spark, d).select("comment_id", "comment_text"), "comment_id")
+    f = tx.lexical_features(pairs, asked, "comment_text", "query_text", weights)
     return rounded(f).withColumn("shared", F.col("shared").cast("bigint"))
 
 
@@ -293,17 +299,19 @@ def g7(spark: SparkSession, d: str) -> DataFrame:
     return t.texts(spark, d).select("query_id", tx.join_labels(F.array_sort(tx.split_labels(F.col("scenario")))).alias("labels"))
 
 
-@query("g49_redaction", sql("SELECT comment_id, sha256(r) AS digest FROM (SELECT comment_id, regexp_replace(regexp_replace(comment_text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), 'https?://[^\\s)\\]>]+', '[URL]', 'g') AS r FROM notes WHERE comment_text IS NOT NULL AND comment_text NOT LIKE '%u/%' AND comment_text NOT LIKE '%U/%' AND comment_text NOT LIKE '%r/%' AND comment_text NOT LIKE '%R/%' AND NOT regexp_matches(comment_text, '\\d.{0,3}\\d.{0,3}\\d.{0,3}\\d'))", "notes"))
-def g49(spark: SparkSession, d: str) -> DataFrame:
-    """Digests of redacted comments without names and long numbers, whose patterns SQL does not have: the part of
-    `g49_redaction_all` that can be held against SQL."""
-    c = t.comments(spark, d).filter(~F.lower("comment_text").contains("u/") & ~F.lower("comment_text").contains("r/") & ~F.col("comment_text").rlike(r"\d.{0,3}\d.{0,3}\d.{0,3}\d"))
-    return c.select("comment_id", F.sha2(tx.redacted(F.col("comment_text")), 256).alias("digest"))
+def _redacted_sql(c: str) -> str:
+    """The placeholders by patterns without look-around: what stands before and behind is put back. Numbers that share the
+    sign between them need a second pass."""
+    out = f"regexp_replace(regexp_replace({c}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}', '[EMAIL]', 'g'), 'https?://[^\\s)\\]>]+', '[URL]', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(^|[^\\w/])/?[uU]/[A-Za-z0-9_-]+', '\\1[USER]', 'g'), '(^|[^\\w/])/?[rR]/[A-Za-z0-9_]+', '\\1[COMMUNITY]', 'g')"
+    for _ in range(2):
+        out = f"regexp_replace({out}, '(^|[^\\d])\\+?\\d(?:[ ().-]{{0,2}}\\d){{6,14}}($|[^\\d])', '\\1[NUMBER]\\2', 'g')"
+    return out
 
 
-@query("g49_redaction_all")
-def g49_all(spark: SparkSession, d: str) -> DataFrame:
-    """Digests of all redacted comments with text. There is no SQL, as DuckDB's patterns have no lookbehinds."""
+@query("g49_redaction", sql(f"SELECT comment_id, sha256({_redacted_sql('comment_text')}) AS digest FROM notes WHERE comment_text IS NOT NULL", "notes"))
+def g49(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of all redacted comments with text."""
     c = t.comments(spark, d).filter("comment_text IS NOT NULL")
     return c.select("comment_id", F.sha2(tx.redacted(F.col("comment_text")), 256).alias("digest"))
 
@@ -314,14 +322,21 @@ def g48(spark: SparkSession, d: str) -> DataFrame:
     return u.groupBy(tx.link_kind(F.col("u")).alias("kind")).agg(F.count(F.lit(1)).alias("links"))
 
 
-@query("g0_bm25")
+_ASKED = "list_reduce(list_transform(string_split(lower(query_id), ''), lambda c: instr('0123456789abcdefghijklmnopqrstuvwxyz', c) - 1), lambda a, c: (a * 36 + c) % 50) = 0"
+_BM25 = (
+    "SELECT query_id, comment_id, sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))) AS score FROM (SELECT DISTINCT query_id, unnest(" + _TOK.format(c="query_text") + f") AS term FROM texts WHERE {_ASKED}) JOIN (SELECT term, ln((max(n) - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM tf, (SELECT count(*) AS n FROM notes) GROUP BY 1) USING (term) JOIN tf USING (term) JOIN (SELECT comment_id, len("
+    + _TOK.format(c="comment_text") + ") AS len FROM notes) USING (comment_id), (SELECT avg(len(" + _TOK.format(c="comment_text") + ")) AS mean FROM notes) WHERE w > 0 GROUP BY ALL"
+)
+
+
+@query("g0_bm25", sql("SELECT query_id, comment_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, comment_id) AS rank FROM s) WHERE rank <= 20", "notes", "texts", tf="SELECT comment_id, term, count(*) AS tf FROM (SELECT comment_id, unnest(" + _TOK.format(c="comment_text") + ") AS term FROM notes) GROUP BY ALL", s=_BM25))
 def bm25(spark: SparkSession, d: str) -> DataFrame:
-    """Comments for every query text that is judged: the queries of the candidate pool against all comments."""
-    asked = t.texts(spark, d).join(t.pool(spark, d).select("query_id").distinct(), "query_id", "left_semi").select("query_id", "query_text")
+    """All comments for every query whose id, a number to base 36, is divisible by 50."""
+    asked = t.texts(spark, d).filter(F.conv("query_id", 36, 10).cast("bigint") % 50 == 0).select("query_id", "query_text")
     return rounded(tx.bm25(t.comments(spark, d), asked, "comment_id", "comment_text", "query_text", 20))
 
 
-@query("g11_tfidf")
+@query("g11_tfidf", sql("SELECT comment_id, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY comment_id)), 6) AS value FROM (SELECT comment_id, term, (1 + ln(tf)) * idf AS v FROM (SELECT comment_id, term, count(*) AS tf FROM (SELECT comment_id, unnest(" + _TOK.format(c="comment_text") + ") AS term FROM notes) GROUP BY ALL) JOIN i USING (term))", "notes", i=_IDF))
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
     c = t.comments(spark, d)
     return rounded(tx.tfidf(c, "comment_id", "comment_text", tx.idf(c, "comment_id", "comment_text")))
@@ -561,7 +576,7 @@ def o27(spark: SparkSession, d: str) -> DataFrame:
             per = chosen.join(u.select(*PAIR, F.col("score").alias("utility")), PAIR).groupBy("query_id").agg(F.avg("utility").alias("value"))
             part = per.withColumn("cell", F.lit(f"depth {depth}, budget {budget}"))
             parts = part if parts is None else parts.unionByName(part)
-    return stats.bootstrap_mean(parts, "query_id", "value", ["cell"])
+    return rounded(stats.bootstrap_mean(parts, "query_id", "value", ["cell"]))
 
 
 @query("o30_held_out_arms")

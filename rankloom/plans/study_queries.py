@@ -18,6 +18,7 @@ from rankloom.operators import metrics, pools, ranking, sampling, selection, set
 
 from . import tables as t
 from .measure_queries import _IDEAL, _LABELLED, labelled, rounded
+from .record_queries import _CANON
 from .tables import PAIR, sql
 
 QUERIES: dict = {}
@@ -249,7 +250,7 @@ def j6(spark: SparkSession, d: str) -> DataFrame:
     return sampling.balanced(rows, ["band", "source_pool", "known"], "pair", 50).select(*PAIR, F.col("turn").cast("bigint").alias("turn"))
 
 
-@query("l11_encoding_workload", sql("SELECT count(*) AS texts, count(*) FILTER (NOT cached) AS to_encode FROM (SELECT h, h IN (SELECT sha256(lower(trim(regexp_replace(trim(query_text), '\\s+', ' ', 'g')))) FROM queries WHERE query_text IS NOT NULL) AS cached FROM (SELECT DISTINCT sha256(lower(trim(regexp_replace(trim(comment_text), '\\s+', ' ', 'g')))) AS h FROM comments WHERE comment_text IS NOT NULL AND trim(comment_text) <> ''))"))
+@query("l11_encoding_workload", sql(f"SELECT count(*) AS texts, count(*) FILTER (NOT cached) AS to_encode FROM (SELECT h, h IN (SELECT sha256({_CANON.format(c='query_text')}) FROM queries WHERE query_text IS NOT NULL) AS cached FROM (SELECT DISTINCT sha256({_CANON.format(c='comment_text')}) AS h FROM comments WHERE comment_text IS NOT NULL AND trim(comment_text) <> ''))"))
 def l11(spark: SparkSession, d: str) -> DataFrame:
     """Different comment texts, and those whose digest is not yet among the queries' (as a cache of vectors)."""
     h = table(spark, d, "comments").filter("comment_text IS NOT NULL AND trim(comment_text) <> ''").select(tx.text_digest(F.col("comment_text")).alias("h")).distinct()
