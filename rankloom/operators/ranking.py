@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom.base import cut
 
 KEYS = ["route", "query_id"]
 
@@ -28,6 +29,20 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column | str], k: int, nam
     return ranked(df, keys, order, name).filter(F.col(name) <= k)
 
 
+def ranked_split(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "rank") -> DataFrame:
+    """As `ranked`, for groups of any size: rows are dealt to tasks by ranges of keys and order, so that a large group lies
+    in many tasks, and each counts on from the rows of its group in earlier ranges. The order must be total."""
+    placed = cut(df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    counts = placed.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__c"))
+    before = F.sum("__c").over(W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__held"), F.coalesce(before, F.lit(0)).alias("__b"))
+    within = placed.withColumn(name, F.row_number().over(W.partitionBy(*keys, "__range").orderBy(*order)))
+    same = F.col("__range") == F.col("__held")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return within.join(counts, same).select(*df.columns, (F.col(name) + F.col("__b")).alias(name))
+
+
 def as_run(df: DataFrame, route: Column, query: str, item: str, score: Column) -> DataFrame:
     """A canonical run: distinct pairs with their best score, ranked from 1."""
     value = F.coalesce(F.when(~F.isnan(score.cast("double")), score.cast("double")), F.lit(0.0))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-from .ranking import ranked, top_k
+from rankloom.base import lookup_skewed
+
+from .ranking import ranked, ranked_split, top_k
 
 
 def seeded(item: str, seed: int) -> Column:
@@ -40,7 +42,9 @@ def folds(df: DataFrame, item: str, n: int, repeats: int = 1, seed: int = 7) ->
 def stratified_split(df: DataFrame, strata: list[str], item: str, share: float, seed: int = 7) -> DataFrame:
     """(item, strata, split): in each stratum the first round(share * size) items in seeded order are "holdout"."""
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"))
-    placed = ranked(df.select(item, *strata), strata, [seeded(item, seed), item], "__p").join(F.broadcast(sizes) if len(strata) < 3 else sizes, strata)
+    rows = df.select(item, *strata).withColumn("__o", seeded(item, seed))
+    placed = ranked_split(rows, strata, ["__o", item], "__p").withColumn("__s", F.struct(*strata))
+    placed = lookup_skewed(placed, sizes.select(F.struct(*strata).alias("__s"), "__n"), "__s", "__n")
     return placed.select(item, *strata, F.when(F.col("__p") <= F.round(F.col("__n") * share), "holdout").otherwise("train").alias("split"))
 
 

@@ -83,13 +83,14 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_k(df, keys, order, 1, "__rn").drop("__rn")
 
 
-def set_digest(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
+def set_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row (digest, n) of the set of distinct rows, whatever their order and partitions.
 
-    Rows are hashed, the sorted hashes of each hash range (by `digits` leading digits, so that a range is a small share of the set) are hashed, and so are the sorted bucket hashes:
-    no task gathers the set. An empty table has the digest of nothing.
+    Rows are hashed, and the digest is that of the sums of the hashes' eight 32-bit parts and of their number: sums don't
+    depend on an order, so nothing is gathered. An empty table has the digest of zeros.
     """
     row = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string") for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
     hashes = df.select(row.alias("h")).distinct()
-    parts = hashes.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("h"))), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    return parts.agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    parts = [F.coalesce(F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("bigint")), F.lit(0)).alias(f"s{i}") for i in range(8)]
+    sums = hashes.agg(F.count(F.lit(1)).alias("n"), *parts)
+    return sums.select(F.sha2(F.concat_ws(" ", "n", *[f"s{i}" for i in range(8)]), 256).alias("digest"), "n")

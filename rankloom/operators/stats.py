@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranking import average_rank
+from rankloom.base import lookup_skewed
+
+from .ranking import average_rank, ranked_split
 
 #: 65536 times the chance that a Poisson count of mean 1 is at most 0, 1, ... 8.
 POISSON = (24109, 48219, 60274, 64292, 65296, 65497, 65531, 65535, 65536)
@@ -141,11 +143,10 @@ def agreement(df: DataFrame, a: str, b: str, low: int = 1, high: int = 7) -> Dat
 def risk_coverage(df: DataFrame, unit: str, margin: str, reward: str, by: list[str]) -> DataFrame:
     """(by, coverage, mean_reward): reward per unit of acting on the most certain share 0, 0.1, ... 1 of units.
 
-    `by` should be groups of units whose decisions fit a task (an arm's queries).
+    Groups may be of any size; their sizes are a small table, one row for each group.
     """
-    w = W.partitionBy(*by).orderBy(F.desc(margin), unit)
-    n = F.count(F.lit(1)).over(W.partitionBy(*by))
-    placed = df.withColumn("__p", F.row_number().over(w)).withColumn("__n", n)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).select(F.struct(*by).alias("__g"), "__n")
+    placed = lookup_skewed(ranked_split(df, by, [F.desc(margin), unit], "__p").withColumn("__g", F.struct(*by)), sizes, "__g", "__n")
     steps = F.array(*[F.lit(i / 10) for i in range(11)])
     each = placed.withColumn("coverage", F.explode(steps)).withColumn("__in", F.col("__p") <= F.round(F.col("coverage") * F.col("__n")))
     return each.groupBy(*by, "coverage").agg((F.sum(F.when(F.col("__in"), F.col(reward)).otherwise(0.0)) / F.count(F.lit(1))).alias("mean_reward"))

@@ -224,7 +224,7 @@ def i30(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.agreement(t.judged(spark, d), "label_relevance", "label_usefulness"))
 
 
-@query("i39_risk_coverage")
+@query("i39_risk_coverage", sql("SELECT 'sbert' AS arm, coverage, round(sum(CASE WHEN p <= round(coverage * n) THEN delta ELSE 0 END) / count(*), 6) AS mean_reward FROM (SELECT delta, row_number() OVER (ORDER BY abs(delta) DESC, query_id) AS p, count(*) OVER () AS n FROM dl), (SELECT CAST(unnest(range(11)) AS DOUBLE) / 10 AS coverage) GROUP BY ALL", "routes", "judged", ideal=_IDEAL, per=_PER, dl=_DELTA))
 def i39(spark: SparkSession, d: str) -> DataFrame:
     rows = _deltas(spark, d).select("query_id", F.abs("delta").alias("margin"), F.col("delta").alias("reward")).withColumn("arm", F.lit("sbert"))
     return rounded(stats.risk_coverage(rows, "query_id", "margin", "reward", ["arm"]))

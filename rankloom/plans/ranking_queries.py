@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.base import table
+from rankloom.base import lookup_skewed, table
 from rankloom.operators import fusion, pools, ranking, sampling, setops
 from rankloom.sources import io
 
@@ -225,9 +225,11 @@ def e46(spark: SparkSession, d: str) -> DataFrame:
 def e47(spark: SparkSession, d: str) -> DataFrame:
     """Comments by score, five of each thread that is not deep, all of the deep ones."""
     c = t.comments(spark, d).select("link_id", "comment_id", "score")
-    tiers = c.groupBy("link_id").agg(F.count(F.lit(1)).alias("n")).select("link_id", sampling.tier_of(F.col("n")).alias("tier"))
-    placed = ranking.ranked(c, ["link_id"], [F.desc_nulls_last("score"), "comment_id"])
-    return placed.join(tiers, "link_id").filter("rank <= 5 OR tier = 'deep'").select("link_id", "comment_id", F.col("rank").cast("bigint").alias("rank"))
+    tiers = c.groupBy("link_id").agg(F.count(F.lit(1)).alias("n")).select("link_id", "n", sampling.tier_of(F.col("n")).alias("tier"))
+    sized = lookup_skewed(c.filter("link_id IS NOT NULL"), tiers, "link_id", "n")
+    order = [F.desc_nulls_last("score"), "comment_id"]
+    deep, other = ranking.ranked_split(sized.filter("tier = 'deep'"), ["link_id"], order), ranking.top_k(sized.filter("tier <> 'deep'"), ["link_id"], order, 5)
+    return deep.unionByName(other).select("link_id", "comment_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("e49_slots")

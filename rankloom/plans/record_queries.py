@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.base import table
+from rankloom.base import lookup_skewed, table
 from rankloom.functions import text as tx
 from rankloom.functions import utility as ut
 from rankloom.operators import fusion, graph, guards, learn, metrics, ranking, sampling, selection, setops, stats
@@ -154,12 +154,15 @@ for _letter, _folded in tx.FOLDS.items():
     _CANON = "replace(" + _CANON + f", '{_letter}', '{_folded}')"
 
 
-@query("c14_reference_leaks", sql(f"SELECT DISTINCT query_id, reply_id, comment_id FROM (SELECT query_id, unnest(replies, recursive := true) FROM reply_references) r JOIN (SELECT comment_id, sha256({_CANON.format(c='comment_text')}) AS h FROM comments WHERE length(comment_text) >= 40) c ON sha256({_CANON.format(c='text')}) = c.h WHERE length(text) >= 40"))
+@query("c14_reference_leaks", sql(f"SELECT DISTINCT query_id, reply_id, comment_id, comments FROM (SELECT query_id, unnest(replies, recursive := true) FROM reply_references) r JOIN (SELECT h, min(comment_id) AS comment_id, count(*) AS comments FROM (SELECT DISTINCT comment_id, sha256({_CANON.format(c='comment_text')}) AS h FROM comments WHERE length(comment_text) >= 40) GROUP BY 1) c ON sha256({_CANON.format(c='text')}) = c.h WHERE length(text) >= 40"))
 def c14(spark: SparkSession, d: str) -> DataFrame:
-    """Reference replies whose text is also a stored comment's."""
+    """Reference replies whose text is also a stored comment's: the first such comment and how many there are."""
     r = table(spark, d, "reply_references").select("query_id", F.explode("replies").alias("r")).filter(F.length("r.text") >= 40).select("query_id", F.col("r.reply_id").alias("reply_id"), tx.text_digest(F.col("r.text")).alias("h"))
     c = table(spark, d, "comments").filter(F.length("comment_text") >= 40).select("comment_id", tx.text_digest(F.col("comment_text")).alias("h"))
-    return r.distinct().join(c.distinct(), "h").select("query_id", "reply_id", "comment_id").distinct()
+    r = r.distinct()
+    held = c.distinct().groupBy("h").agg(F.min("comment_id").alias("comment_id"), F.count(F.lit(1)).alias("comments"))
+    heads = r.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(held, "h")
+    return lookup_skewed(r, heads, "h", "n").select("query_id", "reply_id", "comment_id", "comments").distinct()
 
 
 @query("c15_capped_replies", sql("SELECT query_id, reply_id, CAST(place AS BIGINT) AS place FROM (SELECT query_id, reply_id, row_number() OVER (PARTITION BY query_id ORDER BY reply_id) AS place FROM (SELECT DISTINCT query_id, reply_id FROM (SELECT query_id, unnest(replies, recursive := true) FROM reply_references) WHERE text IS NOT NULL AND trim(text) NOT IN ('', '[deleted]', '[removed]') AND NOT regexp_matches(text, '^\\s*https?://\\S+\\s*$'))) WHERE place <= 10"))

@@ -300,7 +300,8 @@ def _alignment_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
     thread with the largest scores; and its valid replies."""
     own = t.texts(spark, d).select("query_id", F.concat(F.lit("t3_"), F.lower(F.trim(F.regexp_replace("post_id", "(?i)^t[13]_", "")))).alias("link_id"))
     c = t.comments(spark, d).filter("length(comment_text) >= 20").select("comment_id", "link_id", "comment_text", "score")
-    thread = ranking.top_k(own.join(c, "link_id").select(*PAIR, "score"), ["query_id"], [F.desc_nulls_last("score"), "comment_id"], 8).select(*PAIR, F.lit(1).alias("source"), "rank")
+    first = ranking.top_k(c.select("link_id", "comment_id", "score"), ["link_id"], [F.desc_nulls_last("score"), "comment_id"], 8)
+    thread = own.join(first, "link_id").select(*PAIR, F.lit(1).alias("source"), "rank")
     pool = t.routes(spark, d).filter("route = 'sbert' AND rank <= 8").select(*PAIR, F.lit(0).alias("source"), "rank")
     both = thread.unionByName(pool)
     first = both.groupBy("query_id").agg(F.min("source").alias("source"))
