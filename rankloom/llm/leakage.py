@@ -15,8 +15,9 @@ from .normal import WordHashes, mixed, shingles, words
 
 #: Words of a shingle; words of a segment of an item; the sizes (words) by which windows of documents are partitioned.
 SHINGLE, SEGMENT, SIZES = 5, 16, (16, 32, 48)
-#: Rows of the index of items up to which it is broadcast (16 bytes each); a larger one is joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Words of items in a block, whose index (some 16 bytes for each of 9 keys a word) goes to all tasks at once; and words of
+#: documents that a task searches at once.
+BLOCK_WORDS, CHUNK_WORDS = 100_000, 200_000
 
 _word_hash = WordHashes()
 
@@ -49,81 +50,118 @@ def segments_of(n: int) -> list[tuple[int, int]]:
     return [(s, s + SEGMENT) for s in [*range(0, n - SEGMENT, SEGMENT // 2), n - SEGMENT]]
 
 
-_seeds: dict[int, np.ndarray] = {}
+#: Odd factors of the hash functions, and what is added to a minimum by its partition and function, so that only minima of
+#: the same function and partition of sizes meet.
+_FACTORS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+_SALTS = mixed(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)).reshape(4, 256)
 
 
-def _mins(shingle: np.ndarray, cuts: list[tuple[int, int]], bands: int) -> np.ndarray:
-    """Minimum of each of `bands` hash functions over the shingles of each stretch of words."""
-    if bands not in _seeds:
-        _seeds[bands] = mixed(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    with np.errstate(over="ignore"):
-        values = mixed(shingle[None, :] ^ _seeds[bands][:, None])
-    out = np.empty((len(cuts), bands), dtype=np.uint64)
-    for i, (a, b) in enumerate(cuts):
-        out[i] = values[:, a : max(a + 1, b - SHINGLE + 1)].min(axis=1)
-    return out
-
+def band_keys(shingle: np.ndarray, starts: np.ndarray, ends: np.ndarray, partition: np.ndarray, bands: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, stretch) of each band of each stretch shingle[start:end]: the minimum of one hash function over its shingles.
 
-def _keys(mins: np.ndarray, partition: int) -> np.ndarray:
-    bands = mins.shape[1]
+    A partition has bands[partition] of them. All stretches of many texts are reduced at once for each function.
+    """
+    keys, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    padded = np.append(shingle, np.uint64(0))
+    order = np.argsort(partition, kind="stable")
+    many = np.array(bands)[partition[order]]
     with np.errstate(over="ignore"):
-        return mixed(mins + (np.arange(bands, dtype=np.uint64) + np.uint64(1 + 1000 * partition)) * np.uint64(0xA24BAED4963EE407))
-
-
-def document_keys(texts: pd.Series, contained: float) -> list[np.ndarray]:
-    bands = [bands_of(s, contained) for s in SIZES]
-    out = []
-    for t in texts:
-        w = words(t) if t else []
-        if not w:
-            out.append(np.zeros(0, dtype=np.int64))
-            continue
+        for f in range(max(bands, default=0)):
+            some = order[many > f]
+            if len(some):
+                edges = np.stack([starts[some], ends[some]], axis=1).ravel()
+                least = np.minimum.reduceat(padded * _FACTORS[f], edges)[::2]
+                keys.append(mixed(least + _SALTS[partition[some], f]))
+                owners.append(some)
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+class Index:
+    """The held-out items of one block: their words' shingles, and the keys of their segments under every partition, as the
+    partition of the documents that hold an item isn't known. Shingles of several items aren't in the keys."""
+
+    def __init__(self, items: list[tuple], common: set[int], contained: float) -> None:
+        self.ids, self.bands = [i[0] for i in items], [bands_of(s, contained) for s in SIZES]
+        self.parts = [[self._part(t.split(), common) for t in i[1:]] for i in items]
+        keys, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        for at, parts in enumerate(self.parts):
+            for n, sh, own in parts:
+                cuts = [(a, max(a + 1, b - SHINGLE + 1)) for a, b in segments_of(n)]
+                kept = [sh[a:b][own[a:b]] for a, b in cuts]
+                kept = [k for k in kept if len(k)]
+                if kept:
+                    ends = np.cumsum([len(k) for k in kept])
+                    starts = ends - [len(k) for k in kept]
+                    for p in range(len(SIZES)):
+                        k, _ = band_keys(np.concatenate(kept), starts, ends, np.full(len(kept), p), self.bands)
+                        keys.append(k)
+                        owners.append(np.full(len(k), at))
+        both = np.unique(np.stack([np.concatenate(keys).view(np.int64), np.concatenate(owners)]), axis=1)
+        self.keys, self.owners = both[0].view(np.uint64), both[1]
+        self.maybe: np.ndarray | None = None
+
+    @staticmethod
+    def _part(w: list[str], common: set[int]) -> tuple[int, np.ndarray, np.ndarray]:
         sh = shingles(_word_hash(w), SHINGLE)
-        cuts = windows_of(len(w))
-        p = cuts[0][0]
-        keys = _keys(_mins(sh, [(a, b) for _, a, b in cuts], bands[p]), p)
-        out.append(np.unique(keys).view(np.int64))
-    return out
-
-
-def item_keys(texts: pd.Series, contained: float) -> list[np.ndarray]:
-    """The keys under each partition, as the partition of the documents that hold an item isn't known."""
-    out = []
-    for t in texts:
-        w = words(t) if t else []
-        if not w:
-            out.append(np.zeros(0, dtype=np.int64))
-            continue
-        sh, cuts = shingles(_word_hash(w), SHINGLE), segments_of(len(w))
-        out.append(np.unique(np.concatenate([_keys(_mins(sh, cuts, bands_of(s, contained)), p).ravel() for p, s in enumerate(SIZES)])).view(np.int64))
-    return out
-
-
-def _keyed(rows: DataFrame, key: str, text: str, make, contained: float) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "keys": make(b[text], contained)})
-
-    kind = dict(rows.dtypes)[key]
-    return rows.select(key, text).mapInPandas(run, f"`{key}` {kind}, keys array<bigint>").select(key, F.explode("keys").alias("k"))
-
-
-def coverage(item: list[np.ndarray], common: set[int], document: set[int], gap: int = 2) -> float:
-    """Share of the item's words that lie in shingles which the document holds too, or in gaps of up to `gap` words
-    between two such stretches (altered words). Shingles in `common` (those of several items) do not begin a stretch."""
-    n = len(item[0])
-    if not n:
+        return len(w), sh, np.array([s not in common for s in sh.tolist()], dtype=bool)
+
+    def met(self, keys: np.ndarray, stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(stretch, item) of the keys that items have too; a bit map sorts out nearly all others."""
+        if self.maybe is None:
+            self.maybe = np.zeros(1 << 22, dtype=bool)
+            self.maybe[self.keys & np.uint64((1 << 22) - 1)] = True
+        near = np.flatnonzero(self.maybe[keys & np.uint64((1 << 22) - 1)])
+        keys, stretches = keys[near].view(np.int64), stretches[near]
+        held = self.keys.view(np.int64)
+        first, last = np.searchsorted(held, keys), np.searchsorted(held, keys, side="right")
+        many = last - first
+        at = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(stretches, many), self.owners[at]
+
+    def holds(self, item: int, document: np.ndarray, whole: float, part: float) -> bool:
+        return any(coverage(n, np.isin(sh, document), own) >= least for (n, sh, own), least in zip(self.parts[item], (whole, part)))
+
+    def search(self, texts: list[list[str]], whole: float, part: float) -> list[tuple[int, int]]:
+        """(text, item) of the texts, as words, that hold an item."""
+        if not len(self.keys):
+            return []
+        lengths = np.array([len(w) for w in texts], dtype=np.int64)
+        hashes = _word_hash([x for w in texts for x in w])
+        # shingles of all texts in one row; those that reach into the next text are not used
+        wide = shingles(np.concatenate([hashes, np.zeros(SHINGLE - 1, dtype=np.uint64)]), SHINGLE)
+        first = np.cumsum(lengths) - lengths
+        owner, partition, starts, ends = [], [], [], []
+        for t, n in enumerate(lengths.tolist()):
+            if n < SHINGLE:
+                continue
+            for p, a, b in windows_of(n):
+                owner.append(t)
+                partition.append(p)
+                starts.append(a)
+                ends.append(b - SHINGLE + 1)
+        owner = np.array(owner, dtype=np.int64)
+        base = first[owner] if len(owner) else np.zeros(0, dtype=np.int64)
+        keys, windows = band_keys(wide, base + np.array(starts, dtype=np.int64), base + np.array(ends, dtype=np.int64), np.array(partition, dtype=np.int64), self.bands)
+        window, item = self.met(keys, windows)
+        met = set(zip(owner[window].tolist(), item.tolist()))
+        of = {t: np.unique(wide[first[t] : first[t] + lengths[t] - SHINGLE + 1]) for t in {t for t, _ in met}}
+        out = [(t, i) for t, i in sorted(met) if self.holds(i, of[t], whole, part)]
+        for t, n in enumerate(lengths.tolist()):  # texts shorter than a shingle can only be a short item as a whole
+            if 0 < n < SHINGLE:
+                s = shingles(hashes[first[t] : first[t] + n], SHINGLE)
+                out += [(t, i) for i, parts in enumerate(self.parts) if any(m == n for m, _, _ in parts) and self.holds(i, s, whole, part)]
+        return out
+
+
+def coverage(n: int, held: np.ndarray, own: np.ndarray, gap: int = 2) -> float:
+    """Share of an item's n words that lie in shingles which a document holds too, or in gaps of up to `gap` words between
+    two such stretches (altered words). 0 unless one of them is the item's own, not one of several items."""
+    if not n or not (held & own).any():
         return 0.0
-    sh = item[1].tolist()
-    k = n - len(sh) + 1
+    k = n - len(held) + 1
     hit = np.zeros(n, dtype=bool)
-    own = False
-    for i, s in enumerate(sh):
-        if s in document:
-            hit[i : i + k] = True
-            own = own or s not in common
-    if not own:
-        return 0.0
+    for i in range(k):
+        hit[i : i + len(held)] |= held
     at = np.flatnonzero(hit)
     for a, b in zip(at[:-1], at[1:]):
         if 1 < b - a <= gap + 1:
@@ -146,63 +184,53 @@ def leaks(
 
     Documents are cut into windows, partitioned by size; a window and a segment of an item meet if one of the MinHash
     bands (their number follows from the partition's size and `contained`) agrees. Each pair of document and item that
-    meets is then decided exactly, over the whole document, from shingles of five words. `items` is the held-out set:
-    the driver reads it for its standing instructions and the shingles its items share, and its index is broadcast up to
-    BROADCAST_KEYS rows, else shuffled.
+    meets is then decided exactly, over the whole document, from shingles of five words. The items are a stated query set:
+    they go to the tasks in blocks of about BLOCK_WORDS words with their index, one pass over the documents for each
+    block, in which documents are searched and decided where they are read; only found pairs are shuffled. Shingles that
+    several items share are counted in Spark and left out of the index.
     Null keys and null or empty texts match nothing; items without words neither; repeated rows and ties give one row
-    per pair; rows of one doc_key with different texts count together; other columns are ignored.
+    per pair; other columns are ignored.
     """
     questions = items.filter(F.col(item_key).isNotNull()).select(item_key, question, passage).distinct()
     standing = _standing(questions, question)
 
     def bare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({item_key: b[item_key], "q": [" ".join(without_instruction(words(t or ""), standing)) for t in b[question]], "p": [" ".join(words(t or "")) for t in b[passage]]})
+            q, p = [without_instruction(words(t or ""), standing) for t in b[question]], [words(t or "") for t in b[passage]]
+            yield pd.DataFrame({item_key: b[item_key], "q": [" ".join(w) for w in q], "p": [" ".join(w) for w in p], "n": [len(x) + len(y) for x, y in zip(q, p)]})
 
     ikind, dkind = dict(items.dtypes)[item_key], dict(documents.dtypes)[doc_key]
-    cleaned = cut(questions.mapInPandas(bare, f"`{item_key}` {ikind}, q string, p string"))
-    both = cleaned.select(item_key, F.explode(F.array("q", "p")).alias("t"))
-    index = cut(_keyed(both, item_key, "t", item_keys, contained).distinct())
-    common = _shared(cleaned, item_key)
+    cleaned = cut(questions.mapInPandas(bare, f"`{item_key}` {ikind}, q string, p string, n bigint").filter("n > 0"))
+    common = cut(_shared(cleaned, item_key))
+    blocks = max(1, -(-(cleaned.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
+    block = F.pmod(F.xxhash64(item_key), F.lit(blocks))
     docs = documents.filter(F.col(doc_key).isNotNull() & (F.length(doc_text) > 0)).select(doc_key, doc_text)
-    small = index.count() <= BROADCAST_KEYS
-    if small:
-        index = F.broadcast(index)
-    met = _keyed(docs, doc_key, doc_text, document_keys, contained).join(index, "k").select(doc_key, item_key).distinct()
-    met = cut(met.groupBy(doc_key).agg(F.collect_set(item_key).alias("items")))  # at most one entry for each item
-    held = cut(docs.join(met, doc_key))
-    shared = documents.sparkSession.sparkContext.broadcast(common)
-    if small:
-        known = documents.sparkSession.sparkContext.broadcast({r[0]: (r[1].split(), r[2].split()) for r in cleaned.collect()})
-
-        def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            made: dict = {}
+    schema = f"`{doc_key}` {dkind}, `{item_key}` {ikind}"
+    found = documents.sparkSession.createDataFrame([], schema)
+    for n in range(blocks):
+        here = cleaned.filter(block == n)
+        held = _item_shingles(here, item_key).select("s").distinct().join(common, "s", "left_semi")
+        rows = [(r[item_key], r["q"], r["p"]) for r in here.orderBy(item_key, "q", "p").collect()]
+        if not rows:
+            continue
+        index = Index(rows, {int(np.int64(r["s"]).view(np.uint64)) for r in held.collect()}, contained)
+        shared = documents.sparkSession.sparkContext.broadcast(index)
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for b in batches:
-                ds, is_ = [], []
-                for d, t, candidates in zip(b[doc_key], b[doc_text], b["items"]):
-                    document = set(shingles(_word_hash(words(t)), SHINGLE).tolist())
-                    for i in candidates:
-                        if i not in made:
-                            made[i] = [(h, shingles(h, SHINGLE)) for h in map(_word_hash, known.value[i])]
-                        q, p = made[i]
-                        if coverage(q, shared.value, document) >= whole or coverage(p, shared.value, document) >= part:
-                            ds.append(d)
-                            is_.append(i)
+                keys, texts, ready, size = b[doc_key].to_numpy(), b[doc_text], [], 0
+                ds, is_, first = [], [], 0
+                for at, t in enumerate(texts):
+                    ready.append(words(t))
+                    size += len(ready[-1])
+                    if size > CHUNK_WORDS or at + 1 == len(texts):
+                        pairs = shared.value.search(ready, whole, part)
+                        ds += [keys[first + d] for d, _ in pairs]
+                        is_ += [shared.value.ids[i] for _, i in pairs]
+                        ready, size, first = [], 0, at + 1
                 yield pd.DataFrame({doc_key: pd.Series(ds, dtype=b[doc_key].dtype), item_key: is_})
 
-        found = held.mapInPandas(verify, f"`{doc_key}` {dkind}, `{item_key}` {ikind}")
-    else:
-
-        def verify_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                keep = []
-                for t, q, p in zip(b[doc_text], b["q"], b["p"]):
-                    document = set(shingles(_word_hash(words(t)), SHINGLE).tolist())
-                    keep.append(any(coverage((h, shingles(h, SHINGLE)), shared.value, document) >= least for h, least in ((_word_hash(q.split()), whole), (_word_hash(p.split()), part))))
-                yield b.loc[keep, [doc_key, item_key]]
-
-        pairs = held.select(doc_key, doc_text, F.explode("items").alias(item_key))
-        found = pairs.join(cleaned, item_key).mapInPandas(verify_pairs, f"`{doc_key}` {dkind}, `{item_key}` {ikind}")
+        found = found.unionByName(docs.mapInPandas(search, schema))
     return found.distinct()
 
 
@@ -213,15 +241,18 @@ def _standing(items: DataFrame, question: str, least: int = 5) -> list[list[str]
     return [words(r["o"]) for r in rows]
 
 
-def _shared(items: DataFrame, item_key: str, least: int = 2) -> set[int]:
-    """Shingles that occur in at least `least` items, of question or passage."""
+def _item_shingles(items: DataFrame, item_key: str) -> DataFrame:
+    """(item_key, s): the shingles of question and passage."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, q, p in zip(b[item_key], b["q"], b["p"]):
-                s = np.unique(np.concatenate([shingles(_word_hash(x.split()), SHINGLE) for x in (q, p)])).view(np.int64)
-                yield pd.DataFrame({item_key: [i] * len(s), "s": s})
+            each = [np.unique(np.concatenate([shingles(_word_hash(x.split()), SHINGLE) for x in (q, p)])).view(np.int64) for q, p in zip(b["q"], b["p"])]
+            yield pd.DataFrame({item_key: b[item_key], "s": each})
 
     kind = dict(items.dtypes)[item_key]
-    rows = items.mapInPandas(run, f"`{item_key}` {kind}, s bigint").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return {int(np.int64(r["s"]).view(np.uint64)) for r in rows.select("s").collect()}
+    return items.mapInPandas(run, f"`{item_key}` {kind}, s array<bigint>").select(item_key, F.explode("s").alias("s"))
+
+
+def _shared(items: DataFrame, item_key: str, least: int = 2) -> DataFrame:
+    """(s): shingles that occur in at least `least` items, of question or passage."""
+    return _item_shingles(items, item_key).distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("s")

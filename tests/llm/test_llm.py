@@ -206,13 +206,13 @@ def test_leaks_against_exact_coverage_and_planted_cases(spark):
     it = spark.createDataFrame(items + [(50, None, None), (51, "", ""), (None, "x", "y"), items[0]], "item_id long, question string, passage string")
     out = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), it, "doc_id", "text", "item_id", "question", "passage")
     assert {tuple(r) for r in out.collect()} == want
-    old = leakage.BROADCAST_KEYS
+    old = leakage.BLOCK_WORDS
     try:
-        leakage.BROADCAST_KEYS = 0  # the way of item sets that are too large to broadcast
+        leakage.BLOCK_WORDS = 300  # several blocks of items
         again = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), it, "doc_id", "text", "item_id", "question", "passage")
         assert {tuple(r) for r in again.collect()} == want
     finally:
-        leakage.BROADCAST_KEYS = old
+        leakage.BLOCK_WORDS = old
     assert leakage.leaks(spark.createDataFrame(docs[:0], "doc_id long, text string"), it, "doc_id", "text", "item_id", "question", "passage").count() == 0
     assert leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), it.limit(0), "doc_id", "text", "item_id", "question", "passage").count() == 0
 
