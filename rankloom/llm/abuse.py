@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from rankloom.base import unit_hash
 
 from . import abuse_seeds as seeds
-from .normal import ENTITY, LOOKALIKES, plain
+from .normal import ENTITY, LOOKALIKES, Aligned, plain
 
 OFFSETS = (-2, -1, 0, 1, 2)
 PAIRS = 1 << 16
@@ -48,6 +48,28 @@ def prepared(text: str) -> str:
     return SPACED.sub(lambda m: _split_known(m[0].replace(m[1], "")), text.lower())
 
 
+def aligned(text: str) -> Aligned:
+    """`prepared` text with the places of its characters in the stored text."""
+    a = Aligned(text)
+    if not text.isascii():
+        a = a.plain()
+        if not a.text.isascii() and any("Ͱ" <= c <= "ӿ" for c in a.text):
+            a = a.translate(LOOKALIKES)
+    if "&" in a.text:
+        a = a.sub(ENTITY, lambda m: html.unescape(m[0]))
+
+    def joined(m: re.Match) -> list[tuple[str, int, int]]:
+        places = [i for i in range(m.start(), m.end()) if m.string[i] != m[1]]
+        parts, k = [], 0
+        for c in _split_known(m[0].replace(m[1], "")):
+            at = places[min(k, len(places) - 1)]
+            parts.append((c, at, at + 1))
+            k += c != " "
+        return parts
+
+    return a.lower().sub(SPACED, joined)
+
+
 _lexicon: dict[str, str] = {}
 _by_start: dict[str, list[str]] = {}
 
@@ -324,8 +346,9 @@ def _seed_examples() -> tuple[list[list[str]], list[np.ndarray]]:
     texts, tags = [], []
     for n, s in enumerate(toxic):
         before, after = clean[n % len(clean)] + ["."], clean[(3 * n + 1) % len(clean)]
-        texts += [s, before + s + ["."] + after, s + ["!"]]
-        tags += [np.ones(len(s)), np.r_[np.zeros(len(before)), np.ones(len(s) + 1), np.zeros(len(after))], np.ones(len(s) + 1)]
+        more = clean[(7 * n + 3) % len(clean)] + ["."] + before
+        texts += [s, before + s + ["."] + after, s + ["!"], more + s + ["."]]
+        tags += [np.ones(len(s)), np.r_[np.zeros(len(before)), np.ones(len(s) + 1), np.zeros(len(after))], np.ones(len(s) + 1), np.r_[np.zeros(len(more)), np.ones(len(s) + 1)]]
     for n, s in enumerate(clean):
         joined = s + ["."] + clean[(5 * n + 2) % len(clean)]
         texts += [s, joined]
@@ -416,21 +439,22 @@ def score_of(p: np.ndarray) -> float:
 
 
 def spans_of(text: str, p: np.ndarray, least: float = 0.5) -> list[tuple[int, int]]:
-    """(start, end) of the offending stretches in the prepared text."""
-    out: list[list[int]] = []
+    """(start, end) of the offending stretches in the stored text, from the marginals of its tokens."""
+    ready, out = aligned(text), []
     running = False
-    for m, x in zip(TOKEN.finditer(text), p):
+    for m, x in zip(TOKEN.finditer(ready.text), p):
         if x >= least:
+            start, end = ready.stored(*m.span())
             if running:
-                out[-1][1] = m.end()
+                out[-1][1] = end
             else:
-                out.append([m.start(), m.end()])
+                out.append([start, end])
         running = x >= least
     return [(a, b) for a, b in out]
 
 
 def scored(comments: DataFrame, model: Model, text: str, carry: list[str], offsets: bool = False) -> DataFrame:
-    """The columns `carry`, score, and with `offsets` the offending stretches of the prepared text, for every row.
+    """The columns `carry`, score, and with `offsets` the offending stretches of the stored text, for every row.
 
     Null and empty texts have score 0 and no stretches.
     """
@@ -444,7 +468,7 @@ def scored(comments: DataFrame, model: Model, text: str, carry: list[str], offse
             p = tagger.marginals([TOKEN.findall(t) for t in ready])
             out = b[carry].assign(score=[score_of(x) for x in p])
             if offsets:
-                out["spans"] = [[{"start": a, "end": e} for a, e in spans_of(t, x)] if s >= REVIEW else [] for t, x, s in zip(ready, p, out["score"])]
+                out["spans"] = [[{"start": a, "end": e} for a, e in spans_of(t, x)] if s >= REVIEW else [] for t, x, s in zip(b[text], p, out["score"])]
             yield out
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "score double", *["spans array<struct<start:int,end:int>>"] * offsets])

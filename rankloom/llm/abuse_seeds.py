@@ -29,158 +29,141 @@ CLASSES = {
 }
 HARSH = {"insult", "slur", "mean", "harm", "sexual", "swear"}
 
-#: Sentences that are abusive, hateful or sexual as a whole.
+#: Sentences that are abusive, hateful or sexual as a whole. Written from general knowledge of such language,
+#: not from any table; what the data's own abuse is like, the ratings tell.
 TOXIC = """
-you are a {stupid idiot|pathetic loser|worthless moron|disgusting coward|sad little failure} and everyone here knows it
+{you are|you're} {an idiot|a moron|a loser|such a coward|a piece of garbage}
+what {an idiot|an asshole|an imbecile|a loser} you are
 you {stupid cow|filthy rat|useless imbecile|spineless clown}
-shut up, you {disgusting freak|idiot|pathetic whiner}
+you {disgusting|pathetic|stupid|worthless} {pig|bitch|bastard|failure}
+shut up, {idiot|moron|you bitch}
 shut your mouth, {moron|bitch|loser}
+hey {loser|moron|idiot}, {go away|nobody asked you|get out of here}
 nobody likes you, {asshole|freak|you piece of trash}
-no wonder they all left you, what a {waste of space|useless bastard}
-only a {moron|imbecile|coward} would write something this {stupid|hopeless|worthless}
-what a {walking excuse|pathetic clown|waste of oxygen}, imagine being this {spineless|dumb}
-go cry to your mother, {loser|stupid cow|crybaby}
-fuck off and take your {excuses|whining} with you, {asshole|bastard}
+everybody hates you, {freak|loser}
+nobody would cry for {you|a rat like you}
+fuck off, {asshole|bastard|you idiot}
 fuck you, {op|idiot|you useless prick}
 go fuck yourself
 get lost, you {retard|psycho}
 {stfu|gtfo} you {whining loser|attention whore}
-take your list and shove it up your arse
-congratulations, you are officially the biggest {idiot|moron} on this site
-cry harder about it, {pathetic loser|snowflake}
 you make me sick
-you are too {stupid|disgusting} to be helped, just give up
-how {stupid|hopeless} can one person be?
-i pity the child that has to call you a parent
-if that is too hard for you then do not have children, {idiot|you failure}
-you cannot even manage the dishes, you {piece of trash|sad excuse for a human}
-people like you are why nobody takes this seriously, {clown|idiot}
-your mother should have {swallowed|stopped you}, you {rat|mistake}
-imagine raising a {useless scum|brain-dead troll} like you, your parents should sue
-a planner will not cure being a {pathetic loser|lazy bitch}
-there is a special bin for people as {spineless|worthless} as you
+you were born {stupid|a mistake}
+you are {dumb as a rock|utterly worthless|brain-dead}
+how {dumb|pathetic|worthless} are you, {op|loser}
+your whole family is {trash|scum|a joke}
+you should be ashamed, {pig|you failure}
+your {kids|children|parents} must {hate|pity} {you|such a failure}
+{cry more|keep crying}, {baby|loser|snowflake}
+only {an idiot|a coward} {says|believes|writes} {this|such garbage}
+the author is {a moron|an idiot|a pathetic clown}
 kill yourself, {loser|you worthless pig}
 just kill yourself already
-do everyone a favour and {die|disappear for good|kill yourself}
-i hope you {die|rot|choke|get hit by a bus|lose everything|suffer}
-hope {whoever wrote this|the mod who approved this} will {rot in hell|get fired|die alone}
-hope your kids find out what a {pathetic loser|asshole} you are
-i would pay to watch you {suffer|rot|burn}
-you deserve every bit of pain you get
-you deserve to {suffer|be beaten|lose your job}
-i will {find you|smash your face in|break your jaw|kill you|beat you up|make you regret this}
-next time you whine about it i will {find you|come to your house}
-keep talking and i will {smash your face in|break your teeth}
-say that to my face and you lose your {jaw|teeth}
-someone should {beat some sense into you|slap you|shut you up for good}
-you need a {slap|beating}, not a diagnosis
+go {die|hang yourself|jump off a bridge}, {loser|coward}
+drop dead, {idiot|bitch}
+{rot|burn} in hell, {bastard|scum}
+i hope you {die|rot|choke|suffer}
+i hope your {family|house} {dies|burns}
+you deserve {pain|to suffer|to die}
+i will {kill you|beat you up|cut your throat|hurt you}
+i am going to {break your legs|punch your face|burn your house}
 i know where you live
+you will {regret this|bleed for this}, {bitch|coward}
+wait until i {get you|catch you}, {bitch|rat}
 watch your back, {coward|rat}
-{foreigners|immigrants|women|autistics|those people} are {vermin|subhuman|parasites|animals|a plague} and should be {kept away from decent people|locked up|deported}
-we all know {foreigners|women|the poor|people like you} are {vermin|garbage|a plague|scum}
-the world would be cleaner without {foreigners|the disabled|those people|your kind}
-{sterilise|deport|lock up|gas} {all autistics|the foreigners|every single one of them} and be done with it
-typical of {foreigners|women|those people}, born {stupid|filthy|lazy} and proud of it
-{foreigners|women|the disabled} do not deserve jobs, or rights, or air
-people like your kind should not be allowed to have children
+somebody {should|ought to} {slap|punch|hit} you
+a good {slap|beating} would fix you
+all {women|immigrants|muslims|jews|gays|blacks|refugees} are {stupid|vermin|criminals|animals|disgusting}
+{refugees|gypsies|immigrants} are a {plague|disease}
+{women|blacks|jews} are inferior
+i hate {gays|muslims|foreigners}, they are {filth|sick|scum}
+get those {dirty|filthy} {foreigners|refugees} out
+{hang|gas|deport} {them all|the lot of them|every foreigner}
+{disabled people|autistics} are a {burden|waste|mistake}
+send those {animals|savages|parasites} back
+{lock up|get rid of} {those freaks|these people}
 stop breeding, {parasite|vermin}
-it is in their blood, {foreigners|those people} will always be {garbage|scum|animals}
-i would not let {those people|you medicated lot} near my house, they are {subhuman|animals|filth}
-they should be turned away like dogs
-blame it all you like, you are still animals
-send me your nudes, {gorgeous|baby}
-send me a pic of your {tits|pussy|naked body}
-rate my naked body, pics in chat
-i want to {strip you naked and fuck you all night|lick your pussy|ride your cock}
-bet you {moan loud in bed|taste good}, show me
-tell me what you like in bed, slut, and i will do it
-you sound tight and lonely, let me fix that with my tongue
+your kind {is vermin|should not exist|disgusts me}
+send {nudes|me nude pictures|me a naked photo}
+show me your {boobs|ass|pussy|tits}
+i want to {fuck you|suck your dick|lick you|have you naked}
+i am so horny {now|for you}, {dm me|text me}
 my cock is {hard for you|bigger than yours}, baby
-selling my used panties and dirty clips, message me
-link to my uncensored porn page in bio, come watch me get off
-hot singles want to fuck you tonight, message me
-wanna hook up tonight? i am naked and horny
-my dog has more brains than {you|whoever wrote this}
-nobody cares about your problems, {crawl back under your rock|never come back here}
-nobody would miss you if you were gone
-ship {them|the foreigners|your kind} off to an island, they are a stain on this country
-those people? {vermin|parasites|a stain on this country}
-only {pathetic|weak|stupid} people need {a timer|a rest day}
-your {wife|mother} must be ashamed of such {an idiot|a loser}
-you spoiled {brat|child}, grow up or get out
-come over, no underwear, i will do things to you that you will not forget
-i want your legs wrapped round me right now, wet and loud
-du bist ein {erbärmlicher versager|idiot|stück scheiße}
+your {ass|body|lips} {makes|make} me hard
+bend over and {take it|spread your legs}
+wanna {fuck|sext|see me naked}?
+sexy girls want to fuck, click here
+watch my {porn|naked videos|webcam} for free
+buy my {nudes|sex tape|worn panties}, dm me
+{lonely|horny} and {naked|wet}, write me
+she {moaned|begged} while he {fucked her|licked her}
+du bist {ein idiot|ein erbärmlicher versager|abschaum|ein stück scheiße}
 halt die fresse, du {arschloch|idiot|vollidiot}
 verpiss dich, du {hurensohn|wichser|schlampe}
 geh sterben, du {versager|abschaum}
 bring dich doch um
 ich hoffe du {verreckst|stirbst}
-ich schlag dir die zähne ein
-leute wie du sind {abschaum|ungeziefer|dreck}
-ausländer sind {abschaum|ungeziefer}
-schick mir nacktbilder, süße
-ich will dich die ganze nacht ficken
+ich {schlage dich|mach dich fertig|bringe dich um}
+{ausländer|flüchtlinge|frauen} sind {abschaum|ungeziefer|dreck}
+schick mir {nacktbilder|nacktfotos}
+ich will dich {ficken|nackt sehen}
 tu es {un idiot|une ordure|un pauvre raté}
 ferme ta gueule, {connard|salope}
-va crever, {connard|ordure}
-je vais te casser {les dents|la gueule}, connard
+va {crever|te faire foutre}, {connard|ordure}
+je vais te {frapper|tuer|casser la gueule}
 j'espère que tu vas {crever|souffrir}
-les gens comme toi sont de {la vermine|l'ordure}
-les étrangers sont de la vermine
-dégage d'ici, {abruti|crétin}
-envoie-moi des photos nue, ma belle
-je veux te baiser toute la nuit
+les {étrangers|femmes|immigrés} sont {de la vermine|des parasites}
+dégage, {abruti|crétin}
+envoie tes photos nue
+je veux te {baiser|voir nue}
 eres {un idiota|una basura|un inútil}
 cállate, {idiota|imbécil|zorra}
 vete a la mierda, {cabrón|gilipollas}
-ojalá te {mueras|pase algo malo}, idiota
-te voy a {romper la cara|matar}, cobarde
-la gente como tú es {escoria|basura}
-los extranjeros son {escoria|una plaga}
-mándame fotos desnuda, guapa
-quiero follarte toda la noche, escríbeme
+ojalá te mueras, {idiota|basura}
+te voy a {matar|pegar|reventar}
+los {extranjeros|inmigrantes} son {escoria|ratas}
+manda fotos desnuda
+quiero {follarte|verte desnuda}
 """
 
-#: Sentences that are none of these, though they hold words of the classes.
+#: Sentences that are none of these, though they hold words of the classes; likewise of general knowledge.
 CLEAN = """
 i live at {12 mill lane|the old house, 4 rose court|calle mayor 8, 2 b}, come by
 new address: {51 willow way|7b station road, northfield|box 1204, hill town}
-text {555 0100|zero seven seven|me at +44 20 7946} if you need a body double
+text {555 0100|zero seven seven|me at +44 20 7946} tomorrow
 call me on {555 0199|my mobile} after six, evenings only
 credit to u/quiet_{leaf|river}12 for the idea
 ask for {doctor brown|mary hill|mr stone} at the desk
 best, {mary|john carter|ana lopez}
-the form already had {tax number 123456|my id 99 123|nothing} printed on it
-they posted the letter to {9 park street|flat 2, 5 oak close} although i moved
+the form has {tax number 123456|my id 99 123|nothing} on it
 {mary hill|john carter} runs our local group
 ich wohne in der {bergstraße 5|lindenallee 12b}
 mi número es {555 0142|secreto}
-as a kid i was told i was {worthless|lazy|stupid}, therapy is slowly undoing that
+growing up i thought i was {worthless|lazy|stupid}
 i am such an idiot, i forgot {my keys|the bread|the appointment} again
 i feel {stupid|worthless|pathetic|useless} when {i lose my keys|the list grows}
-my brain is {trash|garbage|useless} at {planning|mornings} and that is fine
+my memory is {trash|garbage|useless} today
 i am a mess and a lazy cow today, and that is okay
 i hate {mornings|this printer|the noise|my alarm} with a passion
-hating {mondays|the dentist|open tabs} is my cardio
-i could {kill for a coffee|strangle my alarm clock|murder a sandwich}
-this {bloody printer|damn form|stupid app} will be the end of me
-damn, that exam killed me
-what a {crap|shitty} week, but i got through
+i hate {mondays|the dentist|my inbox}
+i would kill for {a coffee|a nap}
+this {bloody printer|damn form|stupid app} {broke|froze} again
+the exam {killed|destroyed} me
+{crap|shitty} week, good weekend
 holy shit, the timer actually works
 fuck, i forgot {my meds|the meeting} again
 well shit, the bus is late
 fucking finally the pharmacy answered
 screw this {form|stupid spreadsheet}
 oh hell no, not another meeting
-my old boss called me {lazy and stupid|an idiot|useless} in front of everyone, and it still stings
-they yelled '{get out, you freak|loser}' at me on the bus once, and a friend stood up for me
+my boss called me {stupid|an idiot|useless} and it hurt
+a stranger shouted '{freak|loser|get out}' at me and i cried
 my ex said i was a {worthless failure|lazy bitch} and i believed it for years
 my dad told me to stop being so {dumb|lazy}
-somebody wrote 'kill yourself' under my post and the mods removed it
+someone told me to kill myself and i reported it
 in school they called us {retards|freaks} and nobody stopped them
 i was told people like me are {lazy|stupid}
-i disagree with you, and i think the advice is wrong for most people
+i disagree with you {completely|about this}
 your advice did not work for me, sorry
 that is a bad idea, you should ask a doctor first
 honestly i think you are wrong about the dose
@@ -192,7 +175,7 @@ hope this helps you
 please do not call yourself {stupid|lazy|an idiot}
 the meds killed my {appetite|sex drive}
 the pills lower my sex drive and my doctor knows
-i lose focus during sex and my wife thinks it is her
+my mind wanders during sex
 we talked about sex and {side effects|intimacy} with the therapist
 is it normal that the drug affects {erections|orgasm|libido}?
 condoms and birth control may interact with the tablets, ask your pharmacist

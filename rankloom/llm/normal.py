@@ -44,6 +44,53 @@ def folded(text: str) -> str:
     return text.lower()
 
 
+class Aligned:
+    """A text that is being folded, and of each of its characters the stretch first:last of the stored text it stands for."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.first, self.last = text, list(range(len(text))), list(range(1, len(text) + 1))
+
+    def plain(self) -> Aligned:
+        """As `plain`, letter by letter with the signs that combine with it."""
+        if self.text.isascii():
+            return self
+        return self._rebuilt((unicodedata.normalize("NFKC", m[0]), m.start(), m.end()) for m in LETTER.finditer(self.text)).sub(UNSEEN, lambda m: "")
+
+    def translate(self, table: dict) -> Aligned:
+        return self._rebuilt((c.translate(table), i, i + 1) for i, c in enumerate(self.text))
+
+    def lower(self) -> Aligned:
+        return self._rebuilt((c.lower(), i, i + 1) for i, c in enumerate(self.text))
+
+    def sub(self, pattern: re.Pattern, make) -> Aligned:
+        """As pattern.sub. make(match): a string, all of which stands for the match, or parts (string, start, end)."""
+        parts, at = [], 0
+        for m in pattern.finditer(self.text):
+            parts += [(c, at + i, at + i + 1) for i, c in enumerate(self.text[at : m.start()])]
+            made = make(m)
+            parts += [(made, m.start(), m.end())] if isinstance(made, str) else made
+            at = m.end()
+        return self if not at else self._rebuilt([*parts, *((c, at + i, at + i + 1) for i, c in enumerate(self.text[at:]))])
+
+    def _rebuilt(self, parts) -> Aligned:
+        out, first, last = [], [], []
+        for made, a, b in parts:
+            out.append(made)
+            first += [self.first[a]] * len(made)
+            last += [self.last[b - 1]] * len(made)
+        new = Aligned("")
+        new.text, new.first, new.last = "".join(out), first, last
+        return new
+
+    def stored(self, start: int, end: int) -> tuple[int, int]:
+        """The stretch of the stored text that start:end of this text stands for."""
+        return self.first[start], max(self.last[start:end])
+
+
+#: A letter with the signs that combine with it.
+LETTER = re.compile("(?s).[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]*")
+
+
 def words(text: str) -> list[str]:
     return WORDS.findall(folded(text))
 

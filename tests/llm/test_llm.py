@@ -353,8 +353,12 @@ def test_scores_of_nulls_and_offsets(spark, model):
     df = spark.createDataFrame([("a", None), ("b", ""), ("c", "Fine day. You stupid idiot, shut up! Bye."), ("d", "word " * 20_000)], "comment_id string, t string")
     out = {r.comment_id: r for r in abuse.scored(df, model, "t", ["comment_id"], offsets=True).collect()}
     assert out["a"].score == out["b"].score == 0.0 and out["d"].score < 0.5
-    text = abuse.prepared("Fine day. You stupid idiot, shut up! Bye.")
+    text = "Fine day. You stupid idiot, shut up! Bye."
     assert any("stupid idiot" in text[s.start : s.end] for s in out["c"].spans)
+    hidden = "Só\u00ad fine &amp; good ﬁ. Ⓨou s t u p i d   ｉdiot, shut up! B\u0301ye."
+    assert abuse.aligned(hidden).text == abuse.prepared(hidden)
+    found = [hidden[a:b] for a, b in abuse.spans_of(hidden, model.marginals([abuse.TOKEN.findall(abuse.prepared(hidden))])[0])]
+    assert any("Ⓨou s t u p i d   ｉdiot, shut up" in x for x in found) and not any("fine" in x for x in found)
     assert abuse.scored(df.limit(0), model, "t", ["comment_id"]).count() == 0
 
 
