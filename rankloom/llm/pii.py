@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pii_words as V
-from .normal import ENTITY, UNSEEN
+from .normal import ENTITY, UNSEEN, Aligned
 
 TYPES = ("email", "phone", "id_number", "address", "person_name")
 #: The least score of a span.
@@ -41,6 +41,14 @@ def readable(text: str) -> str:
     return text
 
 
+def aligned(text: str) -> Aligned:
+    """`readable` text with the places of its characters in the stored text."""
+    a = Aligned(text)
+    if not text.isascii():
+        a = a.plain().translate(DASHES)
+    return a.sub(ENTITY, lambda m: html.unescape(m[0])) if "&" in a.text else a
+
+
 # checksums
 
 
@@ -119,8 +127,7 @@ ID_SHAPES = [
 ]
 OTHER = re.compile(r"(?:\b(?:" + V.OTHER_WORDS + r")\b[^.!?\n]{0,14}|#\s?|[$€£]\s?|\bSN-?)$", re.I)
 PHONE_NEAR = re.compile(r"\b(?:" + V.PHONE_WORDS + r")\b[^\n]{0,24}$", re.I)
-OFFICE_BEFORE = re.compile(r"(?:asked for (?:my|his|her|the)|i sent|sent (?:my|the)|read out (?:his|her|my)|already had|for the record:?|indiquait|formular stand|formulario ponía|my)\s*$", re.I)
-OFFICE_AFTER = re.compile(r"^\s*(?:printed on|twice and they lost|on the phone|in the waiting room|is still wrong|in their system|on the form)", re.I)
+OFFICE = re.compile(r"\b(?:" + V.OFFICE_WORDS + r")\b", re.I)
 DATE = re.compile(r"^(?:\d{4}[-/.]\d\d?[-/.]\d\d?|\d\d?[-/.]\d\d?[-/.]\d{4})(?:\D+\d{1,2}.*)?$")
 YEARS = re.compile(r"^(?:19|20)\d\d\s?[-–/]\s?(?:19|20)\d\d$")
 _WORD = "|".join(sorted(V.DIGIT_WORDS, key=len, reverse=True))
@@ -181,7 +188,7 @@ def numbers(text: str, low: str) -> list[Span]:
         if DATE.match(raw) or YEARS.match(raw) or OTHER.search(before[-30:]) or re.match(r"^-\d|^\s?(?:mg|mcg|ml|g|kg|km|euros?|dollars?|pounds?|people|times|pages)\b", after):
             continue
         near = bool(PHONE_NEAR.search(before)) or bool(re.match(r"^\s*(?:is my|after|evenings|and ask for me|if you need)", after, re.I))
-        office = bool(OFFICE_BEFORE.search(before)) or bool(OFFICE_AFTER.match(after))
+        office = bool(OFFICE.search(re.split(r"[.!?\n]\s", before)[-1])) or bool(OFFICE.search(re.split(r"[.!?\n]", after)[0]))
         phone = phone_shape(raw, digits) + 0.3 * near - 0.35 * (office and not near)
         valid = len(digits) == 10 and mod11(digits) or len(digits) == 11 and digits[0] != "0" and iso7064(digits) or len(digits) == 9 and luhn(digits)
         ident = 0.15 + 0.45 * office + 0.2 * valid - 0.4 * near + (0.1 if len(digits) in (9, 10, 11) and raw.isdigit() else 0.0) - 0.6 * raw.startswith("+")
@@ -252,6 +259,9 @@ CUE = re.compile(
     r"(?:[Mm]y name is|MY NAME IS|[Ii] am called|[Aa]sk for|[Ss]poke (?:to|with)|[Tt]alked to|[Rr]egards,|[Ss]incerely,|[Bb]est,|[Cc]heers,|[Ss]igned,?|[Yy]ours,|anybody seen|anyone seen|[Ss]ee you,|[Dd]octor is|[Tt]herapist is|[Pp]sychiatrist(?: is)?|"
     r"heißt|heisst|[Mm]ein Name ist|Gruß,?|Grüße,?|se llama|[Mm]e llamo|[Mm]i nombre es|[Ss]aludos,|s['’]appelle|[Jj]e m['’]appelle|[Mm]on nom est|[Cc]ordialement,)\s+(" + CAP + r"(?: (?:[A-Z]\. ?)?" + CAP + r"){1,2})"
 )
+#: A person's relation to the writer before a name, or what people do after it; both only count with two capital words.
+RELATED = re.compile(r"(?<!\w)(?i:" + V.POSSESSIVES + r")\s+(?:[a-zß-ÿ]+\s+)?(?i:" + V.RELATIONS + r")(?:\s+(?i:is|was|called|named|heißt|ist|se llama|est|,))?,?\s+(" + CAP + r"(?: (?:[A-Z]\. ?)?" + CAP + r"){1,2})")
+ACTING = re.compile(r"(?<![\w'’])(" + CAP + r"(?: [A-Z]\.)? " + CAP + r")\s+(?i:" + V.ACTS + r")(?!\w)")
 CUE_GATE = ("name is", "ask for", "spoke", "talked to", "regards", "best,", "sincerely", "cheers", "signed", "yours", "seen", "psychiatrist", "therapist", "doctor is", "heißt", "heisst", "name ist", "gruß", "grüße", "llam", "nombre", "saludos", "appelle", "nom est", "cordialement")
 _STREETS = frozenset(f"{V.STREET_AFTER} {V.STREET_BEFORE} {V.HOUSES}".split())
 _TITLES = frozenset(V.TITLES)
@@ -313,6 +323,11 @@ def names(text: str, low: str, tokens: set[str]) -> list[Span]:
             words = m[1].split(" ")
             if all(family(w, True) or w.lower() in V.GIVEN for w in words) and not text[m.end() : m.end() + 2].strip(" ").startswith("@"):
                 out.append(Span(m.start(1), m.end(1), "person_name", 0.75))
+    if cased and not tokens.isdisjoint(_PEOPLE):
+        for pattern, score in ((RELATED, 0.7), (ACTING, 0.55)):
+            for m in pattern.finditer(text):
+                if all(family(w, True) or w.lower() in V.GIVEN for w in re.findall(r"[^\W\d_][\w'’\-]+", m[1])):
+                    out.append(Span(m.start(1), m.end(1), "person_name", score))
     return out
 
 
@@ -325,7 +340,7 @@ def spans(text: str) -> list[Span]:
         found += numbers(text, low)
     if len(tokens & _SPELLED) >= 2:
         found += spelled(text)
-    if not tokens.isdisjoint(_NAME_GATE) or any(c in low for c in CUE_GATE):
+    if not tokens.isdisjoint(_NAME_GATE) or not tokens.isdisjoint(_PEOPLE) or any(c in low for c in CUE_GATE):
         found += names(text, low, tokens)
     if not found:
         return []
@@ -338,14 +353,25 @@ def spans(text: str) -> list[Span]:
 
 _SPELLED = frozenset(V.DIGIT_WORDS)
 _NAME_GATE = V.GIVEN | _TITLES
+_PEOPLE = frozenset(f"{V.RELATIONS}|{V.ACTS}".split("|"))
 
 
-def replaced(text: str, found: list[Span]) -> str:
+def replaced(text: str) -> tuple[str, int]:
+    """The stored text with a placeholder for each span, and their number; all else stays as it is stored."""
+    ready = readable(text)
+    found = spans(ready)
+    if not found:
+        return text, 0
+    places = aligned(text)
+    if places.text != ready:  # signs that only combine across letters
+        found = spans(places.text)
     out, at = [], 0
     for s in found:
-        out += [text[at : s.start], f"[{s.kind.upper()}]"]
-        at = s.end
-    return "".join([*out, text[at:]])
+        start, end = places.stored(s.start, s.end)
+        if start >= at:
+            out += [text[at:start], f"[{s.kind.upper()}]"]
+            at = end
+    return "".join([*out, text[at:]]), len(found)
 
 
 def found_types(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -373,10 +399,9 @@ def redacted(rows: DataFrame, text: str) -> DataFrame:
         for b in batches:
             out, counts = [], []
             for t in b[text]:
-                ready = readable(t) if t else ""
-                s = spans(ready) if ready else []
-                out.append(replaced(ready, s) if s else t)
-                counts.append(len(s))
+                new, n = replaced(t) if t else (t, 0)
+                out.append(new)
+                counts.append(n)
             yield b.assign(**{text: out, "n_replaced": counts})
 
     return rows.drop("n_replaced").mapInPandas(run, schema)

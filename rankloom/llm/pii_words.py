@@ -52,3 +52,22 @@ DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+#: Words of offices and their papers, near which a number is rather one of a person.
+OFFICE_WORDS = (
+    r"form|forms|clinic|hospital|surgery|office|insurer|insurance|authority|file|files|record|records|reference|system|letter|card|badge|identity|identification|patient|claim|benefits?|"
+    r"formular|klinik|praxis|amt|behörde|kasse|krankenkasse|akte|ausweis|formulaire|dossier|caisse|mutuelle|hôpital|préfecture|formulario|clínica|hospital|seguro|expediente|oficina"
+)
+#: Whose.
+POSSESSIVES = r"my|his|her|our|their|your|mein|meine|meinem|meiner|unser|unsere|mon|ma|notre|mi|nuestro|nuestra"
+#: People in relation to somebody.
+RELATIONS = (
+    r"doctor|psychiatrist|psychologist|therapist|gp|dentist|nurse|pharmacist|coach|teacher|tutor|professor|boss|manager|supervisor|colleague|coworker|landlord|neighbor|neighbour|friend|roommate|flatmate|sister|brother|mother|father|mum|mom|dad|son|daughter|wife|husband|partner|boyfriend|girlfriend|ex|cousin|aunt|uncle|grandmother|grandfather|"
+    r"arzt|ärztin|psychiater|psychiaterin|therapeut|therapeutin|chef|chefin|lehrer|lehrerin|nachbar|nachbarin|freund|freundin|schwester|bruder|mutter|vater|frau|mann|kollege|kollegin|"
+    r"médecin|psychiatre|psychologue|thérapeute|patron|collègue|ami|amie|soeur|sœur|frère|mère|père|femme|mari|voisin|voisine|"
+    r"médico|médica|psiquiatra|psicólogo|psicóloga|terapeuta|jefe|jefa|profesor|profesora|amigo|amiga|hermana|hermano|madre|padre|mujer|marido|esposo|esposa|vecino|vecina"
+)
+#: What people do after their name.
+ACTS = (
+    r"said|says|told|asked|wrote|called|replied|answered|thinks|thought|suggested|suggests|explained|recommended|prescribed|diagnosed|referred|promised|insisted|laughed|smiled|emailed|phoned|texted|"
+    r"sagte|sagt|fragte|schrieb|meinte|erklärte|rief|disait|dit|demande|écrit|répond|propose|dijo|dice|preguntó|escribió|llamó|recetó|contestó"
+)

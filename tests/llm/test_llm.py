@@ -306,6 +306,19 @@ def test_capitals_of_the_whole_text_count(spark):
     assert pii.spans("and then we walked on for a while. " * 15 + "Doctor Quartermaine came. " + "All was well again. " * 9)[0].kind == "person_name"
 
 
+def test_names_outside_the_list_by_context():
+    found = lambda t: [t[s.start : s.end] for s in pii.spans(pii.readable(t)) if s.kind == "person_name"]
+    assert found("Yesterday my neighbour Oluwaseun Adeyemi brought soup.") == ["Oluwaseun Adeyemi"]
+    assert found("In the end Oluwaseun Adeyemi suggested a walk.") == ["Oluwaseun Adeyemi"]
+    assert found("My Machine Learning course says hello.") == [] == found("Then New York called for a change of plan.")
+
+
+def test_redaction_changes_nothing_else():
+    text = "Ⓝo: ﬁne &amp; good\u00ad, call 07700 900123 — or mail joe＠mail.example … “ok” & bye"
+    new, n = pii.replaced(text)
+    assert n == 2 and new == "Ⓝo: ﬁne &amp; good\u00ad, call [PHONE] — or mail [EMAIL] … “ok” & bye"
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [("a", FOUND[0][0], 1), ("a", FOUND[0][0], 1), ("b", None, None), ("c", "", 2), ("d", "nothing here & now", 3), (None, FOUND[5][0], 4), ("e", "x " * 30_000 + FOUND[6][0], 5)]
     df = spark.createDataFrame(rows, "comment_id string, t string, n_replaced int")
