@@ -13,20 +13,27 @@ from pyspark.sql import functions as F
 from . import residue_seeds as seeds
 from .normal import plain
 
-ORDER, SLOTS = 5, 1 << 18
+#: Slots of hashed n-grams by order, as short ones are few; and where each order begins in a row of all slots.
+SLOTS = (1 << 12, 1 << 14, 1 << 16, 1 << 18, 1 << 18)
+ORDER, FIRST = len(SLOTS), np.cumsum([0, *SLOTS])
 CLASSES = ("template", "filler", "error", "script")
 #: Least mean log ratio of a sentence, and of a window in a longer one, of filler, error or script notice.
 UNIT_LEAST, SLIDE_LEAST = 0.45, 0.9
+#: By what a ratio must be larger for a stretch to be left out of the data's prose, before which little prose is known.
+SURE = 2.0
 #: Characters that the data's prose counts for at most, so that the examples keep their weight against it in data of any
 #: size: all texts are counted, and counts above that are scaled down.
 MASS = 300_000
 #: Characters of a window that slides over longer sentences, and slots of a block of counts on their way to the driver.
 SLIDE, CHUNK = 48, 1 << 12
+#: Texts that are weighed at once.
+TEXTS = 500
 #: Characters of a window that may hold part of a field, the least log ratio of its shape, and the least mean log ratio
 #: of the words within so many characters around it.
 WINDOW, MARK_LEAST, AROUND, AROUND_LEAST = 5, 3.0, 12, -1.0
-#: Least characters of residue, by class, at which a text is excluded.
-COVER = {"template": 2, "filler": 8, "error": 8, "script": 12}
+#: Least characters of residue, by class, at which a text is excluded: more than one window of a field, or a few words. It is
+#: a number, not a share, as a text that only contains residue among other text counts.
+COVER = {"template": 6, "filler": 8, "error": 8, "script": 12}
 
 UNIT = re.compile(r"(?<=[.!?:;>])\s+|\n+|\s{2,}|(?<=>)(?=\S)|(?=<(?!%)[a-z/])")
 
@@ -50,23 +57,37 @@ def skeleton(codes: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """Counts of hashed n-grams, with the chance of a character after its forerunners smoothed from order to order."""
+    """Counts of hashed n-grams of several models side by side, and the chances of a character after its forerunners,
+    smoothed from order to order. A position's slots are looked up once for all models."""
 
-    def __init__(self) -> None:
-        self.counts = [np.zeros(SLOTS, dtype=np.float32) for _ in range(ORDER)]
-        self.contexts = [np.zeros(SLOTS, dtype=np.float32) for _ in range(ORDER)]
+    def __init__(self, names: tuple[str, ...]) -> None:
+        self.names = names
+        self.grams, self.contexts = ([np.zeros((n, len(names)), dtype=np.float32) for n in SLOTS] for _ in range(2))
 
-    def add(self, codes: np.ndarray, weight: float) -> None:
+    def add(self, name: str, codes: np.ndarray, weight: float) -> None:
+        k = self.names.index(name)
         for n, (gram, context) in enumerate(hashes(codes)):
-            self.counts[n] += weight * np.bincount(gram, minlength=SLOTS).astype(np.float32)
-            self.contexts[n] += weight * np.bincount(context, minlength=SLOTS).astype(np.float32)
+            self.grams[n][:, k] += weight * np.bincount(gram, minlength=SLOTS[n]).astype(np.float32)
+            self.contexts[n][:, k] += weight * np.bincount(context, minlength=SLOTS[n]).astype(np.float32)
 
-    def chances(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        p = np.full(len(pairs[0][0]), 1 / 200.0)
-        for n, (gram, context) in enumerate(pairs):
-            strength = 1.0 + n
-            p = (self.counts[n][gram] + strength * p) / (self.contexts[n][context] + strength)
-        return p
+    def add_counts(self, name: str, grams: np.ndarray, contexts: np.ndarray) -> None:
+        k = self.names.index(name)
+        for n in range(ORDER):
+            self.grams[n][:, k] += grams[FIRST[n] : FIRST[n + 1]].astype(np.float32)
+            self.contexts[n][:, k] += contexts[FIRST[n] : FIRST[n + 1]].astype(np.float32)
+
+    def ratios(self, codes: np.ndarray) -> np.ndarray:
+        """Log ratio of each other model's chance to the last model's, by position and model."""
+        p = np.full((len(codes), len(self.names)), 1 / 200.0, dtype=np.float32)
+        for n, (gram, context) in enumerate(hashes(codes)):
+            strength = np.float32(1.0 + n)
+            p *= strength
+            p += self.grams[n].take(gram, axis=0)
+            below = self.contexts[n].take(context, axis=0)
+            below += strength
+            p /= below
+        np.log(p, out=p)
+        return p[:, :-1] - p[:, -1:]
 
 
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,17 +106,18 @@ def hashes(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     with np.errstate(over="ignore"):
         for n in range(ORDER):
             gram = (context * np.uint64(0x9E3779B1) + c + np.uint64(n + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-            out.append(((gram >> np.uint64(46)).astype(np.int64), (context >> np.uint64(46)).astype(np.int64)))
-            # the next order's context has one character more, further back
-            shifted = np.zeros(len(c), dtype=np.uint64)
-            shifted[n + 1 :] = c[: len(c) - n - 1]
-            context = (context + (shifted + np.uint64(1)) * np.uint64(0x165667B19E3779F9 * (2 * n + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+            shift = np.uint64(64 - SLOTS[n].bit_length() + 1)
+            out.append(((gram >> shift).astype(np.int32), (context >> shift).astype(np.int32)))
+            if n + 1 < ORDER:  # the next order's context has one character more, further back
+                shifted = np.zeros(len(c), dtype=np.uint64)
+                shifted[n + 1 :] = c[: len(c) - n - 1]
+                context = (context + (shifted + np.uint64(1)) * np.uint64(0x165667B19E3779F9 * (2 * n + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
     return out
 
 
 class Model:
     def __init__(self) -> None:
-        self.grams = {k: Grams() for k in (*CLASSES, "prose", "field", "plain")}
+        self.words, self.shapes = Grams((*CLASSES, "prose")), Grams(("field", "plain"))
         fields = seeds.fields()
         lines: dict[str, list[str]] = {"template": [], "filler": [], "error": [], "script": [], "prose": []}
         for n, line in enumerate(seeds.TEMPLATE.strip().split("\n")):
@@ -108,101 +130,101 @@ class Model:
             lines[name] = seeds.expand(getattr(seeds, name.upper()))
         for name, texts in lines.items():
             codes, _ = codes_of([reduced(t) for t in texts])
-            self.grams[name].add(codes, {"prose": 3.0, "template": 0.5}.get(name, 1.0))
+            self.words.add(name, codes, {"prose": 3.0, "template": 0.5}.get(name, 1.0))
             if name in ("template", "prose"):
-                self.grams["field" if name == "template" else "plain"].add(skeleton(codes), 1.0)
+                self.shapes.add("field" if name == "template" else "plain", skeleton(codes), 1.0)
             if name != "prose":  # what is said in the others' words is less telling
-                self.grams[name].add(codes_of([reduced(t).upper().lower().strip(".") for t in texts])[0], 0.5)
+                self.words.add(name, codes_of([reduced(t).upper().lower().strip(".") for t in texts])[0], 0.5)
 
     def prose_of(self, texts: list[str]) -> list[str]:
-        """The reduced texts without stretches that the written examples alone find to be residue."""
+        """The reduced texts without stretches that the written examples alone surely find to be residue."""
         keep: list[str] = []
-        for t, found in zip(texts, self.units(texts)):
-            r = reduced(t)
+        ready = [reduced(t) for t in texts]
+        for r, found in zip(ready, self.units(ready, SURE)):
             at = 0
-            for a, b, kind in found:
+            for a, b, _ in found:
                 keep.append(r[at:a])
                 at = b
             keep.append(r[at:])
         return [k for k in keep if k.strip()]
 
     def prose_counts(self, texts: list[str]) -> np.ndarray:
-        """Counts of n-grams and contexts by (model, order, gram or context, slot), which add up over any division of
-        texts: each stretch counts with the line ends after it, not with those of the batch's beginning."""
-        out = np.zeros((2, ORDER, 2, SLOTS), dtype=np.int64)
+        """Counts of n-grams and contexts by (model, gram or context, slot of all orders in a row), which add up over any
+        division of texts: each stretch counts with the line ends after it, not with those of the batch's beginning."""
+        out = np.zeros((2, 2, FIRST[-1]), dtype=np.int64)
         if keep := self.prose_of(texts):
             codes = np.concatenate([codes_of(keep)[0], np.full(ORDER, ord("\n"), dtype=np.uint32)])
             for k, c in enumerate((codes, skeleton(codes))):
                 for n, both in enumerate(hashes(c)):
                     for side, slots in enumerate(both):
-                        out[k, n, side] = np.bincount(slots[ORDER:], minlength=SLOTS)
+                        out[k, side, FIRST[n] : FIRST[n + 1]] = np.bincount(slots[ORDER:], minlength=SLOTS[n])
         return out
 
     def fit_prose(self, counts: np.ndarray) -> Model:
         """Adds the counts of the data's prose."""
-        counts = counts * min(1.0, MASS / max(1, counts[0, 0, 0].sum()))
-        for k, name in enumerate(("prose", "plain")):
-            for n in range(ORDER):
-                self.grams[name].counts[n] += counts[k, n, 0].astype(np.float32)
-                self.grams[name].contexts[n] += counts[k, n, 1].astype(np.float32)
+        counts = counts * min(1.0, MASS / max(1, counts[0, 0, : SLOTS[0]].sum()))
+        self.words.add_counts("prose", *counts[0])
+        self.shapes.add_counts("plain", *counts[1])
         return self
 
-    def ratios(self, codes: np.ndarray) -> dict[str, np.ndarray]:
-        pairs = hashes(codes)
-        prose = np.log(self.grams["prose"].chances(pairs))
-        return {k: np.log(self.grams[k].chances(pairs)) - prose for k in CLASSES}
+    def units(self, ready: list[str], times: float = 1.0) -> list[list[tuple[int, int, str]]]:
+        """(start, end, class) of the stretches of residue in each reduced text, in order and apart from each other.
 
-    def field_ratios(self, codes: np.ndarray) -> np.ndarray:
-        pairs = hashes(codes)
-        return np.log(self.grams["field"].chances(pairs)) - np.log(self.grams["plain"].chances(pairs))
-
-    def units(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """(start, end, class) of the stretches of residue in each text."""
-        ready = [reduced(t) for t in texts]
+        A sentence or line is one stretch if its mean log ratio is large; else windows that slide over it are joined where
+        theirs is larger; else fields in it are looked for, each by its shape and the words around it. All sentences of
+        the texts are weighed at once. `times`: by what the ratios of sentences and windows must be larger than usual.
+        """
+        out: list[list[tuple[int, int, str]]] = [[] for _ in ready]
+        if not ready:
+            return out
         codes, starts = codes_of(ready)
-        ratio = self.ratios(codes)
-        sums = {k: np.concatenate([[0.0], np.cumsum(v)]) for k, v in ratio.items()}
-        shape = np.concatenate([[0.0], np.cumsum(self.field_ratios(skeleton(codes)))])
-        marks = shape[WINDOW:] - shape[:-WINDOW] >= MARK_LEAST
-        out = []
-        for t, s in zip(ready, starts):
-            found: list[tuple[int, int, str]] = []
-            at = 0
-            for m in [*UNIT.finditer(t), None]:
-                end = m.start() if m else len(t)
-                n = end - at
-                if n >= 3:
-                    total = {k: v[s + end] - v[s + at] for k, v in sums.items()}
-                    kind = max(("filler", "error", "script"), key=lambda k: total[k])
-                    if total[kind] >= max(UNIT_LEAST * n, 6):
-                        found.append((at, end, kind))
-                    elif inside := slides({k: sums[k][s + at : s + end + 1] for k in ("filler", "error", "script")}, SLIDE_LEAST):
-                        found += [(at + a, at + b, kind) for a, b, kind in inside]
-                    else:
-                        # a field is local: its shape, and words around it that templates have
-                        for i in np.flatnonzero(marks[s + at - 1 : s + max(at, end - WINDOW + 1)]) + at - 1:
-                            low, high = max(at, i - AROUND), min(end, i + WINDOW + AROUND)
-                            if sums["template"][s + high] - sums["template"][s + low] >= AROUND_LEAST * (high - low):
-                                found.append((max(at, int(i)), min(end, int(i) + WINDOW), "template"))
-                                break
-                at = m.end() if m else end
-            out.append(found)
+        sums = np.concatenate([np.zeros((1, len(CLASSES))), np.cumsum(self.words.ratios(codes), axis=0, dtype=np.float64)])
+        shape = np.concatenate([[0.0], np.cumsum(self.shapes.ratios(skeleton(codes))[:, 0], dtype=np.float64)])
+        owner, at, end = [], [], []
+        for i, (t, s) in enumerate(zip(ready, starts.tolist())):
+            edges = [0]
+            for m in UNIT.finditer(t):
+                edges += m.span()
+            edges.append(len(t))
+            at += [s + e for e in edges[::2]]
+            end += [s + e for e in edges[1::2]]
+            owner += [i] * (len(edges) // 2)
+        at, end, owner = np.array(at), np.array(end), np.array(owner)
+        long = end - at >= 3
+        total = (sums[end] - sums[at])[:, 1:]
+        whole = long & (total.max(axis=1) >= times * np.maximum(UNIT_LEAST * (end - at), 6))
+        found = [(int(u), int(at[u]), int(end[u]), CLASSES[1 + int(total[u].argmax())]) for u in np.flatnonzero(whole)]
+        done = whole | ~long
+
+        window = sums[SLIDE:, 1:] - sums[:-SLIDE, 1:]
+        hits = np.flatnonzero(window.max(axis=1, initial=-np.inf) >= times * SLIDE_LEAST * SLIDE)
+        unit = np.searchsorted(at, hits, side="right") - 1
+        inside = (unit >= 0) & (hits + SLIDE <= end[unit]) & (end[unit] - at[unit] > SLIDE) & ~done[unit]
+        hits, unit = hits[inside], unit[inside]
+        runs = np.split(np.arange(len(hits)), np.flatnonzero((np.diff(hits) >= SLIDE) | (np.diff(unit) > 0)) + 1) if len(hits) else []
+        for r in runs:
+            best = window[hits[r]]
+            found.append((int(unit[r[0]]), int(hits[r[0]]), int(hits[r[-1]]) + SLIDE, CLASSES[1 + int(best[best.max(axis=1).argmax()].argmax())]))
+        done[unit] = True
+
+        marks = np.flatnonzero(shape[WINDOW:] - shape[:-WINDOW] >= MARK_LEAST)
+        unit = np.searchsorted(at, marks + 1, side="right") - 1
+        inside = (unit >= 0) & (marks < np.maximum(at[unit], end[unit] - WINDOW + 1)) & ~done[unit]
+        marks, unit = marks[inside], unit[inside]
+        low, high = np.maximum(at[unit], marks - AROUND), np.minimum(end[unit], marks + WINDOW + AROUND)
+        near = sums[high, 0] - sums[low, 0] >= AROUND_LEAST * (high - low)
+        begin, stop, unit = np.maximum(at[unit], marks)[near], np.minimum(end[unit], marks + WINDOW)[near], unit[near]
+        for k, u in enumerate(unit.tolist()):
+            if k and found[-1][0] == u and found[-1][3] == "template" and begin[k] <= found[-1][2]:
+                found[-1] = (u, found[-1][1], int(stop[k]), "template")
+            else:
+                found.append((u, int(begin[k]), int(stop[k]), "template"))
+        for u, a, b, kind in sorted(found):
+            s = int(starts[owner[u]])
+            out[owner[u]].append((a - s, b - s, kind))
         return out
 
 
-def slides(sums: dict[str, np.ndarray], least: float) -> list[tuple[int, int, str]]:
-    """(start, end, class) of the joined windows of SLIDE characters whose mean log ratio is at least `least`, from the
-    running sums of a sentence; none in one that is not longer than a window."""
-    kinds = list(sums)
-    total = np.array([sums[k][SLIDE:] - sums[k][:-SLIDE] for k in kinds])
-    if total.shape[1] < 2:
-        return []
-    best = total.max(axis=0)
-    hits = np.flatnonzero(best >= least * SLIDE)
-    runs = np.split(hits, np.flatnonzero(np.diff(hits) >= SLIDE) + 1) if len(hits) else []
-    return [(int(r[0]), int(r[-1]) + SLIDE, kinds[int(total[:, r[best[r].argmax()]].argmax())]) for r in runs]
-
-
 def pseudo_latin(lines: int = 60) -> list[str]:
     """Made-up words of the usual filler's syllables, in a fixed order."""
     syllables = "lo rem ip sum do lor sit am et con sec te tur ad ip is cing el it sed ei us mod tem por in ci di dunt ut la bo re mag na al iq ua en im mi nim ve ni am qu is nos trud ul la mco vol up tat fu gi at nul pa ri atur mol lit an cul pa fer ne cum do por vi na ti que pul mit ver".split(" ")
@@ -234,9 +256,10 @@ def fitted(replies: DataFrame, text: str) -> Model:
     shared = replies.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, ORDER, 2, SLOTS), dtype=np.int64)
+        total = np.zeros((2, 2, FIRST[-1]), dtype=np.int64)
         for b in batches:
-            total += shared.value.prose_counts(list(b[text]))
+            for n in range(0, len(b), TEXTS):
+                total += shared.value.prose_counts(list(b[text].iloc[n : n + TEXTS]))
         blocks = total.reshape(-1, CHUNK)
         some = np.flatnonzero(blocks.any(axis=1))
         for part in np.array_split(some, max(1, len(some) // 64)):
@@ -250,11 +273,11 @@ def fitted(replies: DataFrame, text: str) -> Model:
 
     schema = "block long, counts binary"
     rows = replies.filter(F.length(text) > 0).select(text).distinct().mapInPandas(count, schema).groupBy("block").applyInPandas(add, schema)
-    counts = np.zeros((4 * ORDER * SLOTS // CHUNK, CHUNK), dtype=np.int64)
+    counts = np.zeros((4 * FIRST[-1] // CHUNK, CHUNK), dtype=np.int64)
     for r in rows.toLocalIterator():
         counts[r["block"]] = np.frombuffer(r["counts"], dtype=np.int64)
     shared.destroy()  # the examples' model is not needed on the executors again
-    return model.fit_prose(counts.reshape(2, ORDER, 2, SLOTS))
+    return model.fit_prose(counts.reshape(2, 2, -1))
 
 
 def residue(replies: DataFrame, model: Model, text: str, carry: list[str]) -> DataFrame:
@@ -266,7 +289,7 @@ def residue(replies: DataFrame, model: Model, text: str, carry: list[str]) -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [t or "" for t in b[text]]
-            found = shared.value.units(texts) if texts else []
+            found = [f for n in range(0, len(texts), TEXTS) for f in shared.value.units([reduced(t) for t in texts[n : n + TEXTS]])]
             out = b[carry].copy()
             out["spans"] = [[{"start": a, "end": e, "kind": k} for a, e, k in f] for f in found]
             out["coverage"] = [sum(e - a for a, e, _ in f) / max(1, len(t)) for f, t in zip(found, texts)]

@@ -15,12 +15,16 @@ MARKS = "{{%s}} {{_%s_}} {%s} ${%s} [[%s]] <%=_%s_%> @@%s@@ *|%s|* __%s__ %%s% {
 TEMPLATE = """
 hi FIELD, welcome back.
 hello FIELD,
-dear FIELD, we received your question about FIELD.
+dear FIELD, your request of FIELD has arrived.
 thanks FIELD!
 as FIELD said above, start small.
 posted on FIELD by FIELD.
 see FIELD for details.
-you can find it at FIELD.
+the file is at FIELD.
+you can find more at FIELD.
+visit FIELD to learn more about FIELD.
+see FIELD for more.
+your FIELD is ready, FIELD.
 FIELD said it best.
 thank you FIELD for your reply.
 written by FIELD on FIELD.
@@ -47,119 +51,133 @@ xxxxxxx xxxx xxxxxx xx xxxxx xxxxxxxx. xxx xxx xxx. ------- ----- ---- -------.
 hier steht ein beispieltext. blindtext blindtext. dies ist ein blindtext. hier text einfügen. platzhalter. mustertext. texte de remplissage. votre texte ici. ceci est un texte factice. texto de ejemplo. texto de relleno. escriba su respuesta aquí. aquí va el texto.
 """
 
-#: What sites and programs say when something failed.
+#: What sites and programs say when something failed. Usual messages, from general knowledge.
 ERROR = """
-error {400|403|404|408|410|429|500|502|503|504}
+error {400|401|403|404|405|408|409|410|429|500|501|502|503|504}
 {400 bad request|401 unauthorized|403 forbidden|404 not found|405 method not allowed|408 request timeout|410 gone|429 too many requests|500 internal server error|502 bad gateway|503 service unavailable|504 gateway timeout}
 http error {404|500|503}
-http {404|408|500|503}: the {page|requested resource|upstream service|server} {could not be found|has been moved|is not available|timed out|failed to respond}.
-status={404|500|503} msg="the {page|requested resource|thread} {was blocked by your network|is temporarily unavailable|could not be loaded}"
-<h1>{404|410|429|500|503}</h1><p>the {page|thread|server|comment} {failed to load|is being updated, come back soon|is unavailable|was not found}.</p>
-an {unexpected|internal|unknown} error {occurred|has occurred} while {loading|processing|saving} {comments|your request|the page|the reply} (code {3401|500|1020}).
-{oops|sorry}, something went wrong. please {try again later|reload the page|refresh and try again}.
+http {404|408|500|503}: the {page|resource|service|server|gateway} {could not be found|has moved|is not available|timed out|did not respond}.
+status={404|500|503} message="the {page|resource|document} {is blocked|is temporarily unavailable|could not be loaded}"
+<h1>{404|410|429|500|503}</h1><p>the {page|document|server|file} {could not be loaded|is being updated|is unavailable|was not found}.</p>
+an {unexpected|internal|unknown} error {occurred|has occurred} {while loading this page|while processing your request|while saving|during the request} (code {12|500|1020}).
+{oops|sorry}, something went wrong. {try again later|reload the page|refresh and try again}.
 something went wrong on our end.
-the page you {requested|are looking for} {could not be found|does not exist|has been removed}.
-this {page|content|site|comment} is {not available|temporarily unavailable|currently down for maintenance}.
+the page {you requested|you are looking for} {cannot be found|does not exist|has been removed}.
+this {page|content|site|item} is {not available|temporarily unavailable|currently down for maintenance}.
 {service|site} {temporarily unavailable|under maintenance}, come back soon.
 we are having trouble {loading this page|connecting to the server}. retry.
-if the problem persists contact {the forum team|support|the administrator}.
+if {this|the error|the problem} {persists|continues}, contact {support|the administrator|the webmaster}.
 {back to home page|return to homepage|retry|go back|reload}
 {access denied|permission denied|connection timed out|request timed out|connection refused|connection reset by peer|network error|bad gateway|session expired}
 you do not have permission to access this resource. reference #18.2f
 {failed to load|could not load|unable to load|unable to connect to} {the comments|resource|database|server}.
-your session has expired, please log in again.
+your session {expired|timed out}, log in again.
 rate limit exceeded. too many requests, try again in 60 seconds.
-traceback (most recent call last):\\n  file "{render.py|app.py|main.py}", line {50|12}, in {reply|render|main}\\n{keyerror: 'username'|valueerror: invalid literal|typeerror: 'nonetype' object is not subscriptable|attributeerror: no attribute 'text'|indexerror: list index out of range}
+traceback (most recent call last):\\n  file "{app.py|main.py|views.py|/usr/lib/python3/site.py}", line {12|204|7}, in {main|run|<module>|get}\\n    {return handler(request)|value = data['id']|result = run()}\\n{keyerror: 'id'|valueerror: invalid literal|typeerror: 'nonetype' object is not subscriptable|attributeerror: no attribute 'get'|indexerror: list index out of range|filenotfounderror: no such file}
 exception in thread "main" java.lang.{nullpointerexception|illegalstateexception}\\n at com.app.main(main.java:15)
 {uncaught typeerror: cannot read properties of undefined|undefined is not a function|nullreferenceexception: object reference not set|segmentation fault (core dumped)}
-{fatal error|warning|notice}: {uncaught exception|undefined index: user|mysql_connect(): access denied} in /var/www/html/{index.php|reply.php} on line {12|204}
-{error establishing a database connection|database error: deadlock found|sqlstate[hy000] [2002] connection refused}
+{fatal error|warning|notice}: {uncaught exception|undefined index: id|mysql_connect(): access denied} in /var/www/html/{index.php|view.php} on line {12|204}
+{cannot establish a database connection|database error: deadlock found|sqlstate[hy000] [2002] connection refused|could not connect to the database}
 { "error": { "code": 500, "message": "internal error" } }
 {"status": "error", "message": "not found"}
+[object object]
 error: {failed to fetch|request failed with status code 404|timeout of 5000ms exceeded|could not parse response}
-checking your browser before accessing. ray id: 7a1b. performance &amp; security by proxy.
-{fehler 403|fehler 404|fehler 500}: {seite konnte nicht geladen werden|seite nicht gefunden|interner serverfehler}
+checking your browser before accessing {example.com|the site|this website}. this process is automatic. your browser will redirect to your requested content shortly. please allow up to 5 seconds.
+checking {if the site connection is secure|that you are human}. ray id: 7a1b. performance & security by cloudflare.
+this site can't be reached. the server took too long to respond. err_connection_{timed_out|refused|reset}
+{err_name_not_resolved|err_connection_timed_out|err_empty_response|err_too_many_redirects|err_ssl_protocol_error}
+this page isn't working. {the server|example.com} {didn't send any data|redirected you too many times|is currently unable to handle this request}.
+upstream {connect error or disconnect/reset before headers|request timeout|server returned an invalid response}. 
+the {proxy|upstream|origin} {server|service} {received|returned} an {invalid|empty} response.
+the requested url was not found on this server. additionally, a 404 not found error was encountered.
+sorry, this content isn't available right now. your request has been blocked.
+we're sorry, but something went wrong. if you are the application owner check the logs for more information.
+{fehler 403|fehler 404|fehler 500}: {zugriff verweigert|seite nicht gefunden|interner serverfehler|inhalt nicht geladen}
 es ist ein {unerwarteter fehler|fehler} aufgetreten. bitte {versuchen sie es später erneut|laden sie die seite neu}.
-{die seite|der kommentar} {wurde nicht gefunden|ist nicht verfügbar}. zur startseite
-{erreur 404|erreur 500|erreur 503}: {page introuvable|impossible de charger le commentaire|erreur interne du serveur}
-une erreur {est survenue|s'est produite}, veuillez réessayer. {retour à l'accueil|réessayer plus tard}
+{die seite|der inhalt} {wurde nicht gefunden|ist nicht verfügbar}. zur startseite
+{erreur 404|erreur 500|erreur 503}: {page introuvable|impossible de charger la page|erreur interne du serveur}
+une erreur {inattendue est survenue|s'est produite}. {retour à l'accueil|réessayer plus tard|veuillez réessayer}
 {la page|le service} {est introuvable|est temporairement indisponible}.
-{error 400|error 404|error 503}: {no se pudo cargar el comentario|página no encontrada|error interno del servidor}
+{error 400|error 404|error 503}: {no se pudo cargar la página|página no encontrada|error interno del servidor}
 {se ha producido un error|ha ocurrido un error inesperado}. {inténtelo de nuevo más tarde|vuelva a intentarlo}. volver al inicio
 {la página|el servicio} {no está disponible|no existe}.
 """
 
-#: Notices that scripts must be enabled.
+#: Notices that scripts must be enabled. Usual notices, from general knowledge.
 SCRIPT = """
-{please|you must|you need to} {enable|activate|turn on|allow} {javascript|scripts|script execution|client-side scripting|java script|js} {to view this page|to continue|to see the comments|in your browser|to pass the security check|before you can read the thread}.
-javascript is {disabled|turned off|not enabled|blocked} in your browser. {turn it on and reload the page|please enable it and try again}.
-this {site|page|app|thread|forum} {requires|needs} {javascript|scripts|client-side scripting} {to work|to function properly|to be displayed}.
-we need {scripts|script execution|javascript} {before you can read the thread|to verify you are human|to show the replies}.
-your {browser|settings} {block|blocks|does not support} {scripts|javascript|script execution|client-side scripting} for this page to work.
-{enable|allow} {javascript and cookies|scripts} to continue.
-{we've detected|we have detected|it looks like|it seems} that {scripts are turned off|javascript is disabled|your browser blocks scripts}.
-{you must|please} {allow|enable|activate} {javascript|js and cookies|scripts} {and refresh|and reload|in your browser settings|to display this reply}.
+{please|you must|you need to|kindly} {enable|activate|turn on|allow} {javascript|scripts|script execution|client-side scripting|java script|js} {to use this page|to continue|to see the content|in your browser|to proceed|before you can read this}.
+javascript is {disabled|turned off|not enabled|blocked}. {turn it on and reload the page|enable it and try again}.
+this {site|page|app|forum} {requires|needs} {javascript|scripts|client-side scripting} {to work|to function properly|to be displayed}.
+we need {scripts|script execution|javascript} {to verify you are human|to show the content|to go on}.
+your {browser|settings} {block|blocks|does not support} {scripts|javascript|script execution|client-side scripting}.
+{enable|allow} {javascript and cookies|scripts} {and reload|to go on}.
+{we've detected|we have detected|it looks like|it seems} that {scripts are off|javascript is disabled|your browser blocks scripts}.
+{you must|please} {allow|enable|activate} {javascript|js and cookies|scripts} {and reload the page|in your settings|to display the page}.
 you need to enable javascript to run this app.
-<noscript>{please enable javascript|scripts are required to pass the security check|this page needs javascript}.</noscript>
-without {javascript|scripts} this {page|form|thread} cannot be displayed.
-{scripting|javascript} must be {enabled|active} {for this page to work|to load the answers}.
-bitte {aktivieren sie javascript|schalten sie javascript ein}, um {die kommentare zu sehen|fortzufahren|diese seite anzuzeigen}.
+please enable javascript to view {the comments powered by disqus|this page|this content|the site}.
+enable javascript and cookies to continue. please turn javascript on and reload the page.
+<noscript>{please enable javascript|scripts are required here|this page needs javascript}.</noscript>
+without {javascript|scripts} this {page|form|site} cannot be displayed.
+{this page|the content} {cannot be shown|could not be rendered} without {javascript|scripts}.
+{scripting|javascript} must be {enabled|active} {to load the page|here}.
+bitte {aktivieren sie javascript|schalten sie javascript ein}, um {den inhalt zu sehen|fortzufahren|diese seite anzuzeigen}.
 {diese seite benötigt javascript|javascript ist in ihrem browser deaktiviert|skripte müssen aktiviert sein}.
-{veuillez activer javascript|activez javascript} pour {voir les commentaires|afficher cette page|continuer}.
+{veuillez activer javascript|activez javascript} pour {voir le contenu|afficher cette page|continuer}.
 {javascript est désactivé dans votre navigateur|cette page nécessite javascript}.
-{activa javascript|active javascript|habilite javascript} para {ver este hilo|ver los comentarios|continuar}.
+{activa javascript|active javascript|habilite javascript} para {ver el contenido|ver la página|continuar}.
 {javascript está desactivado en su navegador|esta página requiere javascript}.
 """
 
-#: People who talk about such things, and other texts that only look alike.
+#: People who talk about such things, and other texts that only look alike; all other prose comes from the data.
 PROSE = """
-my brain returns an error whenever {somebody says taxes|i open the mail}.
-i got a {404|503|timeout} when i opened the {booking page|portal}, so i called them instead.
+whenever {somebody says taxes|i open the mail} my head {returns an error|shows a blue screen}.
+there was a {404|503|timeout} on the {booking page|portal}, so i {phoned them|gave up}.
 {the clinic site|their page} showed an error {all morning|again}, so i phoned.
-at my job i fix {502|500} errors all day and still cannot fix my sleep.
+i repair {502|500} errors for a living and sleep badly.
 i keep getting an error when i log in, has anyone else seen that?
 the app says something went wrong every time i try to book, so annoying.
 error messages make me panic, i just close the tab.
-turn off javascript on news sites, it saved me hours of scrolling.
-when the site asked me to enable scripts i gave up and phoned the clinic.
+with javascript switched off, news sites are calmer and i scroll less.
+the portal wanted me to enable scripts, so i went there in person.
 i learned javascript last year and wrote a little timer script.
 my doctor's portal needs javascript and my old laptop hates it.
 i block scripts with an add-on, fewer pop ups.
-lorem ipsum is what my notes look like by friday.
+by friday my notes look like lorem ipsum.
 my essay was basically lorem ipsum until midnight.
-i use {task} and {minutes} as field names in my sheet, works well.
+in my sheet the fields are called {task} and {minutes}, simple enough.
 i put [name] and [date] in my letter template and fill them in by hand.
 i write ${amount} in my budget script and it works.
 my template for emails starts with dear {name}, feel free to copy it.
-50% sure, 100% tired.
-i am 80% done and 20% asleep.
+i am 80% done and 20% asleep. it is 50% luck and 100% work.
 blah, what a day. testing a new planner this week.
 todo lists never work for me, i forget to look at them.
 i wrote todo on a sticky note and lost it.
 page not found is how my memory works.
-have you tried turning your morning off and on again?
-your content breaks **rule 3** of this community and was taken down by the moderators.
+switch it off and on again, works for my evenings too.
+the moderators took this post down, as it breaks **rule 2**.
 this comment was removed by the moderators. please read the rules before posting again.
-[this guide](https://guide.example/focus) explains it with pictures.
+[the leaflet](https://leaflet.example/start) has pictures.
 https://notes.example/meds/120
 [deleted] [removed]
 i am a bot, and this action was performed automatically. please contact the moderators.
-same here. are you me? thanks. this. following. so much this. sending hugs, it gets better.
-have you talked to your doctor about it? let us know how it goes. one step at a time.
-be kind to yourself. you are not alone. sorry for the wall of text. would love to hear what others do.
-genuine question: small update: hot take: for me it got better after a month. late to this, but it helped. not a doctor, but ask yours.
-how long did it take before the pills felt normal to you? my sister sits with me when i sort the mail, and we drink tea.
+same here. thanks a lot. following this. me too. good luck to you. what helps you most?
+talk to your doctor first. tell us how it went. small steps. it took me a month.
 i set a timer for ten minutes and then i stop. on bad days one list is enough. i forgot the dentist again and cried a bit.
-ich habe dreimal neu angefangen und gebe nicht auf. mit der neuen dosis ist der abend ruhiger. im wartezimmer habe ich nur auf die uhr geschaut.
-bei mir hilft ein wecker, aber nicht immer. meine schwester meint, ich solle früher schlafen. heute ist die küche endlich sauber, ich bin stolz.
-danke für deinen beitrag, ich fühle mich nicht mehr so allein. kennt das jemand, dass man einfach nicht anfangen kann? wie macht ihr das mit der arbeit?
-gestern hat mir ein freund beim aufräumen zugesehen, das war gut. ohne liste wäre ich nie fertig geworden. manchmal reicht ein spaziergang.
-avec le nouveau traitement, le soir est plus calme. j'ai recommencé plusieurs fois et je continue. chez moi une liste aide, mais pas toujours.
-merci pour ton message, je me sens moins seul. comment faites-vous quand le travail reste en plan ? hier ma soeur est restée à côté de moi.
-je perds le fil quand on me parle. aujourd'hui c'est fait, je suis fière. sans réveil, rien ne serait terminé. selon mon médecin, il faut dormir plus tôt.
-con la nueva dosis las noches son más tranquilas. lo he intentado muchas veces y no me rindo. a mí me ayuda una lista, aunque no siempre.
-gracias por escribirlo, me siento menos sola. pierdo el hilo cuando alguien habla. hay días en que basta un paseo y días en que nada ayuda.
-¿cómo lo hacéis cuando el trabajo se queda a medias? sin alarma no habría terminado nunca. dice mi hermana que duerma antes. al final una lista fue mejor que una aplicación.
+mir hilft abends ein fester plan. heute war ein guter tag. wie geht ihr damit um? ich bin müde, aber zufrieden. am wochenende haben wir eingekauft und gekocht. meine mutter ruft jeden sonntag an. das wetter ist besser geworden.
+wenn ich nicht schlafe, vergesse ich alles. der arzt hat mir etwas anderes verschrieben. nach der arbeit gehe ich eine runde um den see. vielen dank an alle hier. ich weiß nicht, ob das richtig war. es ging dann doch ganz gut.
+le soir je fais une liste, et le matin je la perds. merci à tous. comment faites-vous ? il fait beau et nous sortons avec les enfants. ma voisine m'a prêté un livre. le médecin m'a dit d'attendre un peu.
+je ne sais pas si c'est normal, mais je dors mieux. après le travail je suis trop fatiguée pour cuisiner. on verra bien la semaine prochaine. c'était plus simple avant. j'ai enfin rangé mon bureau.
+por la noche hago una lista y por la mañana la pierdo. gracias a todos. ¿qué os ayuda? mi madre llama todos los domingos. ayer fuimos al mercado y luego a casa. el médico me cambió las pastillas.
+no sé si es normal, pero duermo mejor. después del trabajo estoy demasiado cansada para cocinar. ya veremos la semana que viene. antes era más fácil. por fin he ordenado el escritorio.
+we went shopping and cooked on the weekend. the weather is better now. the doctor gave me something else and i sleep more. after work i walk around the lake. i do not know if that was right, but it went well in the end.
+the old road goes past the mill and up to the village where my grandparents used to live. it was late, so we asked at a farm and stayed there until the morning.
+she closed the window, put the letter on the table and thought about what her brother had said. it was not the money; it was that he never asked how anybody else was doing.
+on the train home a man told me how he had lost his job and found a better one. he said that waiting was the worst of it, because every day looked the same.
+when the children were small we had a garden with apple trees. in autumn the whole street came to help, and we made juice for everybody who had carried a basket.
+the teacher said my son is bright but restless, and that he should sit near the door. i was the same at his age and nobody understood why.
+it took a long time until i could talk about it. now i write a few lines each evening, and sometimes i read them again and see that things have moved on.
+there were more people at the meeting than chairs. they spoke about the new bus line, the noise at night and who should keep the key to the hall.
+he bought bread, cheese and two tickets, and on the way he lost one of them. we laughed so much that the woman next to us began to laugh too.
 mein kopf meldet einen fehler, sobald jemand steuern sagt.
 j'ai eu une erreur 404 sur le site, alors j'ai téléphoné.
 me salió un error en la web y llamé por teléfono.

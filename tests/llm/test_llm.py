@@ -409,14 +409,22 @@ def test_prose_is_counted_over_all_texts_and_windows_slide_in_long_sentences(spa
     texts = [f"I took note {i} to my sister and it helped for {i % 9} days" for i in range(4_200)]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
     whole, parts = residue.Model().prose_counts(texts), [residue.Model().prose_counts(texts[i::3]) for i in range(3)]
-    assert (whole == sum(parts)).all() and whole[0, 0, 0].sum() >= sum(map(len, texts))
+    assert (whole == sum(parts)).all() and whole[0, 0, : residue.SLOTS[0]].sum() >= sum(map(len, texts))
     a, b = residue.fitted(df, "text"), residue.Model().fit_prose(whole)
-    assert all((x == y).all() for x, y in zip(a.grams["prose"].counts, b.grams["prose"].counts))
+    assert all((x == y).all() for x, y in zip(a.words.grams + a.shapes.contexts, b.words.grams + b.shapes.contexts))
     walk = "so we went on and on along the river and through the wood until nobody knew the way home any more "
     long = [walk * 3 + "an unexpected error occurred while loading comments please try again later " + walk * 3, walk * 6]
     assert [residue.excluded(f) for f in b.units(long)] == [True, False]
 
 
+def test_every_field_of_a_sentence_has_its_stretch():
+    text = "hi {{name}}, please call {{phone}} or mail {{email}} about {{topic}} today."
+    found = residue.Model().units([text])[0]
+    assert all(k == "template" for _, _, k in found) and found == sorted(found) and all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+    assert all(any(a <= text.index(f) + 1 and b >= text.index(f) + len(f) - 1 for a, b, _ in found) for f in ("{{name}}", "{{phone}}", "{{email}}", "{{topic}}"))
+    assert residue.Model().units(["", "hi", "we walked home " * 30]) == [[], [], []]
+
+
 # queries
 
 
