@@ -26,8 +26,8 @@ SURE = 2.0
 MASS = 300_000
 #: Characters of a window that slides over longer sentences, and slots of a block of counts on their way to the driver.
 SLIDE, CHUNK = 48, 1 << 12
-#: Texts that are weighed at once.
-TEXTS = 500
+#: Characters of texts that are weighed at once.
+CHARS = 1 << 16
 #: Characters of a window that may hold part of a field, the least log ratio of its shape, and the least mean log ratio
 #: of the words within so many characters around it.
 WINDOW, MARK_LEAST, AROUND, AROUND_LEAST = 5, 3.0, 12, -1.0
@@ -76,28 +76,42 @@ class Grams:
             self.grams[n][:, k] += grams[FIRST[n] : FIRST[n + 1]].astype(np.float32)
             self.contexts[n][:, k] += contexts[FIRST[n] : FIRST[n + 1]].astype(np.float32)
 
-    def ratios(self, codes: np.ndarray) -> np.ndarray:
-        """Log ratio of each other model's chance to the last model's, by position and model."""
-        p = np.full((len(codes), len(self.names)), 1 / 200.0, dtype=np.float32)
-        for n, (gram, context) in enumerate(hashes(codes)):
+    def ratios(self, slots: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Log ratio of each other model's chance to the last model's, by model and position."""
+        p = np.full((len(slots[0][0]), len(self.names)), 1 / 200.0, dtype=np.float32)
+        for n, (gram, context) in enumerate(slots):
             strength = np.float32(1.0 + n)
             p *= strength
             p += self.grams[n].take(gram, axis=0)
             below = self.contexts[n].take(context, axis=0)
             below += strength
             p /= below
+        p = np.ascontiguousarray(p.T)
         np.log(p, out=p)
-        return p[:, :-1] - p[:, -1:]
+        return p[:-1] - p[-1]
 
 
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, each after ORDER line ends, and where each begins."""
+    """Code points of all texts, each after ORDER line ends and the last before some too, and where each begins."""
     pad = "\n" * ORDER
-    joined = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "replace"), dtype=np.uint32)
+    joined = np.frombuffer((pad + pad.join([*texts, ""])).encode("utf-32-le", "replace"), dtype=np.uint32)
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     return joined, ORDER + np.concatenate([[0], np.cumsum(lengths + ORDER)[:-1]]).astype(np.int64)
 
 
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    """The reduced texts in lists of about CHARS characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(reduced(t))
+        size += len(held[-1])
+        if size > CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def hashes(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order the slots of each position's n-gram and of its context."""
     c = codes.astype(np.uint64)
@@ -107,7 +121,7 @@ def hashes(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         for n in range(ORDER):
             gram = (context * np.uint64(0x9E3779B1) + c + np.uint64(n + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
             shift = np.uint64(64 - SLOTS[n].bit_length() + 1)
-            out.append(((gram >> shift).astype(np.int32), (context >> shift).astype(np.int32)))
+            out.append(((gram >> shift).view(np.int64), (context >> shift).view(np.int64)))
             if n + 1 < ORDER:  # the next order's context has one character more, further back
                 shifted = np.zeros(len(c), dtype=np.uint64)
                 shifted[n + 1 :] = c[: len(c) - n - 1]
@@ -136,30 +150,40 @@ class Model:
             if name != "prose":  # what is said in the others' words is less telling
                 self.words.add(name, codes_of([reduced(t).upper().lower().strip(".") for t in texts])[0], 0.5)
 
-    def prose_of(self, texts: list[str]) -> list[str]:
-        """The reduced texts without stretches that the written examples alone surely find to be residue."""
-        keep: list[str] = []
-        ready = [reduced(t) for t in texts]
-        for r, found in zip(ready, self.units(ready, SURE)):
-            at = 0
-            for a, b, _ in found:
-                keep.append(r[at:a])
-                at = b
-            keep.append(r[at:])
-        return [k for k in keep if k.strip()]
-
     def prose_counts(self, texts: list[str]) -> np.ndarray:
         """Counts of n-grams and contexts by (model, gram or context, slot of all orders in a row), which add up over any
-        division of texts: each stretch counts with the line ends after it, not with those of the batch's beginning."""
+        division of texts: all characters and the line end after each text count, but for stretches that the written
+        examples alone surely find to be residue."""
         out = np.zeros((2, 2, FIRST[-1]), dtype=np.int64)
-        if keep := self.prose_of(texts):
-            codes = np.concatenate([codes_of(keep)[0], np.full(ORDER, ord("\n"), dtype=np.uint32)])
-            for k, c in enumerate((codes, skeleton(codes))):
-                for n, both in enumerate(hashes(c)):
-                    for side, slots in enumerate(both):
-                        out[k, side, FIRST[n] : FIRST[n + 1]] = np.bincount(slots[ORDER:], minlength=SLOTS[n])
+        kept: list = []
+        for ready in portions(texts):
+            codes, starts = codes_of(ready)
+            both = hashes(codes), hashes(skeleton(codes))
+            counted = np.zeros(len(codes) + 1, dtype=np.int8)
+            counted[starts] += 1
+            np.add.at(counted, starts + [len(t) + 1 for t in ready], -1)
+            for s, found in zip(starts.tolist(), self._units(ready, codes, starts, both, SURE)):
+                for a, b, _ in found:
+                    counted[s + a] -= 1
+                    counted[s + b] += 1
+            left_out = np.flatnonzero(np.cumsum(counted[:-1]) <= 0)
+            kept.append((both, left_out))
+            if len(kept) == 8:
+                self._tally(out, kept)
+        self._tally(out, kept)
         return out
 
+    @staticmethod
+    def _tally(out: np.ndarray, kept: list) -> None:
+        """Adds the counts of all positions less those that are left out, which are few."""
+        for k in range(2):
+            for n in range(ORDER if kept else 0):
+                for side in range(2):
+                    row = out[k, side, FIRST[n] : FIRST[n + 1]]
+                    row += np.bincount(np.concatenate([both[k][n][side] for both, _ in kept]), minlength=SLOTS[n])
+                    np.subtract.at(row, np.concatenate([both[k][n][side][some] for both, some in kept]), 1)
+        kept.clear()
+
     def fit_prose(self, counts: np.ndarray) -> Model:
         """Adds the counts of the data's prose."""
         counts = counts * min(1.0, MASS / max(1, counts[0, 0, : SLOTS[0]].sum()))
@@ -174,12 +198,16 @@ class Model:
         theirs is larger; else fields in it are looked for, each by its shape and the words around it. All sentences of
         the texts are weighed at once. `times`: by what the ratios of sentences and windows must be larger than usual.
         """
-        out: list[list[tuple[int, int, str]]] = [[] for _ in ready]
         if not ready:
-            return out
+            return []
         codes, starts = codes_of(ready)
-        sums = np.concatenate([np.zeros((1, len(CLASSES))), np.cumsum(self.words.ratios(codes), axis=0, dtype=np.float64)])
-        shape = np.concatenate([[0.0], np.cumsum(self.shapes.ratios(skeleton(codes))[:, 0], dtype=np.float64)])
+        return self._units(ready, codes, starts, (hashes(codes), hashes(skeleton(codes))), times)
+
+    def _units(self, ready: list[str], codes: np.ndarray, starts: np.ndarray, slots: tuple, times: float) -> list[list[tuple[int, int, str]]]:
+        out: list[list[tuple[int, int, str]]] = [[] for _ in ready]
+        sums, shape = np.zeros((len(CLASSES), len(codes) + 1)), np.zeros(len(codes) + 1)
+        np.cumsum(self.words.ratios(slots[0]), axis=1, dtype=np.float64, out=sums[:, 1:])
+        np.cumsum(self.shapes.ratios(slots[1])[0], dtype=np.float64, out=shape[1:])
         owner, at, end = [], [], []
         for i, (t, s) in enumerate(zip(ready, starts.tolist())):
             edges = [0]
@@ -191,20 +219,20 @@ class Model:
             owner += [i] * (len(edges) // 2)
         at, end, owner = np.array(at), np.array(end), np.array(owner)
         long = end - at >= 3
-        total = (sums[end] - sums[at])[:, 1:]
-        whole = long & (total.max(axis=1) >= times * np.maximum(UNIT_LEAST * (end - at), 6))
-        found = [(int(u), int(at[u]), int(end[u]), CLASSES[1 + int(total[u].argmax())]) for u in np.flatnonzero(whole)]
+        total = (sums[:, end] - sums[:, at])[1:]
+        whole = long & (total.max(axis=0) >= times * np.maximum(UNIT_LEAST * (end - at), 6))
+        found = [(int(u), int(at[u]), int(end[u]), CLASSES[1 + int(total[:, u].argmax())]) for u in np.flatnonzero(whole)]
         done = whole | ~long
 
-        window = sums[SLIDE:, 1:] - sums[:-SLIDE, 1:]
-        hits = np.flatnonzero(window.max(axis=1, initial=-np.inf) >= times * SLIDE_LEAST * SLIDE)
+        window = sums[1:, SLIDE:] - sums[1:, :-SLIDE]
+        hits = np.flatnonzero(np.maximum.reduce(window) >= times * SLIDE_LEAST * SLIDE)
         unit = np.searchsorted(at, hits, side="right") - 1
         inside = (unit >= 0) & (hits + SLIDE <= end[unit]) & (end[unit] - at[unit] > SLIDE) & ~done[unit]
         hits, unit = hits[inside], unit[inside]
         runs = np.split(np.arange(len(hits)), np.flatnonzero((np.diff(hits) >= SLIDE) | (np.diff(unit) > 0)) + 1) if len(hits) else []
         for r in runs:
-            best = window[hits[r]]
-            found.append((int(unit[r[0]]), int(hits[r[0]]), int(hits[r[-1]]) + SLIDE, CLASSES[1 + int(best[best.max(axis=1).argmax()].argmax())]))
+            best = window[:, hits[r]]
+            found.append((int(unit[r[0]]), int(hits[r[0]]), int(hits[r[-1]]) + SLIDE, CLASSES[1 + int(best[:, best.max(axis=0).argmax()].argmax())]))
         done[unit] = True
 
         marks = np.flatnonzero(shape[WINDOW:] - shape[:-WINDOW] >= MARK_LEAST)
@@ -212,7 +240,7 @@ class Model:
         inside = (unit >= 0) & (marks < np.maximum(at[unit], end[unit] - WINDOW + 1)) & ~done[unit]
         marks, unit = marks[inside], unit[inside]
         low, high = np.maximum(at[unit], marks - AROUND), np.minimum(end[unit], marks + WINDOW + AROUND)
-        near = sums[high, 0] - sums[low, 0] >= AROUND_LEAST * (high - low)
+        near = sums[0, high] - sums[0, low] >= AROUND_LEAST * (high - low)
         begin, stop, unit = np.maximum(at[unit], marks)[near], np.minimum(end[unit], marks + WINDOW)[near], unit[near]
         for k, u in enumerate(unit.tolist()):
             if k and found[-1][0] == u and found[-1][3] == "template" and begin[k] <= found[-1][2]:
@@ -258,8 +286,7 @@ def fitted(replies: DataFrame, text: str) -> Model:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, 2, FIRST[-1]), dtype=np.int64)
         for b in batches:
-            for n in range(0, len(b), TEXTS):
-                total += shared.value.prose_counts(list(b[text].iloc[n : n + TEXTS]))
+            total += shared.value.prose_counts(list(b[text]))
         blocks = total.reshape(-1, CHUNK)
         some = np.flatnonzero(blocks.any(axis=1))
         for part in np.array_split(some, max(1, len(some) // 64)):
@@ -289,7 +316,7 @@ def residue(replies: DataFrame, model: Model, text: str, carry: list[str]) -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [t or "" for t in b[text]]
-            found = [f for n in range(0, len(texts), TEXTS) for f in shared.value.units([reduced(t) for t in texts[n : n + TEXTS]])]
+            found = [f for ready in portions(texts) for f in shared.value.units(ready)]
             out = b[carry].copy()
             out["spans"] = [[{"start": a, "end": e, "kind": k} for a, e, k in f] for f in found]
             out["coverage"] = [sum(e - a for a, e, _ in f) / max(1, len(t)) for f, t in zip(found, texts)]
