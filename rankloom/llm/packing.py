@@ -108,8 +108,8 @@ def pack(lengths: DataFrame, key: str, size: str, capacities: list[int], step_wi
     `lengths` is unique in `key`. A document longer than the capacity is cut into whole windows and a rest (piece 0, 1,
     ...); no other is cut. Documents of 0 tokens take part with 0 tokens in window 0. Nothing but the histogram of
     lengths (no more numbers than the largest capacity has) reaches the driver; documents find their place from their
-    rank among those of equal length, which is counted in hashed buckets of about `bucket_rows` rows, so that no length,
-    however common, is gathered in one task. Windows are dealt to step groups of about `step_windows` in order of their
+    rank among those of equal length, which is counted in hashed buckets of about `bucket_rows` pieces, so that no length,
+    however common, and no document, however long, is gathered in one task. Windows are dealt to step groups of about `step_windows` in order of their
     fill, forwards and backwards in turn, so that all groups hold about the same number of tokens.
     """
     capacities = sorted({int(c) for c in capacities if c and c > 0})
@@ -133,19 +133,19 @@ def _placed(lengths: DataFrame, key: str, size: str, capacity: Column, plan: Cal
     """The rows of `pack`. capacity: the tiers of a document of `__n` tokens; plan: from the lengths' counts by tier, each
     tier's `_plan`."""
     spark = lengths.sparkSession
-    total = lengths.count()
-    buckets = max(1, total // bucket_rows)
     pieces = (
         lengths.filter(F.col(key).isNotNull())
-        .select(key, F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("__n"), F.pmod(F.xxhash64(key), F.lit(buckets)).alias("__b"))
+        .select(key, F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("__n"))
         .withColumn("capacity_tokens", capacity)
         .withColumn("__whole", F.floor(F.col("__n") / F.col("capacity_tokens")).cast("bigint"))
     )
     # the rest of each document, and apart from it the whole windows that only one document fills
-    rest = pieces.select(key, "capacity_tokens", "__b", F.when(F.col("__n") % F.col("capacity_tokens") == 0, F.least(F.col("__n"), F.lit(0))).otherwise(F.col("__n") % F.col("capacity_tokens")).alias("n_tokens"), F.col("__whole").alias("piece"))
+    rest = pieces.select(key, "capacity_tokens", F.when(F.col("__n") % F.col("capacity_tokens") == 0, F.least(F.col("__n"), F.lit(0))).otherwise(F.col("__n") % F.col("capacity_tokens")).alias("n_tokens"), F.col("__whole").alias("piece"))
     rest = rest.filter((F.col("n_tokens") > 0) | (F.col("piece") == 0))
-    full = pieces.filter("__whole > 0").select(key, "capacity_tokens", "__b", F.col("capacity_tokens").cast("bigint").alias("n_tokens"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__whole") - 1)).alias("piece"))
+    full = pieces.filter("__whole > 0").select(key, "capacity_tokens", F.col("capacity_tokens").cast("bigint").alias("n_tokens"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__whole") - 1)).alias("piece"))
     items = cut(rest.unionByName(full))
+    buckets = max(1, items.count() // bucket_rows)
+    items = items.withColumn("__b", F.pmod(F.xxhash64(key, "piece"), F.lit(buckets)))
     cells = items.groupBy("capacity_tokens", "n_tokens", "__b").agg(F.count(F.lit(1)).alias("c"))
     before = W.partitionBy("capacity_tokens", "n_tokens").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("__before", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")

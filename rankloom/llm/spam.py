@@ -24,11 +24,16 @@ USUAL, USUAL_SPREAD, PRIOR = (0.80, 0.68, 0.62, 0.58, 0.565, 0.555), 0.02, 20
 URL = re.compile(r"\[[^\]\n]{0,200}\]\((?:https?://|www\.)[^)\s]*\)|<a\s[^>]*>.*?</a>|(?:https?://|www\.)\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|info|biz|shop|example|test|invalid)(?:/\S*)?", re.I | re.S)
 DOMAIN = re.compile(r"\.(?:com|net|org|info|biz|shop|example|test|invalid)")
 HASHTAG = re.compile(r"#\w+")
-GLUED = re.compile(r"\w+_\w+|\w{15,}")
+GLUED = re.compile(r"\w+_\w+|[^\W\u0370-\uffff]{15,}")
 APART = re.compile(r"(?:(?<=\s)|^)(?:\w (?=\w )){4,}\w(?=\s|$)", re.M)
 DIGITS = re.compile(r"\d")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-ENDS = re.compile(r"[.!?…]+[\"'”’)*_]*(?=\s|$)")
+ENDS = re.compile(r"[.!?…]+[\"'”’)*_]*(?=\s|$)|[。．！？｡।॥؟۔։።]+")
+
+#: Scripts other than Latin by their code points, with the usual ratio as a part of that of Latin letters, as
+#: theirs take more bytes.
+SCRIPTS = {"greek": (r"\u0370-\u03ff", 0.8), "cyrillic": (r"\u0400-\u052f", 0.8), "hebrew": (r"\u0590-\u05ff", 0.8), "arabic": (r"\u0600-\u06ff\u0750-\u077f", 0.8), "indic": (r"\u0900-\u0dff", 0.65), "thai": (r"\u0e00-\u0eff", 0.65), "han": (r"\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af", 0.7)}
+_FOREIGN = {k: re.compile(f"[{v[0]}]") for k, v in SCRIPTS.items()}
 
 #: Frequent words of sentences, which lists of keywords lack.
 STOPS = {
@@ -82,6 +87,15 @@ def reduced(text: str) -> str:
     return DIGITS.sub("0", text).lower()
 
 
+def script(text: str) -> str | None:
+    """The script, other than Latin, of more than half of the letters; None if there is none."""
+    if text.isascii() or 2 * sum(c > "\u036f" for c in text) < sum(map(str.isalpha, text)):
+        return None
+    counts = {k: len(x.findall(text)) for k, x in _FOREIGN.items()}
+    best = max(counts, key=lambda k: counts[k])
+    return best if 2 * counts[best] > sum(map(str.isalpha, text)) else None
+
+
 def language(words: list[str]) -> str:
     """By frequent words; "xx" where there are hardly any."""
     counts = dict.fromkeys(_STOPS, 0)
@@ -106,7 +120,7 @@ def measures(block: str) -> tuple:
     repeat = 3 * sum(c for p, c in pairs.items() if c >= 3 and not all(w in _ANY for w in p)) / n if n else 0.0
     prose = len(ENDS.findall(small)) / n if n else 0.0
     bucket = min(5, len(folded) // 150)
-    return language(words), bucket, len(block), ratio, stops, min(1.0, repeat), prose
+    return script(small) or language(words), bucket, len(block), ratio, stops, min(1.0, repeat), prose
 
 
 def is_spam(z, stops, repeat, prose):
@@ -124,8 +138,9 @@ def spam_pages(documents: DataFrame, key: str, text: str, least: float = 0.4) ->
     (less than half, as a block in which an honest opening meets the list counts as honest).
 
     The baseline of a block's compression ratio is the median, and its spread the way to the 90th percentile, over all
-    blocks of all documents of its language and length class (across languages where none is recognised), pulled to
-    usual values where a class has few blocks: a table of fixed size, which is broadcast. Rows of one key count together; null keys, null and empty texts give nothing.
+    blocks of all documents of its language (or script, where that is not Latin) and length class (across languages of Latin
+    letters where none is recognised), pulled to usual values where a class has few blocks: a table of fixed size, which
+    is broadcast. Rows of one key count together; null keys, null and empty texts give nothing.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,9 +151,13 @@ def spam_pages(documents: DataFrame, key: str, text: str, least: float = 0.4) ->
     kind = dict(documents.dtypes)[key]
     schema = f"`{key}` {kind}, lang string, bucket int, chars bigint, ratio double, stops double, repeat double, prose double"
     parts = cut(documents.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(key, text).mapInPandas(run, schema))
-    classes = parts.filter("lang <> 'xx'").withColumn("lang", F.explode(F.array("lang", F.lit("xx"))))
+    foreign = F.col("lang").isin(list(SCRIPTS))
+    classes = parts.filter("lang <> 'xx'").withColumn("lang", F.explode(F.when(foreign, F.array("lang")).otherwise(F.array("lang", F.lit("xx")))))
+    usual_part = F.lit(1.0)
+    for name, (_, part) in SCRIPTS.items():
+        usual_part = F.when(F.col("lang") == name, part).otherwise(usual_part)
     middle, high, n = F.percentile_approx("ratio", 0.5, 1000), F.percentile_approx("ratio", 0.9, 1000), F.count(F.lit(1))
-    usual = F.element_at(F.array(*[F.lit(x) for x in USUAL]), F.col("bucket") + 1)
+    usual = F.element_at(F.array(*[F.lit(x) for x in USUAL]), F.col("bucket") + 1) * usual_part
     baseline = classes.groupBy("lang", "bucket").agg(n.alias("n"), middle.alias("m"), F.greatest((high - middle) / 1.2816, F.lit(0.01)).alias("s"))
     pulled = lambda c, to: (F.col("n") * F.col(c) + PRIOR * to) / (F.col("n") + PRIOR)
     baseline = baseline.select("lang", "bucket", pulled("m", usual).alias("median"), pulled("s", F.lit(USUAL_SPREAD)).alias("spread"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,12 +78,16 @@ def related_groups(rows: DataFrame, key: str, entities: dict[str, list[str]]) ->
     return ids.join(components, ids.id == components.node, "left").select("id", F.coalesce("component", "id").alias("group"))
 
 
+#: Steps of the hash at which ranges of splits may end; so many numbers reach the driver.
+RANGES = 4096
+
+
 def grouped_split(groups: DataFrame, shares: dict[str, float], giant: float = 0.01) -> DataFrame:
     """(id, group, split): every group lies in one split, and the splits are close to the shares.
 
     A group's hash falls into one of the splits' ranges of [0, 1). Groups of more than `giant` of all records (at most
-    1/giant of them, so the driver can hold them) are placed first, each where most is missing, and the ranges are the
-    shares that are then left.
+    1/giant of them, so the driver can hold them) are placed first, each where most is missing. The ranges end where the
+    other groups' records, counted by RANGES steps of the hash, come closest to the shares that are then left.
     """
     groups = cut(groups)
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
@@ -96,9 +101,16 @@ def grouped_split(groups: DataFrame, shares: dict[str, float], giant: float = 0.
         left[to] -= r["n"]
     rest = {k: max(0.0, v) for k, v in left.items()}
     whole = sum(rest.values()) or 1.0
-    point, start, split = unit_hash("group", F.lit("split")), 0.0, None
+    point = F.floor(unit_hash("group", F.lit("split")) * RANGES)
+    steps = sizes.filter(~F.col("group").isin(list(placed))) if placed else sizes
+    counts = np.zeros(RANGES)
+    for r in steps.groupBy(point.alias("step")).agg(F.sum("n").alias("n")).collect() if total else []:
+        counts[r["step"]] = r["n"]
+    before = np.concatenate([[0.0], np.cumsum(counts)])
+    start, wanted, split = 0, 0.0, None
     for name, missing in rest.items():
-        end = start + missing / whole
+        wanted += missing / whole * before[-1]
+        end = max(start, int(np.abs(before - wanted).argmin()))
         inside = (point >= start) & (point < end)
         split = F.when(inside, F.lit(name)) if split is None else split.when(inside, F.lit(name))
         start = end

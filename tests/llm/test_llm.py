@@ -63,6 +63,9 @@ def test_split_keeps_groups_whole_and_shares_close_with_a_giant_group(spark):
     share = {r.split: r.n / 6000 for r in out.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert abs(share["train"] - 0.7) < 0.03 and abs(share["validation"] - 0.15) < 0.03 and abs(share["test"] - 0.15) < 0.03
     assert splits.grouped_split(groups.limit(0), {"train": 1.0}).count() == 0
+    small = spark.range(4000).select(F.concat(F.lit("r"), F.col("id")).alias("id"), F.concat(F.lit("g"), F.floor(F.col("id") / 25)).alias("group"))
+    n = {r.split: r.n for r in splits.grouped_split(small, {"train": 0.7, "validation": 0.15, "test": 0.15}).groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert abs(n["train"] - 2800) <= 25 and abs(n["validation"] - 600) <= 25 and abs(n["test"] - 600) <= 25
     assert out.orderBy("id").collect() == splits.grouped_split(groups.repartition(7), {"train": 0.7, "validation": 0.15, "test": 0.15}).orderBy("id").collect()
 
 
@@ -257,6 +260,18 @@ def test_varied_lists_without_sentences_are_no_spam(spark):
     assert {r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()} == {4}
 
 
+def test_prose_of_other_scripts_is_no_spam(spark):
+    texts = [
+        "今天早上我很早就起床了，然后去公园散步。天气非常好，很多老人在打太极拳。回家以后我做了早饭，和孩子们一起吃。下午我们去了图书馆，借了几本关于历史的书。晚上我丈夫做了鱼，味道不错。睡觉之前我写了一点日记，因为医生说这样有帮助。",
+        "今朝は早く起きて、公園まで散歩に行きました。天気がとても良くて、たくさんの人が走っていました。家に帰ってから朝ごはんを作って、子供たちと一緒に食べました。午後は図書館で歴史の本を何冊か借りました。夜は夫が魚を焼いてくれて、とてもおいしかったです。",
+        "आज सुबह मैं जल्दी उठा और पार्क में टहलने गया। मौसम बहुत अच्छा था और कई लोग दौड़ रहे थे। घर लौटकर मैंने नाश्ता बनाया और बच्चों के साथ खाया। दोपहर में हम पुस्तकालय गए और इतिहास की कुछ किताबें लीं।",
+        "Сегодня утром я рано встал и пошёл гулять в парк. Погода была очень хорошая, и многие люди бегали. Дома я приготовил завтрак и поел вместе с детьми. Днём мы пошли в библиотеку и взяли несколько книг по истории.",
+        "استيقظت هذا الصباح مبكرا وذهبت للمشي في الحديقة. كان الطقس جميلا جدا وكان كثير من الناس يركضون. عدت إلى البيت وأعددت الفطور وأكلت مع الأطفال. بعد الظهر ذهبنا إلى المكتبة وأخذنا بعض كتب التاريخ.",
+    ]
+    rows = list(enumerate(texts)) + [(10, "купить таблетки дешево доставка " * 40), (11, "便宜 计时器 购买 优惠 " * 60)]
+    assert {r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()} == {10, 11}
+
+
 def test_blocks_keep_the_whole_text():
     rng = random.Random(1)
     for n in (0, 5, 700, 5000):
