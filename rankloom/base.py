@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,27 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
 
 
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder; see `cut`."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="rankloom-checkpoint-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        sc.setCheckpointDir(configured)
+        held = sc._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables beside the checkpoints, which all executors share."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder, so that lost executors cost no long recomputation.
 
@@ -23,15 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
     temporary one is made, which goes with the process. On a cluster without the setting this raises, as a machine's own
     folder would lose data.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not configured:
-            if sc.master != "local" and not sc.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            configured = tempfile.mkdtemp(prefix="rankloom-checkpoint-")
-            atexit.register(shutil.rmtree, configured, ignore_errors=True)
-        sc.setCheckpointDir(configured)
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

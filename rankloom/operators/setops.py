@@ -89,7 +89,8 @@ def set_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     Rows are hashed, and the digest is that of the sums of the hashes' eight 32-bit parts and of their number: sums don't
     depend on an order, so nothing is gathered. An empty table has the digest of zeros.
     """
-    row = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string") for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
+    escaped = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("\x1f"), F.lit("\\u"))
+    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(escaped(c), F.lit("\\N")) for c in sorted(columns)]), 256)
     hashes = df.select(row.alias("h")).distinct()
     parts = [F.coalesce(F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("bigint")), F.lit(0)).alias(f"s{i}") for i in range(8)]
     sums = hashes.agg(F.count(F.lit(1)).alias("n"), *parts)

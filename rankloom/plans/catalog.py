@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import measure_queries, ranking_queries, record_queries, study_queries
+from . import contract_queries, measure_queries, ranking_queries, record_queries, scan_queries, study_queries
 
 FLAGSHIP = "o30_held_out_arms"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ranking_queries.QUERIES, **measure_queries.QUERIES, **record_queries.QUERIES, **study_queries.QUERIES}
-ORACLE: dict[str, str] = {**ranking_queries.ORACLE, **measure_queries.ORACLE, **record_queries.ORACLE, **study_queries.ORACLE}
+_MODULES = (scan_queries, contract_queries, ranking_queries, measure_queries, record_queries, study_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE.items()}

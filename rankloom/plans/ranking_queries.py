@@ -59,10 +59,11 @@ def a14(spark: SparkSession, d: str) -> DataFrame:
     return io.read_ids(table(spark, d, "queries"))
 
 
-@query("a38_source_map", sql("SELECT comment_id, count(DISTINCT link_id) AS posts FROM comments WHERE comment_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT link_id) > 1"))
+@query("a38_source_map", sql("SELECT posts, count(*) AS comments, posts > 1 AS conflict FROM (SELECT count(DISTINCT link_id) AS posts FROM comments WHERE comment_id IS NOT NULL GROUP BY comment_id) GROUP BY 1"))
 def a38(spark: SparkSession, d: str) -> DataFrame:
-    """Comments that are stored under several posts."""
-    return table(spark, d, "comments").filter("comment_id IS NOT NULL").groupBy("comment_id").agg(F.count_distinct("link_id").alias("posts")).filter("posts > 1")
+    """Comments by the number of posts they are stored under; more than one is a conflict."""
+    per = table(spark, d, "comments").filter("comment_id IS NOT NULL").groupBy("comment_id").agg(F.count_distinct("link_id").alias("posts"))
+    return per.groupBy("posts").agg(F.count(F.lit(1)).alias("comments")).withColumn("conflict", F.col("posts") > 1)
 
 
 # orders

@@ -212,17 +212,6 @@ def d13(spark: SparkSession, d: str) -> DataFrame:
     return setops.residual(t.run(spark, d).filter("rank <= 8"), t.judged(spark, d))
 
 
-@query("d18_set_digests")
-def d18(spark: SparkSession, d: str) -> DataFrame:
-    """Digests of the tables as sets of rows."""
-    parts = None
-    for n in ("queries", "qrels", "retrieval_runs"):
-        df = table(spark, d, n)
-        part = setops.set_digest(df, df.columns).select(F.lit(n).alias("table"), "digest", "n")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
-
-
 @query("d23_latest_judgments", sql("SELECT query_id, comment_id, round(utility, 6) AS utility, judged_at FROM judged", "judged"))
 def d23(spark: SparkSession, d: str) -> DataFrame:
     return t.judged(spark, d).select(*PAIR, r6("utility", "utility"), "judged_at")

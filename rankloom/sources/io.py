@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import io
 import json
 import sqlite3
+import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def opened(path: str, mode: str = "rb"):
+    """A file of any file system that pyarrow knows (local, HDFS, object stores), on the driver or in a task."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    if mode == "rb":
+        return system.open_input_stream(at, compression=None)
+    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(at, compression=None)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """Lines of JSON objects; strict raises on a broken line, else broken lines are left out."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
@@ -27,13 +40,11 @@ def read_zstd_jsonl(spark: SparkSession, paths: list[str], schema: str, window_l
     wanted = T._parse_datatype_string(schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
         import zstandard
 
         for b in batches:
             for path in b["path"]:
-                with Path(path).open("rb") as f:
+                with opened(path) as f:
                     lines = io.TextIOWrapper(zstandard.ZstdDecompressor(max_window_size=1 << window_log).stream_reader(f, read_across_frames=True), encoding="utf-8", errors="replace")
                     held: list[str] = []
                     for line in lines:
@@ -49,9 +60,62 @@ def read_zstd_jsonl(spark: SparkSession, paths: list[str], schema: str, window_l
     return parsed.filter("ok").select("r.*")
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Every field a string, quotes and line ends inside fields allowed."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def write_zstd_jsonl(df: DataFrame, folder: str) -> list[str]:
+    """One zstd-compressed file of JSON lines for each task; the paths."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        path, rows = f"{folder}/part-{uuid.uuid4().hex}.jsonl.zst", 0
+        with opened(path, "wb") as f, zstandard.ZstdCompressor().stream_writer(f) as out:
+            for b in batches:
+                rows += len(b)
+                out.write("".join(f"{x}\n" for x in b["value"]).encode())
+        yield pd.DataFrame({"path": [path], "rows": [rows]})
+
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    return sorted(r["path"] for r in lines.mapInPandas(run, "path string, rows long").filter("rows > 0").collect())
+
+
+def write_npy(df: DataFrame, folder: str, item: str, vector: str) -> list[str]:
+    """Vectors as one .npy matrix for each task, and their ids in the same order beside it; the paths of the matrices."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            path = f"{folder}/part-{uuid.uuid4().hex}"
+            both = pd.concat(parts)
+            for end, values in (("npy", np.array(list(both[vector]), dtype=np.float32)), ("ids.npy", np.array(both[item].astype(str), dtype=np.str_))):
+                with opened(f"{path}.{end}", "wb") as f:
+                    held = io.BytesIO()
+                    np.save(held, values)
+                    f.write(held.getvalue())
+            yield pd.DataFrame({"path": [f"{path}.npy"]})
+
+    return sorted(r["path"] for r in df.select(item, vector).filter(F.col(item).isNotNull() & F.col(vector).isNotNull()).mapInPandas(run, "path string").collect())
+
+
+def read_npy(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
+    """(id, vec) of matrices and the ids beside them, joined by position; another number of ids or columns raises."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path in b["path"]:
+                with opened(path) as f, opened(path.removesuffix(".npy") + ".ids.npy") as g:
+                    m, ids = np.load(io.BytesIO(f.read())), np.load(io.BytesIO(g.read()))
+                if m.shape != (len(ids), width):
+                    raise ValueError(f"{path}: {m.shape} for {len(ids)} ids of width {width}")
+                for at in range(0, len(ids), 10_000):
+                    yield pd.DataFrame({"id": ids[at : at + 10_000], "vec": list(m[at : at + 10_000])})
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return files.mapInPandas(run, "id string, vec array<float>")
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, line_ends: bool = True) -> DataFrame:
+    """Every field a string, quotes inside fields allowed. line_ends: also line ends, for which a file has to be read by
+    one task; without them files are split."""
+    df = spark.read.option("header", True).option("multiLine", line_ends).option("escape", '"').csv(path)
     return df.select(*columns) if columns else df
 
 
@@ -116,10 +180,38 @@ def write_csv(df: DataFrame, path: str, fields: list[str] | None = None) -> None
 
 def write_manifest(path: str, value: dict) -> None:
     """One JSON document, sorted, written beside and then renamed."""
-    target = Path(path)
-    beside = target.with_suffix(target.suffix + ".part")
-    beside.write_text(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n", encoding="utf-8")
-    beside.replace(target)
+    from pyarrow import fs
+
+    with opened(f"{path}.part", "wb") as f:
+        f.write((json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode())
+    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    system.move(f"{at}.part", at)
+
+
+def read_manifest(path: str) -> dict:
+    with opened(path) as f:
+        return json.loads(f.read())
+
+
+def file_digests(spark: SparkSession, folder: str) -> dict[str, str]:
+    """SHA-256 of every data file below a folder by its name; files are hashed in tasks, a row of a name and a digest each."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    return {r["name"]: r["digest"] for r in files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest")).collect()}
+
+
+def verified_parquet(spark: SparkSession, folder: str, manifest: dict[str, str]) -> DataFrame:
+    """The parquet table, only if its files are those of the manifest."""
+    if (found := file_digests(spark, folder)) != manifest:
+        raise ValueError(f"{folder}: {sorted(set(found.items()) ^ set(manifest.items()))[:3]} differ from the manifest")
+    return spark.read.parquet(folder)
+
+
+def write_dataset(df: DataFrame, folder: str, stem: str, order: str) -> None:
+    """One table in the same order as CSV (nested columns as JSON text), JSON lines and parquet."""
+    rows = df.repartitionByRange(order).sortWithinPartitions(order)
+    write_csv(rows, f"{folder}/{stem}.csv")
+    write_jsonl(rows, f"{folder}/{stem}.jsonl")
+    rows.write.mode("overwrite").parquet(f"{folder}/{stem}.parquet")
 
 
 def markdown_table(df: DataFrame, rows: int = 100, digits: int = 4) -> str:
