@@ -16,8 +16,9 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalized(a: Column, floor: float = 1e-12) -> Column:
+    """Of length 1; the length is bound once, as an expression inside a lambda is evaluated for every element."""
     length = F.greatest(norm(a), F.lit(floor))
-    return F.transform(a, lambda x: x.cast("double") / length)
+    return F.get(F.transform(F.array(length), lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
