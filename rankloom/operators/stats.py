@@ -28,6 +28,27 @@ def _drawn(units: DataFrame, unit: str, draws: int, seed: int, digits: int) -> D
     return rows.filter(F.col("__draw").between(0, draws)).withColumn("__x", F.when(F.col("__draw") > 0, F.substring("__h", F.col("__j") * digits + 1, F.lit(digits)))).drop("__block", "__h", "__j")
 
 
+def weights(units: DataFrame, unit: str, draws: int, seed: int = 7) -> DataFrame:
+    """The units in every draw from 1 with how often each counts in it (Poisson of mean 1), and in draw 0, the sample, once:
+    a plan of resampling that all statistics of the same units, draws and seed share."""
+    number = F.conv("__x", 16, 10).cast("int")
+    times = F.lit(len(POISSON))
+    for k, top in reversed(list(enumerate(POISSON))):
+        times = F.when(number < top, F.lit(k)).otherwise(times)
+    return _drawn(units, unit, draws, seed, 4).withColumn("weight", F.when(F.col("__draw") == 0, 1).otherwise(times)).withColumnRenamed("__draw", "draw").drop("__x")
+
+
+def bootstrap_ratio(df: DataFrame, unit: str, numerator: str, denominator: str, draws: int = 1000, seed: int = 7, share: float = 0.95) -> DataFrame:
+    """One row (units, ratio, low, high): the ratio of sums over units with its percentile interval. Draws whose denominator
+    is about 0 are left out. The table has one row per unit."""
+    sums = weights(df.select(unit, numerator, denominator), unit, draws, seed).filter("weight > 0").groupBy("draw").agg(
+        F.sum("weight").cast("bigint").alias("n"), F.sum(F.col("weight") * F.col(numerator)).alias("a"), F.sum(F.col("weight") * F.col(denominator)).alias("b")
+    )
+    r = sums.filter(F.abs("b") > 1e-12).withColumn("r", F.round(F.col("a") / F.col("b"), 12))
+    sampled, own = F.when(F.col("draw") > 0, F.col("r")), lambda c: F.max(F.when(F.col("draw") == 0, F.col(c)))
+    return r.agg(own("n").alias("units"), own("r").alias("ratio"), F.percentile(sampled, (1 - share) / 2).alias("low"), F.percentile(sampled, (1 + share) / 2).alias("high"))
+
+
 def bootstrap_mean(df: DataFrame, unit: str, value: str, by: list[str], draws: int = 2000, seed: int = 7, interval: str = "linear", share: float = 0.95) -> DataFrame:
     """(by, n, mean, low, high): percentile interval of the mean over resampled units, nulls left out.
 
@@ -36,11 +57,7 @@ def bootstrap_mean(df: DataFrame, unit: str, value: str, by: list[str], draws: i
     values give the same interval, whatever the partitions; means are rounded to 12 digits, as sums depend on their order.
     """
     units = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(unit).alias("__u")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(value).cast("double")).alias("__s"))
-    number = F.conv("__x", 16, 10).cast("int")
-    times = F.lit(len(POISSON))
-    for k, top in reversed(list(enumerate(POISSON))):
-        times = F.when(number < top, F.lit(k)).otherwise(times)
-    drawn = _drawn(units, "__u", draws, seed, 4).withColumn("__w", F.when(F.col("__draw") == 0, 1).otherwise(times)).filter("__w > 0")
+    drawn = weights(units, "__u", draws, seed).withColumnsRenamed({"draw": "__draw", "weight": "__w"}).filter("__w > 0")
     sums = drawn.groupBy(*by, "__draw").agg(F.sum(F.col("__w") * F.col("__n")).alias("__n"), F.round(F.sum(F.col("__w") * F.col("__s")) / F.sum(F.col("__w") * F.col("__n")), 12).alias("__m"))
     a, sampled, own = (1 - share) / 2, F.when(F.col("__draw") > 0, F.col("__m")), lambda c: F.max(F.when(F.col("__draw") == 0, F.col(c)))
     if interval == "index":

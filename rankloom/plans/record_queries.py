@@ -483,6 +483,10 @@ def _scored(family: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = t.pool(spark, d).join(t.judged(spark, d).select(*PAIR, "utility"), PAIR, "left")
         folds = sampling.folds(rows, "query_id", 2)
+        if family in ("listnet", "ranknet"):
+            return learn.out_of_fold(rows, folds, 2, lambda a, b: learn.fit_listwise(a, b, FEATURES, "utility", family))
+        if family == "lambdamart":
+            return learn.out_of_fold(rows, folds, 2, lambda a, b: learn.fit_lambdamart(a, b, FEATURES, "utility"))
         fit = (lambda a, b: learn.fit_pairwise(a, b, FEATURES, "utility", family)) if family in ("logistic", "svc") else (lambda a, b: learn.useful_probability(a, b, FEATURES, "utility")) if family == "useful" else (lambda a, b: learn.fit_pointwise(a, b, FEATURES, "utility", family))
         return learn.out_of_fold(rows, folds, 2, fit)
 
@@ -490,7 +494,7 @@ def _scored(family: str):
     return run
 
 
-for _id, _family in (("k3", "huber"), ("k10", "ridge"), ("k11", "elastic_net"), ("k12", "gbt_pointwise"), ("k23", "random_forest"), ("k7", "logistic"), ("k20", "svc"), ("k21", "useful")):
+for _id, _family in (("k3", "huber"), ("k10", "ridge"), ("k11", "elastic_net"), ("k12", "gbt_pointwise"), ("k23", "random_forest"), ("k7", "logistic"), ("k20", "svc"), ("k21", "useful"), ("k18", "ranknet"), ("k19", "listnet"), ("k5", "lambdamart")):
     QUERIES[f"{_id}_{_family}"] = _scored(_family)
 
 

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,3 +350,46 @@ def test_all_replies_of_a_query_are_clustered(spark):
             clusters, rcc = brute(vectors[:most], distance)
             assert x.clusters == clusters and math.isclose(x.rcc, rcc, abs_tol=1e-9)
     assert metrics.cluster_balanced_coverage(c, r, 0.2).first().clusters > brute(vectors[:50], 0.2)[0]
+
+
+def _made_lists(spark, queries=40, each=12, seed=4):
+    rng = random.Random(seed)
+    rows = []
+    for q in range(queries):
+        for i in range(each):
+            a, b, noise = rng.random(), rng.random(), rng.random()
+            rows.append((f"q{q:02d}", f"c{i:02d}", a, b, noise, round(1 + 6 * (0.7 * a + 0.3 * (1 - b)), 2)))
+    return spark.createDataFrame([*rows, ("q00", "cx", None, 0.5, 0.5, None)], "query_id string, comment_id string, a double, b double, noise double, utility double")
+
+
+@pytest.mark.parametrize("fit", [learn.fit_lambdamart, learn.fit_listwise, lambda *x: learn.fit_listwise(*x, family="ranknet")])
+def test_rankers_order_held_out_lists(spark, fit):
+    df = _made_lists(spark)
+    train, held = df.filter("query_id < 'q30'"), df.filter("query_id >= 'q30'")
+    scored = fit(train, held, ["a", "b", "noise"], "utility").join(held, ["query_id", "comment_id"])
+    rho = metrics.within_query_spearman(scored, "score", "utility").agg(F.avg("rho")).first()[0]
+    assert rho > 0.8 and scored.count() == held.count()
+    assert fit(train.limit(0), held, ["a", "b", "noise"], "utility").count() == held.count()
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(1)
+    x, y, w = rng.normal(size=(7, 3)), rng.normal(size=7), rng.normal(size=3)
+    soft = lambda v: np.exp(v) / np.exp(v).sum()
+    net = lambda w: (soft(y) * np.log(soft(x @ w))).sum()
+    pairs = [(i, j) for i in range(7) for j in range(7) if y[i] > y[j]]
+    rank = lambda w: -np.mean([np.log1p(np.exp(-(x[i] - x[j]) @ w)) for i, j in pairs])
+    for f, g in ((net, learn.listnet_gradient), (rank, learn.ranknet_gradient)):
+        steps = [(f(w + 1e-6 * e) - f(w - 1e-6 * e)) / 2e-6 for e in np.eye(3)]
+        assert np.allclose(steps, g(x, y, w), atol=1e-5)
+    first, second = learn.lambdas(np.array([3.0, 1.0, 2.0]), np.zeros(3))
+    assert abs(first.sum()) < 1e-12 and first[0] > 0 > first[1] and (second > 0).all()
+    assert (learn.lambdas(np.ones(4), np.arange(4.0))[0] == 0).all()
+
+
+def test_ranks_of_split_groups(spark):
+    rows = [("hot", i % 50, f"i{i:04d}") for i in range(3000)] + [(k, 1, "x") for k in ("a", "b", None)]
+    df = spark.createDataFrame(rows, "k string, v int, id string")
+    a = {(r.k, r.id): r.p for r in ranking.ranked_split(df.repartition(6), ["k"], [F.desc("v"), "id"], "p").collect()}
+    b = {(r.k, r.id): r.p for r in ranking.ranked(df, ["k"], [F.desc("v"), "id"], "p").collect()}
+    assert a == b and ranking.ranked_split(df.limit(0), ["k"], ["v", "id"]).count() == 0
