@@ -380,7 +380,7 @@ def g54(spark: SparkSession, d: str) -> DataFrame:
 _LISTS = ['["a", "b"]', "[]", "not json", None, '["a", null]']
 
 
-@query("g55_json_lists", "SELECT v, CASE WHEN starts_with(v, '[') THEN array_to_string(list_filter(CAST(CASE WHEN starts_with(v, '[') THEN v ELSE '[]' END AS JSON)::VARCHAR[], lambda x: x IS NOT NULL), ',') END AS items FROM (SELECT unnest([" + ", ".join("NULL" if x is None else f"'{x}'" for x in _LISTS) + "]) AS v UNION ALL SELECT to_json([query_id, source]) FROM queries WHERE query_id IS NOT NULL AND source IS NOT NULL)")
+@query("g55_json_lists", "SELECT v, CASE WHEN starts_with(v, '[') THEN array_to_string(regexp_extract_all(v, '\"([^\"]*)\"', 1), ',') END AS items FROM (SELECT unnest([" + ", ".join("NULL" if x is None else f"'{x}'" for x in _LISTS) + "]) AS v UNION ALL SELECT CAST(to_json([query_id, source]) AS VARCHAR) FROM queries WHERE query_id IS NOT NULL AND source IS NOT NULL)")
 def g55(spark: SparkSession, d: str) -> DataFrame:
     """Lists stored as JSON text; what is no list is null."""
     rows = table(spark, d, "queries").filter("query_id IS NOT NULL AND source IS NOT NULL").select(F.to_json(F.array("query_id", "source")).alias("v"))
