@@ -216,7 +216,7 @@ def i2(spark: SparkSession, d: str) -> DataFrame:
     return ci.agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"), *[r6(F.max(c), c) for c in ("mean", "low", "high")])
 
 
-_SORTED = "SELECT route, max(n) FILTER (draw = 0) AS n, round(max(m) FILTER (draw = 0), 6) AS mean, round(list_sort(list(m) FILTER (draw > 0))[CAST(floor(0.025 * 1000) AS INT) + 1], 6) AS low, round(list_sort(list(m) FILTER (draw > 0))[CAST(floor(0.975 * 1000) AS INT) + 1], 6) AS high FROM ({means}) GROUP BY 1"
+_SORTED = "SELECT route, max(n) FILTER (draw = 0) AS n, round(max(m) FILTER (draw = 0), 6) AS mean, round(list_sort(list(m) FILTER (draw > 0))[CAST(floor(0.025 * 1000) AS INT) + 1], 6) AS low, round(list_sort(list(m) FILTER (draw > 0))[least(CAST(floor(0.975 * 1000) AS INT) + 1, len(list(m) FILTER (draw > 0)))], 6) AS high FROM ({means}) GROUP BY 1"
 
 
 def _means_sql(per: str, value: str, by: str, draws: int, seed: int) -> str:

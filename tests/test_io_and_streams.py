@@ -90,3 +90,37 @@ def test_windows_in_stream_equal_batch(spark, tmp_path):
     batch = judging.windowed_counts(events, "ts", ["kind"])
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, batch.collect()))
     assert judging.gated(events, lambda a: a.count() > 99, lambda: events) is None
+
+
+def test_vectors_by_position(spark, tmp_path):
+    import numpy as np
+
+    df = spark.createDataFrame([(f"v{i}", [float(i), 1.0]) for i in range(25)] + [(None, [1.0, 1.0]), ("n", None)], "id string, vec array<float>").repartition(3)
+    paths = io.write_npy(df, str(tmp_path / "v"), "id", "vec")
+    assert {r.id: list(r.vec) for r in io.read_npy(spark, paths, 2).collect()} == {f"v{i}": [float(i), 1.0] for i in range(25)}
+    np.save(paths[0], np.zeros((1, 3), dtype=np.float32))
+    with pytest.raises(Exception):
+        io.read_npy(spark, paths, 2).collect()
+
+
+def test_verified_tables_and_dumps(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    spark.range(10).write.parquet(folder)
+    manifest = io.file_digests(spark, folder)
+    assert io.verified_parquet(spark, folder, manifest).count() == 10
+    with pytest.raises(ValueError):
+        io.verified_parquet(spark, folder, {**manifest, "part-more": "0"})
+    rows = spark.createDataFrame([("a", "line\nend \u2028 “q”"), ("b", None)], "id string, body string")
+    back = io.read_zstd_jsonl(spark, io.write_zstd_jsonl(rows.repartition(2), str(tmp_path / "z")), "id string, body string")
+    assert sorted(back.collect()) == sorted(rows.collect()) and io.write_zstd_jsonl(rows.limit(0), str(tmp_path / "e")) == []
+
+
+def test_no_machine_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from rankloom import base
+
+    empty = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(master="yarn", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)))
+    with pytest.raises(RuntimeError):
+        base._checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))

@@ -362,7 +362,7 @@ def _made_lists(spark, queries=40, each=12, seed=4):
     return spark.createDataFrame([*rows, ("q00", "cx", None, 0.5, 0.5, None)], "query_id string, comment_id string, a double, b double, noise double, utility double")
 
 
-@pytest.mark.parametrize("fit", [learn.fit_lambdamart, learn.fit_listwise, lambda *x: learn.fit_listwise(*x, family="ranknet")])
+@pytest.mark.parametrize("fit", [learn.fit_lambdamart, learn.fit_listwise, lambda *x: learn.fit_listwise(*x, family="ranknet"), learn.fit_network, lambda *x: learn.fit_network(*x, loss="pairs")])
 def test_rankers_order_held_out_lists(spark, fit):
     df = _made_lists(spark)
     train, held = df.filter("query_id < 'q30'"), df.filter("query_id >= 'q30'")
@@ -382,6 +382,13 @@ def test_gradients_against_differences():
     for f, g in ((net, learn.listnet_gradient), (rank, learn.ranknet_gradient)):
         steps = [(f(w + 1e-6 * e) - f(w - 1e-6 * e)) / 2e-6 for e in np.eye(3)]
         assert np.allclose(steps, g(x, y, w), atol=1e-5)
+    theta = rng.normal(size=5 * 2 + 1)
+    score = lambda t: learn.network_scores(x, t, 2)[0]
+    huber = lambda t: -np.mean([e * e / 2 if abs(e) <= 1 else abs(e) - 0.5 for e in y - 4 - score(t)])
+    order = lambda t: -np.mean([np.log1p(np.exp(-(score(t)[i] - score(t)[j]))) for i, j in pairs])
+    for f, loss in ((huber, "huber"), (order, "pairs")):
+        steps = [(f(theta + 1e-6 * e) - f(theta - 1e-6 * e)) / 2e-6 for e in np.eye(len(theta))]
+        assert np.allclose(steps, learn.network_gradient(x, y, theta, 2, loss), atol=1e-5)
     first, second = learn.lambdas(np.array([3.0, 1.0, 2.0]), np.zeros(3))
     assert abs(first.sum()) < 1e-12 and first[0] > 0 > first[1] and (second > 0).all()
     assert (learn.lambdas(np.ones(4), np.arange(4.0))[0] == 0).all()
@@ -393,3 +400,40 @@ def test_ranks_of_split_groups(spark):
     a = {(r.k, r.id): r.p for r in ranking.ranked_split(df.repartition(6), ["k"], [F.desc("v"), "id"], "p").collect()}
     b = {(r.k, r.id): r.p for r in ranking.ranked(df, ["k"], [F.desc("v"), "id"], "p").collect()}
     assert a == b and ranking.ranked_split(df.limit(0), ["k"], ["v", "id"]).count() == 0
+
+
+def test_case_and_words_of_all_scripts(spark):
+    rows = [("Stra\u00dfe  FÜR\u00a0alle",), ("STRASSE für ALLE ",), (None,), ("",), ("ΟΔΟΣ und οδοσ",), ("ﬁne",)]
+    df = spark.createDataFrame(rows, "t string").select(tx.canonical(F.col("t")).alias("c"), tx.tokens(F.col("t")).alias("w"), tx.tokens(F.col("t"), []).alias("all"), tx.tokens(F.col("t"), ["für"]).alias("less"))
+    out = df.collect()
+    assert out[0].c == out[1].c == "strasse für alle" and out[2].c is None and out[3].c == "" and out[5].c == "fine"
+    assert out[0].w == ["straße", "für", "alle"] and out[2].w == out[3].w == [] and out[4].c == "οδοσ und οδοσ"
+    assert out[1]["all"] == ["strasse", "für", "alle"] and out[1].less == ["strasse", "alle"]
+
+
+def test_lexical_features_of_odd_texts(spark):
+    q = spark.createDataFrame([("q1", "red kettle red"), ("q2", ""), ("q3", None)], "query_id string, query_text string")
+    pairs = spark.createDataFrame([("q1", "a", "the red one"), ("q1", "b", None), ("q1", "c", "kettle red kettle"), ("q2", "a", "red"), ("q9", "a", "red")], "query_id string, comment_id string, t string")
+    w = spark.createDataFrame([("red", 1.0), ("kettle", 3.0)], "term string, idf double")
+    out = {(r.query_id, r.comment_id): (r.shared, r.overlap, r.rare) for r in tx.lexical_features(pairs, q, "t", "query_text", w).collect()}
+    assert out == {("q1", "a"): (1, 0.25, 0), ("q1", "b"): (0, 0.0, 0), ("q1", "c"): (2, 1.0, 1), ("q2", "a"): (0, 0.0, 0), ("q9", "a"): (0, 0.0, 0)}
+    assert tx.lexical_features(pairs.limit(0), q, "t", "query_text", w).count() == 0
+
+
+def test_weights_of_draws_do_not_depend_on_the_number_of_units(spark):
+    few, many = (spark.range(n).select(F.concat(F.lit("u"), F.col("id")).alias("u")) for n in (4096, 4097))
+    a, b = ({(r.u, r.draw): r.weight for r in stats.weights(x, "u", 20).filter("weight > 0").collect()} for x in (few, many))
+    assert {k: v for k, v in b.items() if k[0] != "u4096"} == a
+    mean = sum(v for (_, d), v in a.items() if d > 0) / 4096 / 20
+    assert abs(mean - 1) < 0.02 and all(a[f"u{i}", 0] == 1 for i in range(50))
+    ratio = stats.bootstrap_ratio(spark.createDataFrame([(f"u{i}", float(i % 3), 2.0) for i in range(300)], "u string, a double, b double"), "u", "a", "b").first()
+    assert ratio.units == 300 and abs(ratio.ratio - 0.5) < 1e-9 and ratio.low < 0.5 < ratio.high
+
+
+def test_sparse_bm25_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", f"w{i % 5} w{i % 7} common word{i}") for i in range(60)] + [("n", None), (None, "w1")], "comment_id string, t string")
+    q = spark.createDataFrame([(f"q{i}", f"w{i % 5} word{i}") for i in range(9)] + [("none", ""), (None, "w1")], "query_id string, q string")
+    one = sorted(tx.bm25(docs, q, "comment_id", "t", "q", 6).collect())
+    monkeypatch.setattr(tx, "ASKED", 2)
+    assert sorted(tx.bm25(docs, q, "comment_id", "t", "q", 6).collect()) == one and {r.query_id for r in one} == {f"q{i}" for i in range(9)}
+    assert all(r.comment_id == f"d{r.query_id[1:]}" for r in one if r.rank == 1)
