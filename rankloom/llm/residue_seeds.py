@@ -130,8 +130,8 @@ bitte {aktivieren sie javascript|schalten sie javascript ein}, um {den inhalt zu
 
 #: People who talk about such things, and other texts that only look alike; all other prose comes from the data.
 PROSE = """
-whenever {somebody says taxes|i open the mail} my head {returns an error|shows a blue screen}.
-there was a {404|503|timeout} on the {booking page|portal}, so i {phoned them|gave up}.
+my head {stops with an error|shows a blue screen} when {money is the topic|i open the mail}.
+their {portal|site} gave me a {404|503|timeout} and i {phoned instead|gave up}.
 {the clinic site|their page} showed an error {all morning|again}, so i phoned.
 i repair {502|500} errors for a living and sleep badly.
 i keep getting an error when i log in, has anyone else seen that?
