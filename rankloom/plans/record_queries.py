@@ -541,10 +541,12 @@ def m2(spark: SparkSession, d: str) -> DataFrame:
     return judging.windowed_counts(table(spark, d, "events"), "ts", ["event_type"])
 
 
-@query("m4_first_deliveries", "SELECT count(*) AS n, count(DISTINCT comment_id) AS keys FROM (SELECT DISTINCT comment_id FROM comments)")
+@query("m4_first_deliveries", sql("SELECT comment_id, count(*) AS deliveries, min(ingested_at) AS first FROM comments WHERE comment_id IS NOT NULL GROUP BY 1"))
 def m4(spark: SparkSession, d: str) -> DataFrame:
-    first = judging.first_deliveries(table(spark, d, "comments"), "comment_id", "ingested_at")
-    return first.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("comment_id").alias("keys"))
+    """Each key once, as a resumed run sees it, with how often it was delivered and when first."""
+    rows = table(spark, d, "comments").filter("comment_id IS NOT NULL")
+    n = rows.groupBy("comment_id").agg(F.count(F.lit(1)).alias("deliveries"), F.min("ingested_at").alias("first"))
+    return judging.first_deliveries(rows, "comment_id", "ingested_at").select("comment_id").join(n, "comment_id")
 
 
 # composed studies

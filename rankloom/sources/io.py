@@ -14,11 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def opened(path: str, mode: str = "rb"):
-    """A file of any file system that pyarrow knows (local, HDFS, object stores), on the driver or in a task."""
+def _located(path: str):
+    """(file system, path in it) of a path as Spark writes it."""
     from pyarrow import fs
 
-    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    for spark_name in ("s3a://", "s3n://"):
+        path = path.replace(spark_name, "s3://", 1) if path.startswith(spark_name) else path
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+
+
+def opened(path: str, mode: str = "rb"):
+    """A file of any file system that pyarrow knows (local, HDFS, object stores), on the driver or in a task."""
+    system, at = _located(path)
     if mode == "rb":
         return system.open_input_stream(at, compression=None)
     system.create_dir(at.rsplit("/", 1)[0], recursive=True)
@@ -180,11 +187,9 @@ def write_csv(df: DataFrame, path: str, fields: list[str] | None = None) -> None
 
 def write_manifest(path: str, value: dict) -> None:
     """One JSON document, sorted, written beside and then renamed."""
-    from pyarrow import fs
-
     with opened(f"{path}.part", "wb") as f:
         f.write((json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode())
-    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    system, at = _located(path)
     system.move(f"{at}.part", at)
 
 
