@@ -437,3 +437,19 @@ def test_sparse_bm25_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(tx, "ASKED", 2)
     assert sorted(tx.bm25(docs, q, "comment_id", "t", "q", 6).collect()) == one and {r.query_id for r in one} == {f"q{i}" for i in range(9)}
     assert all(r.comment_id == f"d{r.query_id[1:]}" for r in one if r.rank == 1)
+
+
+def test_bm25_keeps_k_rows_a_query_and_task(spark, monkeypatch):
+    random.seed(3)
+    words = [f"w{i:02d}" for i in range(40)]
+    docs = spark.createDataFrame([(f"c{i:03d}", " ".join(random.choices(words, k=6))) for i in range(300)] + [("none", None)], "comment_id string, t string").coalesce(1)
+    q = spark.createDataFrame([(f"q{i}", " ".join(random.sample(words, 4))) for i in range(5)], "query_id string, q string")
+    whole = sorted(tx.bm25(docs, q, "comment_id", "t", "q", 300).collect())
+    monkeypatch.setattr(tx, "BM25_CELLS", 40)
+    monkeypatch.setattr(ranking, "top_k", lambda found, *rest: found)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        found = tx.bm25(docs, q, "comment_id", "t", "q", 4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.query_id, r.comment_id, round(r.score, 9)) for r in found) == sorted((r.query_id, r.comment_id, round(r.score, 9)) for r in whole if r["rank"] <= 4)
