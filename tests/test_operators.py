@@ -453,3 +453,42 @@ def test_bm25_keeps_k_rows_a_query_and_task(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((r.query_id, r.comment_id, round(r.score, 9)) for r in found) == sorted((r.query_id, r.comment_id, round(r.score, 9)) for r in whole if r["rank"] <= 4)
+
+
+def both_ways(spark):
+    """A random forest with a hub and one cycle, both ways, and seeds, some of them without edges."""
+    random.seed(5)
+    pairs = [(f"n{i:02d}", "hub" if i < 25 else f"n{random.randrange(i):02d}") for i in range(60)] + [("x", "y"), ("y", "z"), ("z", "x")]
+    e = spark.createDataFrame([(a, b, w) for a, b in pairs for w in (1.0,)] + [(b, a, 1.0) for a, b in pairs], "src string, dst string, weight double")
+    s = spark.createDataFrame([(f"q{q}", n, w) for q in range(7) for n, w in ((f"n{q * 3:02d}", 0.5), (f"n{59 - q:02d}", 1.0), ("x" if q % 2 else "alone", 0.7))], "query_id string, node string, weight double")
+    return e, s
+
+
+def test_pagerank_top_is_the_top_of_pagerank(spark, monkeypatch):
+    e, s = both_ways(spark)
+    whole = ranking.top_k(graph.pagerank(e, s, 0.5, 4), ["query_id"], [F.desc(F.round("score", 12)), "node"], 9).collect()
+    for cells in (1 << 22, 200):
+        monkeypatch.setattr(graph, "WALK_CELLS", cells)
+        found = graph.pagerank_top(e, s, 9, 0.5, 4).collect()
+        assert sorted((r.query_id, r["rank"], r.node, round(r.score, 9)) for r in found) == sorted((r.query_id, r["rank"], r.node, round(r.score, 9)) for r in whole)
+    assert any(r.node == "alone" for r in found)
+
+
+def test_seed_distances_of_parts_that_meet_in_a_task(spark, monkeypatch):
+    e, s = both_ways(spark)
+    near: dict = {}
+    for r in e.collect():
+        near.setdefault(r.src, set()).add(r.dst)
+    expected: dict = {}
+    for r in s.collect():
+        distance = front = {r.node: 0}
+        for hop in range(1, 4):
+            front = {b: hop for a in front for b in near.get(a, ()) if b not in distance}
+            distance = distance | front
+        for node, n in distance.items():
+            seeds, least, weighted = expected.get((r.query_id, node), (0, 9, 0.0))
+            expected[r.query_id, node] = seeds + 1, min(least, n), weighted + r.weight / (1 + n)
+    for cells in (1 << 22, 200):
+        monkeypatch.setattr(graph, "WALK_CELLS", cells)
+        found = {(r.query_id, r.node): (r.seeds, r.distance, round(r.weighted, 9)) for r in graph.seed_distances(e, s, 3).collect()}
+        assert found == {k: (*v[:2], round(v[2], 9)) for k, v in expected.items()}
