@@ -98,3 +98,12 @@ def test_redaction_covers_all_comments(spark, tmp_path):
             expected[r.comment_id] = hashlib.sha256(x.encode()).hexdigest()
         assert {r.comment_id: r.digest for r in catalog.QUERIES["g49_redaction"](spark, d).collect()} == expected
         assert d == DATA or len(expected) == len(texts)
+
+
+def test_median_on_a_tie_is_rounded_without_noise(spark, monkeypatch):
+    from rankloom.plans import audit_queries
+
+    rows = spark.createDataFrame([("k", q, v) for q, v in (("a", -0.12925), ("b", -0.08337499999999), ("c", -0.1292500000000003), ("d", -0.0833749999999995))], "key string, query_id string, delta double")
+    assert -0.1063125 < (-0.12925 - 0.08337499999999) / 2
+    monkeypatch.setattr(audit_queries, "over_base", lambda spark, d: rows)
+    assert catalog.QUERIES["o96_paired_summary"](spark, DATA).first().median == -0.106313
