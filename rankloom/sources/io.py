@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
+import shutil
 import sqlite3
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -156,11 +159,17 @@ def tolerant_run(df: DataFrame, route: str) -> DataFrame:
 
 
 def read_sqlite(spark: SparkSession, path: str, query: str, schema: str, batch: int = 10_000) -> DataFrame:
-    """The result of a query on a SQLite file of ratings; read in batches by one task, as the file has one reader."""
+    """The result of a query on a SQLite file of ratings; read in batches by one task, as the file has one reader.
+
+    SQLite opens files of its own machine only, so the task first copies the file from wherever it lies."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _ in batches:
-            with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
-                yield from pd.read_sql_query(query, c, chunksize=batch)
+            with tempfile.NamedTemporaryFile(suffix=".sqlite") as own:
+                with opened(path) as f:
+                    shutil.copyfileobj(f, own)
+                own.flush()
+                with contextlib.closing(sqlite3.connect(f"file:{own.name}?mode=ro", uri=True)) as c:
+                    yield from pd.read_sql_query(query, c, chunksize=batch)
 
     return spark.range(1).mapInPandas(lambda it: run(it), schema)
 

@@ -107,3 +107,15 @@ def test_median_on_a_tie_is_rounded_without_noise(spark, monkeypatch):
     assert -0.1063125 < (-0.12925 - 0.08337499999999) / 2
     monkeypatch.setattr(audit_queries, "over_base", lambda spark, d: rows)
     assert catalog.QUERIES["o96_paired_summary"](spark, DATA).first().median == -0.106313
+
+
+def test_rated_cards_on_a_cluster(spark, con, monkeypatch):
+    import tempfile
+
+    from rankloom.base import shared_folder
+
+    shared_folder(spark, "x")  # the checkpoint folder is set, as on a cluster
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(tempfile, "mkdtemp", lambda *a, **k: pytest.fail("a folder of the driver's machine"))
+    name = "a15_rated_cards"
+    assert rows([tuple(r) for r in catalog.QUERIES[name](spark, DATA).collect()], ["split_name", "cards", "answerable", "chars"]) == rows(con.execute(f"SELECT split_name, cards, answerable, chars FROM ({catalog.ORACLE[name]})").fetchall(), ["split_name", "cards", "answerable", "chars"])
