@@ -119,3 +119,12 @@ def test_rated_cards_on_a_cluster(spark, con, monkeypatch):
     monkeypatch.setattr(tempfile, "mkdtemp", lambda *a, **k: pytest.fail("a folder of the driver's machine"))
     name = "a15_rated_cards"
     assert rows([tuple(r) for r in catalog.QUERIES[name](spark, DATA).collect()], ["split_name", "cards", "answerable", "chars"]) == rows(con.execute(f"SELECT split_name, cards, answerable, chars FROM ({catalog.ORACLE[name]})").fetchall(), ["split_name", "cards", "answerable", "chars"])
+
+
+def test_walk_trace_reads_comments_once(spark, monkeypatch):
+    from rankloom.operators import graph
+
+    plans, walk = [], graph.pagerank
+    monkeypatch.setattr(graph, "pagerank", lambda e, s, *rest: plans.extend(x._jdf.queryExecution().toString().lower() for x in (e, s)) or walk(e, s, *rest))
+    catalog.QUERIES["o84_walk_trace"](spark, DATA)
+    assert len(plans) == 2 and not any("parquet" in p for p in plans)
