@@ -128,3 +128,22 @@ def test_walk_trace_reads_comments_once(spark, monkeypatch):
     monkeypatch.setattr(graph, "pagerank", lambda e, s, *rest: plans.extend(x._jdf.queryExecution().toString().lower() for x in (e, s)) or walk(e, s, *rest))
     catalog.QUERIES["o84_walk_trace"](spark, DATA)
     assert len(plans) == 2 and not any("parquet" in p for p in plans)
+
+
+@pytest.mark.parametrize("name", ["a1_dump_of_comments"])
+def test_dumps_have_the_rights_of_spark_folders(spark, con, tmp_path, monkeypatch, name):
+    """Executors of several users write into one folder and read each other's files."""
+    from rankloom.plans import scan_queries
+
+    conf, folder = spark.sparkContext._jsc.hadoopConfiguration(), tmp_path / "dump"
+    monkeypatch.setattr(scan_queries, "shared_folder", lambda spark, name: f"file:{folder}")
+    conf.set("fs.permissions.umask-mode", "000")
+    conf.set("fs.file.impl.disable.cache", "true")
+    try:
+        found = catalog.QUERIES[name](spark, DATA)
+    finally:
+        conf.unset("fs.permissions.umask-mode")
+        conf.unset("fs.file.impl.disable.cache")
+    assert {oct(p.stat().st_mode & 0o777) for p in folder.glob("part-*.zst")} == {"0o666"} and oct(folder.stat().st_mode & 0o777) == "0o777"
+    expected = con.execute(catalog.ORACLE[name])
+    assert rows([tuple(r) for r in found.collect()], found.columns) == rows(expected.fetchall(), [c[0] for c in expected.description])
