@@ -130,7 +130,7 @@ def test_walk_trace_reads_comments_once(spark, monkeypatch):
     assert len(plans) == 2 and not any("parquet" in p for p in plans)
 
 
-@pytest.mark.parametrize("name", ["a1_dump_of_comments"])
+@pytest.mark.parametrize("name", ["a1_dump_of_comments", "a3_wanted_threads"])
 def test_dumps_have_the_rights_of_spark_folders(spark, con, tmp_path, monkeypatch, name):
     """Executors of several users write into one folder and read each other's files."""
     from rankloom.plans import scan_queries
