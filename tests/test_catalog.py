@@ -147,3 +147,16 @@ def test_dumps_have_the_rights_of_spark_folders(spark, con, tmp_path, monkeypatc
     assert {oct(p.stat().st_mode & 0o777) for p in folder.glob("part-*.zst")} == {"0o666"} and oct(folder.stat().st_mode & 0o777) == "0o777"
     expected = con.execute(catalog.ORACLE[name])
     assert rows([tuple(r) for r in found.collect()], found.columns) == rows(expected.fetchall(), [c[0] for c in expected.description])
+
+
+@pytest.mark.parametrize("name", ["of a day", "50%25", "no#1", "why?", "[täg]"])
+def test_wanted_threads_in_a_folder_of_any_name(spark, con, tmp_path, monkeypatch, name):
+    from rankloom.plans import scan_queries
+
+    folder = tmp_path / name / "dump"
+    monkeypatch.setattr(scan_queries, "shared_folder", lambda spark, name: f"file:{folder}")
+    monkeypatch.setattr(scan_queries, "table", lambda spark, d, name, table=scan_queries.table: table(spark, d, name).repartition(3))
+    found = catalog.QUERIES["a3_wanted_threads"](spark, DATA)
+    assert [p.name for p in tmp_path.iterdir()] == [name] and len([*folder.glob("part-*.zst")]) == 3
+    expected = con.execute(catalog.ORACLE["a3_wanted_threads"])
+    assert rows([tuple(r) for r in found.collect()], found.columns) == rows(expected.fetchall(), [c[0] for c in expected.description])
