@@ -17,6 +17,29 @@ def test_jsonl_strict_and_tolerant(spark, tmp_path):
         io.read_jsonl(spark, str(p), "a int").collect()
 
 
+def test_dumps_go_through_sparks_own_files(spark, tmp_path, monkeypatch):
+    """No task opens a file; frames and files of a dump are those of the format, and are streamed where they are long."""
+    import zstandard
+
+    def no(*_):
+        raise PermissionError("a task's own file")
+
+    opened = io.opened
+    monkeypatch.setattr(io, "opened", no)
+    monkeypatch.setattr(io, "FRAME_BYTES", 500, raising=False)
+    monkeypatch.setattr(io, "FRAMES", 2, raising=False)
+    rows = spark.range(1000).selectExpr("id", "concat('täg\n', id) AS body", "CAST(NULL AS string) AS none").repartition(2)
+    paths = io.write_zstd_jsonl(rows, str(tmp_path / "z"))
+    assert len(paths) > 4 and all(p.endswith(".jsonl.zst") for p in paths)
+    held = b"".join(zstandard.ZstdDecompressor().stream_reader(open(p, "rb"), read_across_frames=True).read() for p in paths)
+    assert len(held.splitlines()) == 1000
+    expected = sorted(rows.select("id", "body").collect())
+    assert sorted(io.read_zstd_jsonl(spark, paths, "id long, body string").collect()) == expected
+    monkeypatch.setattr(io, "opened", opened)
+    monkeypatch.setattr(io, "WHOLE_BYTES", 1200)
+    assert sorted(io.read_zstd_jsonl(spark, paths, "id long, body string").collect()) == expected
+
+
 def test_zstd_dump(spark, tmp_path):
     paths = []
     for n in range(3):
