@@ -474,6 +474,23 @@ def test_pagerank_top_is_the_top_of_pagerank(spark, monkeypatch):
     assert any(r.node == "alone" for r in found)
 
 
+def test_best_of_pagerank_are_the_top_of_pagerank(spark, monkeypatch):
+    e, s = both_ways(spark)
+    rng = random.Random(5)
+    made = {(f"a:{min(rng.randrange(90), rng.randrange(90), rng.randrange(90))}", f"t{min(rng.randrange(70), rng.randrange(70))}") for _ in range(500)}
+    made |= {("a:0", f"t{i}") for i in range(300)} | {(f"a:{i}", "t0") for i in range(200)}
+    edges = spark.createDataFrame([(x, y, 1.0) for a, t in made for x, y in ((a, t), (t, a))], "src string, dst string, weight double")
+    asked = spark.createDataFrame([(f"q{i}", f"t{min(rng.randrange(300), rng.randrange(300), rng.choice([0, 300]))}", rng.random()) for i in range(150) for _ in range(1 + i % 3)], "query_id string, node string, weight double")
+    for edges, asked, rounds in ((e, s, 4), (edges, asked, 2), (edges, asked, 3)):
+        whole = ranking.top_k(graph.pagerank(edges, asked, 0.5, rounds), ["query_id"], [F.desc(F.round("score", 12)), "node"], 9).collect()
+        expected = sorted((r.query_id, r["rank"], r.node, round(r.score, 9)) for r in whole)
+        for cells in (1 << 22, 50):
+            monkeypatch.setattr(graph, "KEPT_CELLS", cells, raising=False)
+            found = ranking.top_k(graph.pagerank(edges, asked, 0.5, rounds, 5, 9), ["query_id"], [F.desc(F.round("score", 12)), "node"], 9).collect()
+            assert sorted((r.query_id, r["rank"], r.node, round(r.score, 9)) for r in found) == expected
+    assert graph.pagerank(edges, asked.limit(0), 0.5, 2, 5, 9).count() == 0
+
+
 def test_seed_distances_of_parts_that_meet_in_a_task(spark, monkeypatch):
     e, s = both_ways(spark)
     near: dict = {}
