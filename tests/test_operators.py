@@ -491,6 +491,20 @@ def test_best_of_pagerank_are_the_top_of_pagerank(spark, monkeypatch):
     assert graph.pagerank(edges, asked.limit(0), 0.5, 2, 5, 9).count() == 0
 
 
+def test_seed_distances_copy_a_component_to_a_bounded_number_of_tasks(spark, monkeypatch):
+    """A star that all queries ask: its edges are shuffled as often as the cluster's cores allow, whatever the number of queries."""
+    edges = spark.createDataFrame([("t", f"c{i:03d}") for i in range(100)], "src string, dst string")
+    seeds = spark.createDataFrame([(f"q{i:03d}", f"c{i % 100:03d}", 1.0) for i in range(200)], "query_id string, node string, weight double")
+    monkeypatch.setattr(graph, "WALK_CELLS", 100)  # 400 blocks of 200 edges without a bound
+    monkeypatch.setattr(graph, "PIECE_ROWS", 50, raising=False)
+    out = graph.seed_distances(edges, seeds)
+    assert out.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 4
+    found = {(r.query_id, r.node): (r.seeds, r.distance, r.weighted) for r in out.collect()}
+    far = lambda q, n: 0 if n == f"c{q % 100:03d}" else 1 if n == "t" else 2
+    names = ["t", *[f"c{i:03d}" for i in range(100)]]
+    assert found == {(f"q{q:03d}", n): (1, far(q, n), 1 / (1 + far(q, n))) for q in range(200) for n in names}
+
+
 def test_seed_distances_of_parts_that_meet_in_a_task(spark, monkeypatch):
     e, s = both_ways(spark)
     near: dict = {}
