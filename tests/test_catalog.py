@@ -160,3 +160,16 @@ def test_wanted_threads_in_a_folder_of_any_name(spark, con, tmp_path, monkeypatc
     assert [p.name for p in tmp_path.iterdir()] == [name] and len([*folder.glob("part-*.zst")]) == 3
     expected = con.execute(catalog.ORACLE["a3_wanted_threads"])
     assert rows([tuple(r) for r in found.collect()], found.columns) == rows(expected.fetchall(), [c[0] for c in expected.description])
+
+
+def test_wanted_threads_open_no_file_in_tasks(spark, con, monkeypatch):
+    """Spark stores and fetches the dump, so that tasks need no rights in the shared folder beyond those of Spark."""
+    from rankloom.plans import scan_queries
+
+    def no(*_):
+        raise PermissionError("a task's own file")
+
+    monkeypatch.setattr(scan_queries.io, "opened", no)
+    found = catalog.QUERIES["a3_wanted_threads"](spark, DATA)
+    expected = con.execute(catalog.ORACLE["a3_wanted_threads"])
+    assert rows([tuple(r) for r in found.collect()], found.columns) == rows(expected.fetchall(), [c[0] for c in expected.description])
